@@ -5,23 +5,23 @@ from __future__ import annotations
 # Shared table expressions: name -> SQL. Later ones may use earlier ones.
 VIEWS = {
     "fc1": """
-        SELECT lpad(CAST(l_suppkey AS VARCHAR), greatest(5, length(CAST(l_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                l_shipdate AS valid_time, l_shipdate - l_linenumber * 24 * INTERVAL '1' HOUR AS init_time,
                CAST(l_linenumber * 24 AS INTEGER) AS lead_time, avg(2.7315e2 + l_quantity) AS t2m
         FROM lineitem GROUP BY l_suppkey, l_shipdate, l_linenumber""",
     "fc2": """
-        SELECT lpad(CAST(l_suppkey AS VARCHAR), greatest(5, length(CAST(l_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                l_shipdate AS valid_time, l_shipdate - l_linenumber * 24 * INTERVAL '1' HOUR AS init_time,
                CAST(l_linenumber * 24 AS INTEGER) AS lead_time,
                avg(2.7315e2 + 9e-1 * l_quantity + 1e1 * l_discount) AS t2m
         FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
         GROUP BY l_suppkey, l_shipdate, l_linenumber""",
     "an": """
-        SELECT lpad(CAST(l_suppkey AS VARCHAR), greatest(5, length(CAST(l_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                o_orderdate AS time, avg(2.7315e2 + l_quantity) AS t2m
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_orderdate""",
     "area": """
-        SELECT lpad(CAST(s_suppkey AS VARCHAR), greatest(5, length(CAST(s_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                s_nationkey AS statefp, 1e6 * (100 + abs(s_acctbal)) AS aland_m2 FROM supplier""",
     "land": "SELECT geo_id, aland_m2 / 1e6 AS aland FROM area",
     "bias1": """
@@ -54,7 +54,7 @@ VIEWS = {
     "mobs": """
         SELECT grid_id, lat, lon, time, avg(f) AS f, avg(a) AS a, avg(c) AS c FROM obs GROUP BY 1, 2, 3, 4""",
     "polys": """
-        SELECT lpad(CAST(s_suppkey AS VARCHAR), greatest(5, length(CAST(s_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                CAST(floor(s_suppkey / 245) AS INTEGER) AS grid_id, s_nationkey AS statefp,
                -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5) AS x0, -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5 + 1) AS x1,
                -1e-1 + 1.03e0 * floor((s_suppkey % 245) / 5) AS y0,
@@ -93,7 +93,7 @@ VIEWS = {
     "region_polys": """
         SELECT * FROM polys WHERE statefp IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')""",
     "census": """
-        SELECT lpad(CAST(l_suppkey AS VARCHAR), greatest(5, length(CAST(l_suppkey AS VARCHAR))), '0') AS geo_id,
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
                'Area ' || l_suppkey AS NAME, sum(l_quantity) AS B01001_001E, count(*) * 1e0 AS B01001_001M,
                sum(l_quantity) AS B17001_001E,
                sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS B17001_002E,
@@ -442,10 +442,10 @@ ORACLES: dict[str, str] = {
         WHERE lead_time = 24 AND valid_time BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-03-31' GROUP BY 1) m ON a.geo_id = m.geo_id""", "bias1"),
     "fips_ids": """
         SELECT s_suppkey, a || b AS county_id, a || b || c AS tract_id, d AS geo_id, right(a || b, 5) AS tail_id FROM (
-        SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), greatest(2, length(CAST(s_nationkey AS VARCHAR))), '0') AS a,
-          lpad(CAST(s_suppkey AS VARCHAR), greatest(3, length(CAST(s_suppkey AS VARCHAR))), '0') AS b,
-          lpad(CAST(s_suppkey * 7 AS VARCHAR), greatest(6, length(CAST(s_suppkey * 7 AS VARCHAR))), '0') AS c,
-          lpad(CAST(s_suppkey AS VARCHAR), greatest(5, length(CAST(s_suppkey AS VARCHAR))), '0') AS d FROM supplier)""",
+        SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(2, length(CAST(s_nationkey AS VARCHAR))) AS INTEGER), '0') AS a,
+          lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(3, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS b,
+          lpad(CAST(s_suppkey * 7 AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey * 7 AS VARCHAR))) AS INTEGER), '0') AS c,
+          lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS d FROM supplier)""",
     "json_rows_to_table": """
         SELECT s_name AS NAME, CAST(s_nationkey AS VARCHAR) AS state,
         CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(s_suppkey * 3 AS DOUBLE) END AS population FROM supplier""",

@@ -81,7 +81,7 @@ if __name__ == "__main__":
         try:
             diff, n, a, b = check(spark, con, folder, name)
         except Exception as exc:  # noqa: BLE001
-            diff, n, a, b = f"{type(exc).__name__}: {str(exc)[:500]}", -1, 0.0, 0.0
+            diff, n, a, b = f"{type(exc).__name__}: {" ".join(str(exc).split())[:300]}", -1, 0.0, 0.0
         print(f"{name:32s} rows {n:7d} spark {a:6.2f}s sql {b:6.2f}s {'ok' if diff is None else 'DIFF ' + diff}", flush=True)
         if diff:
             failed.append(name)
