@@ -40,7 +40,7 @@ def id_tail(s: Column, n: int) -> Column:
 def file_date(path: Column, ext: str = "nc") -> Column:
     """Date stamped in a file name, NULL when the name does not match. ``ext`` may be ``(?:nc|grib)``."""
     digits = F.regexp_extract(path, FILE_DATE_PATTERN.replace("{ext}", ext), 1)
-    return F.to_date(F.when(digits != "", digits), "yyyyMMdd")
+    return F.try_to_date(digits, "yyyyMMdd")
 
 
 def chunk_parts(name: Column) -> list[Column]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from arealcast.functions import timefn as T
 from arealcast.functions.ids import file_date
 
-# Position of init hour and lead among the folders of a forecast path.
-FC_FOLDERS = r"/(\d{4})/(\d+)/(?:[^/]*/)*[^/]+$"
+# Init hour, lead, optional year and month folders, then the date in the file name.
+FC_PATH = r"^.*/(\d{4})/(\d+)/(?:\d{4}/\d{2}/)?[^/]*_(\d{8})(?:\D[^/]*)?\.{ext}$"
 # Fixed value: month folder of a reanalysis path.
 MONTH_FOLDER = r"/(\d{6})/[^/]+$"
 
@@ -23,16 +23,18 @@ MONTH_FOLDER = r"/(\d{6})/[^/]+$"
 def forecast_paths(files: DataFrame, path: str = "path", ext: str = "nc") -> DataFrame:
     """path, init_date, init_hour (text), lead_time and init_time of every forecast file that matches."""
     p = F.col(path)
-    hour = F.regexp_extract(p, FC_FOLDERS, 1)
-    lead = F.regexp_extract(p, FC_FOLDERS, 2)
+    # One pattern match per path; a path that does not match stays whole and gives no three parts.
+    parts = F.split(F.regexp_replace(p, FC_PATH.replace("{ext}", ext), "$1|$2|$3"), r"\|")
     return (
-        files.select(
-            p.alias("path"),
-            file_date(p, ext).alias("init_date"),
-            F.nullif(hour, F.lit("")).alias("init_hour"),
-            F.nullif(lead, F.lit("")).cast("int").alias("lead_time"),
+        files.select(p.alias("path"), parts.alias("_p"))
+        .where(F.size("_p") == 3)
+        .select(
+            "path",
+            F.try_to_date(F.get("_p", F.lit(2)), "yyyyMMdd").alias("init_date"),
+            F.get("_p", F.lit(0)).alias("init_hour"),
+            F.get("_p", F.lit(1)).cast("int").alias("lead_time"),
         )
-        .dropna()
+        .where(F.col("init_date").isNotNull())
         .withColumn(
             "init_time",
             F.col("init_date").cast("timestamp_ntz")

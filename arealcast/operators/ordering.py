@@ -41,17 +41,21 @@ def _cuts(df: DataFrame, code: Column, splits: int) -> Column:
 
 
 def _with_slice(df: DataFrame, code: Column, cuts: Column, splits: int) -> DataFrame:
-    """Add ``_slice``, the number of borders below ``code``, found by halving the border list.
+    """Add ``_cuts`` and ``_slice``, the number of borders below ``code``.
 
-    ``splits`` is a power of two. Every step is a plain expression, so the lookup stays in generated code.
+    The border list is halved step by step; ``splits`` is a power of two.
     """
-    df = df.withColumn("_cuts", cuts).withColumn("_code", code).withColumn("_slice", F.lit(0))
-    step = splits // 2
-    while step:
-        above = F.element_at("_cuts", F.col("_slice") + step) < F.col("_code")
-        df = df.withColumn("_slice", F.when(above, F.col("_slice") + step).otherwise(F.col("_slice")))
-        step //= 2
-    return df.drop("_cuts", "_code")
+    steps = [1 << k for k in reversed(range(splits.bit_length() - 1))]
+    located = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: at + F.when(F.element_at("_cuts", at + step) < F.col("_code"), step).otherwise(0),
+    )
+    return (
+        df.withColumns({"_cuts": cuts, "_code": code})
+        .withColumn("_slice", F.coalesce(located, F.lit(0)))
+        .drop("_code")
+    )
 
 
 def with_row_number(
@@ -92,90 +96,113 @@ def with_row_number(
         numbered = sliced
         before_col = F.element_at(table.scalar(), F.col("_slice"))
     return numbered.withColumn(name, (before_col + F.row_number().over(within)).cast("long")).drop(
-        "_slice", "_before"
+        "_slice", "_before", "_cuts"
     )
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    name: str = "q",
-    splits: int = SPLITS,
+def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``_v`` and ``_n``: every distinct value with its count; NULL, NaN and NULL keys are left out."""
+    v = F.col(value).cast("double")
+    # Plain IS NOT NULL tests are the ones the optimizer would infer for the joins below; stating them here
+    # keeps all uses of the result identical, so its shuffle is built once and reused.
+    keep = v.isNotNull() & ~F.isnan(v)
+    for key in keys:
+        keep = keep & F.col(key).isNotNull()
+    return df.where(keep).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def profile(
+    counted: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), splits: int = SPLITS
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles: ``keys``, ``name`` (array aligned with ``probs``), ``n_values``.
+    """Exact quantiles and moments of a ``value_counts`` table.
 
-    NULL and NaN values are ignored; groups with a NULL key or no value give no row.
+    Gives ``keys``, ``q`` (linear-interpolated quantiles aligned with ``probs``), count, mean, std (sample),
+    min and max. Every pass reads the same shuffled counts.
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
-    counted = (
-        df.where(v.isNotNull() & ~F.isnan(v))
-        .select(*keys, v.alias("_v"))
-        .dropna(subset=keys or None)
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    # The count stays referenced so that every use shares one shuffle of the distinct values.
+    # The count stays referenced so that the sketch reads the same shuffle as the other passes.
     code = F.when(F.col("_n") > 0, F.col("_v"))
     sliced = _with_slice(counted, F.col("_v"), _cuts(counted, code, splits), splits)
 
-    # One row per key and slice: at most splits + 1 rows per key.
+    # One row per key and slice, at most splits rows per key. Squares are taken from a border of the slice,
+    # so values far from zero do not cancel.
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    position = lambda p, total: F.lit(float(p)) * (total - 1)
-    total = F.col("_total")
-    ranks = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(F.floor(position(p, total)).cast("long"), F.ceil(position(p, total)).cast("long"))
-                    for p in probs
-                ]
-            )
-        )
-    )
-    wanted = (
+    n, total = F.col("_n"), F.col("_total")
+    d = F.col("_v") - F.element_at("_cuts", F.greatest("_slice", F.lit(1)))
+    slices = (
         sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_size").over(per_key))
-        .withColumn(
-            "_ranks",
-            F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))),
+        .agg(
+            F.sum(n).alias("_size"),
+            F.sum(n * F.col("_v")).alias("_sum"),
+            F.greatest(F.sum(n * d * d) - F.sum(n * d) * F.sum(n * d) / F.sum(n), F.lit(0.0)).alias("_m2"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+        )
+        .select(
+            "*",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+            F.sum("_size").over(per_key).alias("_total"),
+            (F.sum("_sum").over(per_key) / F.sum("_size").over(per_key)).alias("_mean"),
         )
-        .where(F.size("_ranks") > 0)
-        .drop("_size")
     )
+    gap = F.col("_sum") / F.col("_size") - F.col("_mean")
+    spread = F.sum(F.col("_m2") + F.col("_size") * gap * gap).over(per_key)
+    position = lambda p: F.lit(float(p)) * (total - 1)
+    ranks = F.array_distinct(
+        F.array(*[f(position(p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+    )
+    summary = {
+        "_total": total,
+        "_mean": F.col("_mean"),
+        "_spread": spread,
+        "_low": F.min("_min").over(per_key),
+        "_high": F.max("_max").over(per_key),
+    }
+    wanted = slices.select(
+        *keys,
+        "_slice",
+        "_before",
+        *[c.alias(name) for name, c in summary.items()],
+        F.filter(
+            ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))
+        ).alias("_ranks"),
+    ).where(F.size("_ranks") > 0)
+
     run = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_end")
     picked = (
-        sliced.join(wanted, [*keys, "_slice"])
+        sliced.drop("_cuts")
+        .join(wanted, [*keys, "_slice"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(run))
-        .withColumn(
-            "_hits",
-            F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))),
-        )
-        .where(F.size("_hits") > 0)
+        .withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= end - n) & (r < end))))
     )
     # At most two ranks per probability remain.
-    found = (
-        picked.select(*keys, "_total", F.explode("_hits").alias("_r"), "_v")
-        .groupBy(*keys)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"),
-            F.max("_total").alias("_total"),
-        )
+    found = picked.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"),
+        *[F.max(name).alias(name) for name in summary],
     )
     at = F.col("_at")
 
     def interpolate(p: float) -> Column:
-        pos = position(p, total)
+        pos = position(p)
         lo = F.try_element_at(at, F.floor(pos).cast("long"))
         hi = F.try_element_at(at, F.ceil(pos).cast("long"))
         return lo + (hi - lo) * (pos - F.floor(pos))
 
-    result = found.select(
-        *keys, F.array(*[interpolate(p) for p in probs]).alias(name), total.alias("n_values")
+    return found.where(total.isNotNull()).select(
+        *keys,
+        F.array(*[interpolate(p) for p in probs]).alias("q"),
+        total.alias("count"),
+        F.col("_mean").alias("mean"),
+        F.when(total > 1, F.sqrt(F.col("_spread") / F.nullif(total - 1, F.lit(0)))).alias("std"),
+        F.col("_low").alias("min"),
+        F.col("_high").alias("max"),
     )
-    return result.where(F.col("n_values").isNotNull())
+
+
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), splits: int = SPLITS
+) -> DataFrame:
+    """Exact linear-interpolated quantiles: ``keys`` and ``q`` (array aligned with ``probs``)."""
+    return profile(value_counts(df, value, keys), probs, keys, splits).select(*keys, "q")

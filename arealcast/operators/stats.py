@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealcast.functions import scalars as S
-from arealcast.operators.ordering import quantiles, with_row_number
+from arealcast.operators.ordering import profile, quantiles, value_counts, with_row_number
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -16,22 +16,9 @@ QUARTILES = [0.25, 0.5, 0.75]
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (sample), min, q25, q50, q75, max of ``value`` per group."""
     by = list(by)
-    rows = df.dropna(subset=by) if by else df
-    moments = rows.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    cuts = quantiles(rows, value, QUARTILES, by)
+    out = profile(value_counts(df, value, by), QUARTILES, by)
     q = [F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-    if by:
-        cuts = cuts.select(*by, *q)
-        joined = moments.join(cuts, by, "left")
-    else:
-        joined = moments.withColumn("q", cuts.select("q").scalar()).select("*", *q)
-    return joined.select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return out.select(*by, "count", "mean", "std", "min", *q, "max")
 
 
 def mean_std(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -88,21 +75,20 @@ def shared_histogram(
 def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (extreme data within ``whis`` times the IQR) and outlier count per group."""
     by = list(by)
-    cuts = quantiles(df, value, QUARTILES, by).select(
-        *by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-    )
-    v = F.col(value)
+    counted = value_counts(df, value, by)
+    names = ("q1", "median", "q3")
+    cuts = profile(counted, QUARTILES, by).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    v = F.col("_v")
     reach = (F.col("q3") - F.col("q1")) * whis
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.where(v.isNotNull())
-        .join(cuts, by)
+        counted.join(cuts, by)
         .groupBy(*by)
         .agg(
-            *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
+            *[F.max(c).alias(c) for c in names],
             F.min(F.when(inside, v)).alias("whisker_lo"),
             F.max(F.when(inside, v)).alias("whisker_hi"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
         )
     )
 
@@ -117,27 +103,31 @@ def gaussian_kde(
     ``common_norm`` scales each group by its share of all rows.
     """
     by = list(by)
-    v = F.col(value)
-    rows = df.where(v.isNotNull()).dropna(subset=by)
-    counted = rows.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    scale = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        (F.stddev_samp(v) * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h"),
-        F.min(v).alias("_lo"),
-        F.max(v).alias("_hi"),
-    ).where(F.col("_h") > 0)
+    counted = value_counts(df, value, by)
+    n = F.col("count")
+    scale = (
+        profile(counted, [0.5], by)
+        .select(
+            *by,
+            n.alias("_total"),
+            (F.col("std") * F.pow(n, F.lit(-0.2))).alias("_h"),
+            F.col("min").alias("_lo"),
+            F.col("max").alias("_hi"),
+        )
+        .where(F.col("_h") > 0)
+    )
     lo, hi = F.col("_lo") - F.col("_h") * cut, F.col("_hi") + F.col("_h") * cut
     point = lo + F.col("grid_index") * ((hi - lo) / (gridsize - 1))
     z = (F.col("x") - F.col("_v")) / F.col("_h")
-    norm = F.col("_n")
+    norm = F.col("_total")
     if common_norm:
-        norm = rows.agg(F.count(F.lit(1))).scalar()
+        norm = counted.agg(F.sum("_n")).scalar()
     return (
         counted.join(scale, by)
         .withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
         .withColumn("x", point)
-        .groupBy(*by, "grid_index", "x", "_n", "_h")
-        .agg(F.sum(F.col("_c") * F.exp(-(z * z) / 2)).alias("_k"))
+        .groupBy(*by, "grid_index", "x", "_total", "_h")
+        .agg(F.sum(F.col("_n") * F.exp(-(z * z) / 2)).alias("_k"))
         .select(*by, "grid_index", "x", (F.col("_k") / (norm * F.col("_h") * F.sqrt(2 * F.pi()))).alias("density"))
     )
 

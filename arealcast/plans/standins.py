@@ -143,25 +143,26 @@ class StandIns:
         )
 
     def files(self) -> DataFrame:
-        day = F.date_format("l_shipdate", "yyyyMMdd")
+        """Forecast file paths. The date is read from an aggregate so that path filters stay above it."""
+        day = F.date_format(F.max("l_shipdate"), "yyyyMMdd")
         lead = (F.col("l_linenumber") * 24).cast("string")
         return (
             self.raw("lineitem")
-            .select("l_linenumber", "l_shipdate")
-            .distinct()
+            .groupBy("l_linenumber", "l_shipdate")
+            .agg(day.alias("_day"))
             .select(
                 F.concat(
-                    F.lit("/fc/0.125/2t/0000/"), lead, F.lit("/m1_fc_2t_0000_"), lead, F.lit("_"), day, F.lit(".nc")
+                    F.lit("/fc/0.125/2t/0000/"), lead, F.lit("/m1_fc_2t_0000_"), lead, F.lit("_"), "_day", F.lit(".nc")
                 ).alias("path")
             )
         )
 
     def analysis_files(self) -> DataFrame:
-        day = F.date_format("o_orderdate", "yyyyMMdd")
+        day = F.date_format(F.max("o_orderdate"), "yyyyMMdd")
         return (
             self.raw("orders")
-            .select("o_orderdate")
-            .distinct()
-            .select(F.concat(F.lit("/an/0.125/2t/m1_an_2t_"), day, F.lit(".nc")).alias("path"))
+            .groupBy("o_orderdate")
+            .agg(day.alias("_day"))
+            .select(F.concat(F.lit("/an/0.125/2t/m1_an_2t_"), "_day", F.lit(".nc")).alias("path"))
         )
 
