@@ -15,7 +15,7 @@ from arealcast.functions import timefn as T
 from arealcast.functions.ids import file_date
 
 # Init hour, lead, optional year and month folders, then the date in the file name.
-FC_PATH = r"^.*/(\d{4})/(\d+)/(?:\d{4}/\d{2}/)?[^/]*_(\d{8})(?:\D[^/]*)?\.{ext}$"
+FC_PATH = r"^.*?/(\d{4})/(\d+)/(?:\d{4}/\d{2}/)?[^/]*_(\d{8})(?:\D[^/]*)?\.{ext}$"
 # Fixed value: month folder of a reanalysis path.
 MONTH_FOLDER = r"/(\d{6})/[^/]+$"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Slices per ordering; a power of two.
+# Slices per ordering; a power of two, at least 2.
 SPLITS = 256
 
 

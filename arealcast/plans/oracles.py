@@ -279,6 +279,10 @@ ORACLES: dict[str, str] = {
     "anomaly_table": sql(f"SELECT {BIAS}, day_of_year, {rs('t2m_clim fc_anom an_anom')} FROM anom", "anom"),
     "climatology": sql(f"SELECT geo_id, day_of_year, {r('t2m_clim')} FROM clim", "clim"),
     "climatology_incremental": sql(f"SELECT geo_id, day_of_year, {r('t2m_clim')} FROM clim", "clim"),
+    "climatology_stream": f"""
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
+        {noleap('l_shipdate')} AS day_of_year, {r('avg(2.7315e2 + l_quantity)', 't2m_clim')}
+        FROM lineitem WHERE NOT (month(l_shipdate) = 2 AND day(l_shipdate) = 29) GROUP BY 1, 2""",
     "daily_series_without_leap_days": sql(f"SELECT geo_id, time, {r('t2m')}, {{doy:time}} AS day_of_year FROM daily", "daily"),
     "model_comparison": sql(
         f"""SELECT a.geo_id, a.valid_time, a.lead_time, {r('a.bias', 'bias_ifs')}, {r('a.abs_error', 'abs_error_ifs')},

@@ -11,6 +11,8 @@ from arealcast.operators import asof as A
 from arealcast.operators import climatology as C
 from arealcast.operators import verify as V
 from arealcast.plans.registry import Tables, query, rounded
+from arealcast.session import shared_dir
+from arealcast.streaming.incremental import climatology_from_state, climatology_state
 
 
 @query
@@ -195,3 +197,15 @@ def analysis_nearest_step(t: Tables) -> DataFrame:
         "geo_id", (F.col("valid_time") + F.make_dt_interval(F.lit(0), F.lit(12))).alias("time")
     ).distinct()
     return rounded(A.asof_nearest(noon, t.analyses(), ["geo_id"], "time", ["t2m"], 30 * 86_400))
+
+
+@query
+def climatology_stream(t: Tables) -> DataFrame:
+    """Climatology of single observations, folded in by a file stream over the whole table."""
+    # A pattern, because a stream takes a single file only that way.
+    source = f"{t.dir}/lineitem.parquet*"
+    state, checkpoint = shared_dir(t.spark, "clim-state"), shared_dir(t.spark, "clim-checkpoint")
+    stream = t.spark.readStream.schema(t.raw("lineitem").schema).parquet(source)
+    daily = stream.select(t._area_id("l_suppkey"), F.col("l_shipdate").alias("time"), t.t2m.alias("t2m"))
+    climatology_state(daily, state, checkpoint).awaitTermination()
+    return rounded(climatology_from_state(t.spark, state))
