@@ -78,7 +78,7 @@ def align(forecasts: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFra
     fc = forecasts.withColumn("valid_time", T.valid_time(F.col("init_time"), F.col("lead_time")))
     an = analyses.groupBy("time").agg(F.max("path").alias("path"))
     fc_kept = fc.join(an.select(F.col("time").alias("valid_time")), "valid_time", "left_semi")
-    an_kept = an.join(fc.select(F.col("valid_time").alias("time")), "time", "left_semi")
+    an_kept = an.join(fc.select(F.col("valid_time").alias("time")).distinct(), "time", "left_semi")
     return fc_kept, an_kept
 
 
@@ -121,10 +121,11 @@ def grid_mismatches(cells: DataFrame, reference: DataFrame, file: str = "path")
 
 def common_times(*tables: DataFrame, time: str = "time") -> DataFrame:
     """Distinct times present in every table."""
-    out = tables[0].select(time)
+    # Distinct times meet, not rows, so a time with very many rows costs no more than any other.
+    out = tables[0].select(time).distinct()
     for other in tables[1:]:
-        out = out.intersect(other.select(time))
-    return out.distinct()
+        out = out.join(other.select(time).distinct(), time, "left_semi")
+    return out
 
 
 def complete_dates(paths: DataFrame, init_hours: Sequence[str], leads: Sequence[int]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealcast.functions import scalars as S
+from arealcast.functions.ids import first_present
 from arealcast.operators.ordering import with_row_number
 
 CELL = ["grid_id", "lat", "lon"]
@@ -68,6 +69,7 @@ def regular_grid(box: DataFrame, step: float) -> DataFrame:
     n = lambda lo, hi: F.floor((F.col(hi) - F.col(lo)) / step + 1e-9).cast("int")
     return (
         box.withColumn("i", F.explode(F.sequence(F.lit(0), n("south", "north"))))
+        .repartition("i")  # rows of the grid are filled in by many tasks
         .withColumn("j", F.explode(F.sequence(F.lit(0), n("west", "east"))))
         .withColumn("lat", F.col("south") + F.col("i") * step)
         .withColumn("lon", F.col("west") + F.col("j") * step)
@@ -84,6 +86,34 @@ def _indexed(source: DataFrame, value: str, keys: Sequence[str], lat0: float, lo
     )
 
 
+def gridded_scan(df: DataFrame, value: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Normalise a scanned field: grid_id, lat, lon, an optional time, ``extra`` and the value.
+
+    Latitude, longitude and time may carry their common other names; longitudes are wrapped; NaN becomes
+    NULL. A missing value column or a further dimension is an error.
+    """
+    if value not in df.columns:
+        raise KeyError(f"variable {value!r} not in {df.columns}")
+    lat = first_present(df, ["lat", "latitude"])
+    lon = first_present(df, ["lon", "longitude"])
+    times = [c for c in df.columns if c.lower() in ("time", "valid_time")]
+    known = {lat, lon, "grid_id", value, *times, *extra}
+    unknown = [c for c in df.columns if c not in known]
+    if unknown or len(times) > 1:
+        raise ValueError(f"unsupported dimensions {unknown or times}")
+    grid = F.col("grid_id") if "grid_id" in df.columns else F.lit(0)
+    kind = df.schema[value].dataType.typeName()
+    v = S.nan_to_null(F.col(value)) if kind in ("double", "float") else F.col(value)
+    return df.select(
+        grid.alias("grid_id"),
+        F.col(lat).alias("lat"),
+        S.wrap_longitude(F.col(lon)).alias("lon"),
+        *[F.col(c).alias("time") for c in times],
+        *extra,
+        v.alias(value),
+    )
+
+
 def regrid_nearest(
     source: DataFrame,
     targets: DataFrame,

@@ -151,7 +151,6 @@ def _prepared(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return polygons.select(
         *keep,
-        "rings",
         F.array_min(xs).alias("_px0"),
         F.array_max(xs).alias("_px1"),
         F.array_min(ys).alias("_py0"),

@@ -292,6 +292,8 @@ ORACLES: dict[str, str] = {
     "spill_over_month": sql(
         f"""SELECT geo_id, valid_time, init_time, lead_time, {r('t2m')}, {ym('init_time')} FROM fc1
         WHERE valid_time >= TIMESTAMP '1998-03-01' AND valid_time < TIMESTAMP '1998-04-01'""", "fc1"),
+    "stored_chunks": sql(f"SELECT geo_id, valid_time, init_time, {r('t2m')}, {ym('init_time')}, lead_time FROM fc1", "fc1"),
+    "streamed_chunks": sql(f"SELECT geo_id, time, {r('t2m')}, {ym('time')} FROM an", "an"),
     "skill_by_lead": sql(f"SELECT model, lead_time, {SKILL} FROM {BOTH} GROUP BY model, lead_time", "bias1", "bias2"),
     "skill_by_lead_area_weighted": sql(f"SELECT model, lead_time, {ACC_SKILL} FROM {BOTH} WHERE aland IS NOT NULL GROUP BY model, lead_time", "bias1", "bias2"),
     "bias_month_lead": sql(f"SELECT CAST(month(valid_time) AS INTEGER) AS month, lead_time, {r('avg(bias)', 'mean_bias')} FROM bias1 GROUP BY 1, 2", "bias1"),
@@ -568,6 +570,8 @@ ORACLES: dict[str, str] = {
     "weight_table_key": sql(
         """SELECT grid_id, substr(sha256(concat_ws('|', 'polygons.parquet', '2024-01-01',
         array_to_string(list_sort(list(DISTINCT lat)), ','), array_to_string(list_sort(list(DISTINCT lon)), ','))), 1, 16) AS key FROM cells GROUP BY 1""", "cells"),
+    "stored_weights": sql(f"SELECT grid_id, geo_id, {rs('lat lon')}, {r('w * 1000', 'w')} FROM weights", "weights"),
+    "gridded_scan": sql(f"SELECT grid_id, {rs('lat lon')}, time, {r('CASE WHEN f <= 320 THEN f END', 'f')} FROM obs", "obs"),
     "area_attributes": sql(f"SELECT geo_id, {r('aland')} FROM land", "land"),
     "cell_error_cube": sql(f"SELECT grid_id, {rs('lat lon')}, time, {r('f - a', 'error')} FROM mobs", "mobs"),
     # ---------------------------------------------------------------- catalogues and reports

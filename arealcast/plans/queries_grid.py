@@ -11,10 +11,10 @@ from arealcast.operators import areal as AR
 from arealcast.operators import climatology as C
 from arealcast.operators import grid as GR
 from arealcast.operators import spatial as SP
-from arealcast.operators import verify as V
 from arealcast.plans.registry import Tables, query, rounded
 from arealcast.plans.standins import LAT0, LON0, STEP
-from arealcast.sources.weights import weight_keys
+from arealcast.session import shared_dir
+from arealcast.sources.weights import cached_weights, weight_keys
 
 DOMAIN = ["grid_id"]
 
@@ -236,6 +236,27 @@ def weight_table_key(t: Tables) -> DataFrame:
     return weight_keys(t.cells(), "polygons.parquet", "2024-01-01")
 
 
+@query
+def stored_weights(t: Tables) -> DataFrame:
+    """Weights from the keyed store, filled on first use."""
+    root = shared_dir(t.spark, "weights")
+    w = cached_weights(t.spark, root, t.cells(), t.polygons(), "polygons.parquet", "2024-01-01", ("grid_id",))
+    return rounded(w.withColumn("w", F.col("w") * 1000))
+
+
+@query
+def gridded_scan(t: Tables) -> DataFrame:
+    """A field with other coordinate names and longitudes from 0 to 360."""
+    raw = t.cell_observations().select(
+        "grid_id",
+        F.col("lat").alias("latitude"),
+        (F.col("lon") + 360.0).alias("longitude"),
+        F.col("time").alias("valid_time"),
+        F.when(F.col("f") > 320.0, float("nan")).otherwise(F.col("f")).alias("f"),
+    )
+    return rounded(GR.gridded_scan(raw, "f"))
+
+
 @query
 def area_attributes(t: Tables) -> DataFrame:
     return rounded(t.area().select("geo_id", S.m2_to_km2(F.col("aland_m2")).alias("aland")))
@@ -246,5 +267,5 @@ def cell_error_cube(t: Tables) -> DataFrame:
     """Gridded error written out by the exploration jobs."""
     obs = _mean_obs(t)
     return rounded(
-        obs.select("grid_id", "lat", "lon", "time", V.S.bias(F.col("f"), F.col("a")).alias("error"))
+        obs.select("grid_id", "lat", "lon", "time", S.bias(F.col("f"), F.col("a")).alias("error"))
     )

@@ -17,6 +17,7 @@ from arealcast.operators import spatial as SP
 from arealcast.operators import stats as ST
 from arealcast.operators import verify as V
 from arealcast.plans.registry import Tables, query, rounded
+from arealcast.session import materialize
 
 # Probabilities of the quantile vector.
 TWENTIETHS = [round(0.05 * k, 2) for k in range(21)]
@@ -314,11 +315,12 @@ def model_input(t: Tables) -> DataFrame:
 
 @query
 def model_rows_for_lead(t: Tables) -> DataFrame:
-    rows = M.ordered_for_lead(_model_input(t), G.node_table(t.polygons()), 24)
-    return rounded(M.design_matrix(rows))
+    # Stored once, as the standardisation reads it twice.
+    rows = materialize(_model_input(t), "model-input")
+    return rounded(M.design_matrix(M.ordered_for_lead(rows, G.node_table(t.polygons()), 24)))
 
 
 @query
 def ols_fixed_effects(t: Tables) -> DataFrame:
-    rows = _model_input(t).where(F.col("lead_time") == 24)
+    rows = materialize(_model_input(t), "model-input").where(F.col("lead_time") == 24)
     return rounded(M.fixed_effects(M.design_matrix(rows)))

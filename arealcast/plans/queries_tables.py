@@ -12,7 +12,8 @@ from arealcast.operators import climatology as C
 from arealcast.operators import verify as V
 from arealcast.plans.registry import Tables, query, rounded
 from arealcast.session import shared_dir
-from arealcast.streaming.incremental import climatology_from_state, climatology_state
+from arealcast.sources import chunks as CH
+from arealcast.streaming.incremental import climatology_from_state, climatology_state, new_chunks
 
 
 @query
@@ -74,6 +75,27 @@ def spill_over_month(t: Tables) -> DataFrame:
     return rounded(V.spill_over_month(chunked, 1998, 3, 168))
 
 
+@query
+def stored_chunks(t: Tables) -> DataFrame:
+    """Forecast chunks written in two runs, the second only adding what the first left out."""
+    path = shared_dir(t.spark, "chunks")
+    fc = t.forecasts()
+    CH.resume(fc.where(F.year("init_time") < 1998), path, "fc")
+    CH.resume(fc, path, "fc")
+    return rounded(t.spark.read.parquet(path))
+
+
+@query
+def streamed_chunks(t: Tables) -> DataFrame:
+    """Analysis chunks kept up to date by a file stream."""
+    source, target, checkpoint = (shared_dir(t.spark, f"an-{n}") for n in ("source", "target", "checkpoint"))
+    t.analyses().write.parquet(source)
+    new_chunks(
+        t.spark, source, "geo_id string, time timestamp_ntz, t2m double", target, checkpoint, "an"
+    ).awaitTermination()
+    return rounded(t.spark.read.parquet(target))
+
+
 @query
 def skill_by_lead(t: Tables) -> DataFrame:
     return rounded(V.skill_by_lead({"ifs": t.bias(), "aifs": t.bias(second=True)}))
