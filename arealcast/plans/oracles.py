@@ -167,7 +167,7 @@ def season_of_doy(d: str) -> str:
 
 def r(expr: str, name: str = "") -> str:
     """Rounded like the registered query."""
-    return f"round(round({expr}, 9), 6) + 0e0 AS {name or expr.split('.')[-1]}"
+    return f"floor(round({expr}, 9) * 1e6 + 5e-1) / 1e6 AS {name or expr.split('.')[-1]}"
 
 
 def rs(names: str, prefix: str = "") -> str:
@@ -527,9 +527,9 @@ ORACLES: dict[str, str] = {
     "cell_mae_season": sql(f"SELECT grid_id, {rs('lat lon')}, {season('time')} AS season, {r('avg(abs(f - a))', 'mae')} FROM mobs GROUP BY grid_id, lat, lon, {season('time')}", "mobs"),
     "cube_marginals": sql(
         f"""SELECT 'lat' AS margin, CAST(NULL AS TIMESTAMP) AS time, {r('lat')}, {r('avg(f)', 'mean')}, count(f) AS n FROM obs GROUP BY lat
-        UNION ALL SELECT 'time', time, NULL, round(round(avg(f), 9), 6) + 0e0, count(f) FROM obs GROUP BY time
-        UNION ALL SELECT 'time_lat', time, round(lat, 6) + 0e0, round(round(avg(f), 9), 6) + 0e0, count(f) FROM obs GROUP BY time, lat
-        UNION ALL SELECT 'all', NULL, NULL, round(round(avg(f), 9), 6) + 0e0, count(f) FROM obs""", "obs"),
+        UNION ALL SELECT 'time', time, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs GROUP BY time
+        UNION ALL SELECT 'time_lat', time, floor(round(lat, 9) * 1e6 + 5e-1) / 1e6, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs GROUP BY time, lat
+        UNION ALL SELECT 'all', NULL, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs""", "obs"),
     "reconstruction_rmse": sql(f"SELECT {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs", "obs"),
     "reconstruction_rmse_cell": sql(f"SELECT grid_id, {rs('lat lon')}, {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs GROUP BY grid_id, lat, lon", "obs"),
     "lat_profile": sql(

@@ -37,9 +37,14 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Round the given columns (all DOUBLE ones by default) so that sums in another order compare equal.
 
-    Rounding to nine digits first removes the noise that would decide a tie at the last digit kept.
+    Rounding to nine digits first removes the noise that would decide a tie at the last digit kept; the second
+    step is spelled out so that every engine does the same arithmetic.
     """
     names: Sequence[str] = columns or [n for n, t in df.dtypes if t == "double"]
+    unit = 10.0**DIGITS
     return df.select(
-        *[(F.round(F.round(c, DIGITS + 3), DIGITS) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
+        *[
+            (F.floor(F.round(c, DIGITS + 3) * unit + 0.5) / unit).alias(c) if c in names else F.col(c)
+            for c in df.columns
+        ]
     )
