@@ -200,8 +200,8 @@ def overlap_weights(
         _candidates(cells, polygons.withColumn("_edges", edges), keys, tile, ("geo_id", "_edges"))
         .withColumn("_s0", sin("lat_lo"))
         .withColumn("_s1", sin("lat_hi"))
-        .withColumn("w", area)
-        .where(F.col("w") > cell_area * 1e-9)
+        # Filtered inside the array, so that the fold over the edges runs once per pair.
+        .withColumn("w", F.explode(F.filter(F.array(area), lambda w: w > cell_area * 1e-9)))
         .select(*dict.fromkeys([*keys, "grid_id", "geo_id", "lat", "lon", "w"]))
     )
 
