@@ -6,6 +6,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from arealcast.plans.oracles import ORACLES
+from arealcast.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +15,7 @@ def con(folder):
     return compare.connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, folder, name):
     difference, rows, _, _ = compare.check(spark, con, folder, name)
     assert difference is None
@@ -26,7 +28,7 @@ def test_entry(spark):
 
 
 def test_only_the_fit_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"ols_fixed_effects"}
+    assert set(QUERIES) - set(ORACLES) == {"ols_fixed_effects"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
