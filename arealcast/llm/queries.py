@@ -8,14 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealcast.llm import bpe, quality, simhash, suffixes
+from arealcast.llm import bpe, decontamination, language, licences, mixing, quality, simhash, suffixes, toxicity, warc
 from arealcast.llm.common import table
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op2_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find_repeats(table(spark, sf_dir, "documents"))
 
@@ -29,7 +49,23 @@ def op9_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pivot_simhash, op7_sparse_suffix_repeats, op8_risk_controlled_quality, op9_heap_bpe_counts)
+    f.__name__: f
+    for f in (
+        op1_entropy_mix,
+        op2_rare_token_licences,
+        op3_pivot_simhash,
+        op4_crf_languages,
+        op5_minhash_containment,
+        op6_compression_toxicity,
+        op7_sparse_suffix_repeats,
+        op8_risk_controlled_quality,
+        op9_heap_bpe_counts,
+        op10_warc_transactions,
+    )
 }
 ORACLES: dict[str, str] = {}
