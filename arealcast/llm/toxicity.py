@@ -18,8 +18,7 @@ from arealcast.llm.samples import held_out, labelled_sample
 
 #: Labelled rows of each class that the dictionaries and the thresholds are learned from, at most; whole texts.
 TOXIC_ROWS, ORDINARY_ROWS = 1000, 2000
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
-LEVEL = 19  # shortest matches, so that a single word counts
+ORDINARY_BYTES, TOXIC_BYTES = 4096, 4096
 TIMES = 3  # a window is a word so many times: its first place costs its literals or a match, the others next to nothing
 REMEMBERED = 300_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,9 +51,13 @@ class Distance(dict):
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # Matches of five bytes on, searched exhaustively: a single word tells, its common endings do not.
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=15, hash_log=15, chain_log=16, search_log=7,
+            target_length=64, write_content_size=False, write_dict_id=False,
+        )
+        content_only = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(dict_data=content_only, compression_params=how)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -67,14 +70,19 @@ class Distance(dict):
         return out
 
 
+#: Gains from which a window counts, each by itself.
+GAINS = (1, 2, 4)
+
+
 def document_features(distance: Distance, text: bytes) -> tuple[float, ...]:
-    """Largest gain, number of windows with a clear gain (logarithm), and their share, of the text's words."""
+    """Of the text's windows: whether any, how many (logarithm) and which share (root) gain so many bytes."""
     words = words_of(text)
     gains = np.fromiter(map(distance.__getitem__, words), np.int64, len(words))
-    if not len(gains):
-        return 0.0, 0.0, 0.0, 0.0
-    clear = int(np.count_nonzero(gains >= 2))
-    return float(min(8, max(0, gains.max()))), float(clear > 0), float(np.log1p(clear)), float(np.sqrt(clear / len(gains)))
+    out: list[float] = []
+    for least in GAINS:
+        k = int(np.count_nonzero(gains >= least))
+        out += [float(k > 0), float(np.log1p(k)), float(np.sqrt(k / max(1, len(gains))))]
+    return tuple(out)
 
 
 def contexts(texts: Sequence[bytes]) -> dict[bytes, int]:
@@ -95,25 +103,44 @@ def contexts(texts: Sequence[bytes]) -> dict[bytes, int]:
     return {w: int(counts[i]) for w, i in number.items() if i}
 
 
-def toxic_content(toxic: Sequence[bytes], ordinary: Sequence[bytes], least: int = 5, times: float = 6.0, z: float = 6.0) -> bytes:
-    """The toxic dictionary: windows of words whose contexts lie in toxic texts far more often than chance has it.
+def units_of(word: bytes) -> list[bytes]:
+    """What the dictionary may hold of a word: its beginnings of 4 to 10 bytes, and the whole word with the blank behind it."""
+    return [word[:k] for k in range(4, min(10, len(word)) + 1)] + [word + b" "]
+
+
+def toxic_content(toxic: Sequence[bytes], ordinary: Sequence[bytes], least: int = 5, odds: float = 8.0, z: float = 6.0) -> bytes:
+    """The toxic dictionary: words and beginnings of words whose contexts lie in toxic texts far more often than in others.
 
     The dictionary trainer picks stretches that are common in its samples; in toxic texts these are mostly the common
-    stretches of the language, which tell nothing. So samples are first held against the ordinary texts. The most
-    frequent come last, nearest to the window.
+    stretches of the language, which tell nothing. So samples are first held against the ordinary texts. Of units that
+    begin alike the one with most contexts stays. The most frequent come last, nearest to the window.
     """
     a, b = contexts(toxic), contexts(ordinary)
-    share = sum(a.values()) / max(1, sum(a.values()) + sum(b.values()))
-    chosen = []
+    n_a, n_b = max(1, sum(a.values())), max(1, sum(b.values()))
+    units: dict[bytes, int] = {}
     for word, k in a.items():
-        both = k + b.get(word, 0)
-        if k >= least and k / both >= min(1.0, times * share) and (k - both * share) / np.sqrt(both * share) > z:
-            chosen.append((k, word))
+        for u in units_of(word):
+            units[u] = units.get(u, 0) + k
+    units = {u: k for u, k in units.items() if k >= least}
+    other = dict.fromkeys(units, 0)
+    for word, k in b.items():
+        for u in units_of(word):
+            if u in other:
+                other[u] += k
+    chosen: list[tuple[int, bytes]] = []
+    for u, k in sorted(units.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
+        chance = (k + other[u]) * n_a / (n_a + n_b)
+        if k / n_a < odds * (other[u] + 0.5) / n_b or (k - chance) / np.sqrt(chance) <= z:
+            continue
+        if not any(u.startswith(v) for _, v in chosen):
+            chosen.append((k, u))
     out = b""
-    for _, word in sorted(chosen, reverse=True):
-        if len(out) + len(window(word)) <= TOXIC_BYTES:
-            out = window(word)[1:] + out
-    return b" " + out
+    for k, start in chosen:
+        # As long as nearly all of its places go on alike, the whole of what goes on counts.
+        unit = max((u for u, n in units.items() if u.startswith(start) and n >= 0.85 * k), key=len)
+        if len(out) + len(unit) < TOXIC_BYTES:
+            out = b" " + unit + out
+    return out + b" "
 
 
 def ordinary_content(texts: Sequence[bytes], size: int = ORDINARY_BYTES) -> bytes:
@@ -148,7 +175,7 @@ def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
     if len(set(y)) < 2:
         share = (sum(v for _, v in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else -30.0
-        return Model(model.toxic, model.ordinary, (bias, 0.0, 0.0, 0.0, 0.0))
+        return Model(model.toxic, model.ordinary, (bias, *[0.0] * 3 * len(GAINS)))
     distance = Distance(model)
     w = logistic(np.array([document_features(distance, t) for t, _ in hold]), y)
     return Model(model.toxic, model.ordinary, tuple(float(v) for v in w))
@@ -181,7 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     def scored(texts: pa.Array) -> pa.Array:
         distance = distance_of(model)
-        x = np.array([document_features(distance, t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 4)
+        x = np.array([document_features(distance, t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 3 * len(GAINS))
         w = np.array(model.weights)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))), pa.float64())
 
