@@ -96,9 +96,16 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
         .join(items_.withColumnRenamed("item_id", "known"), F.col("item_id").eqNullSafe(F.col("known")))
         .drop("known")
     )
-    held = shingle_texts(alnum_words(F.col("text")), F.col("width"))
-    exact = exact.withColumn("n_shared", F.size(F.array_intersect("shingles", held))).where("n_shared >= need")
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("size"), "n_shared", "size")).alias("b"))
+    # The words are a column of their own: as an expression they would be split anew for every shingle.
+    exact = exact.withColumn("words", alnum_words(F.col("text"))).drop("text")
+    held = shingle_texts(F.col("words"), F.col("width"))
+    n_shared = F.size(F.array_intersect("shingles", held))
+    exact = exact.select("doc_id", "item_id", "size", "need", n_shared.alias("n_shared"))
+    best = exact.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct(F.col("n_shared") / F.col("size"), "n_shared", "size", "need")).alias("b")
+    )
+    # Filtered behind the aggregation: before it, Spark would move the test to where the words are not yet split.
+    best = best.where("b.n_shared >= b.need")
     return best.select(
         "doc_id",
         "item_id",
