@@ -102,14 +102,16 @@ def init_time_violations(rows: DataFrame) -> DataFrame:
 
 
 def grid_mismatches(cells: DataFrame, reference: DataFrame, file: str = "path") -> DataFrame:
-    """Files whose (lat, lon) set differs from the reference grid, with missing and extra cell counts.
+    """Files whose cells differ from the reference's, with missing and extra cell counts.
 
-    Both sides are stacked and counted by key, so neither a cross join nor a whole file on one task is needed.
+    A cell is (grid_id, lat, lon) where both sides have ``grid_id``, else (lat, lon). Both sides are stacked and
+    counted by key, so neither a cross join nor a whole file on one task is needed.
     """
-    ref = reference.select("lat", "lon").distinct()
+    key = [c for c in ("grid_id", "lat", "lon") if c != "grid_id" or {c} <= set(cells.columns) & set(reference.columns)]
+    ref = reference.select(*key).distinct()
     n_ref = ref.agg(F.count(F.lit(1))).scalar()
-    seen = cells.select(file, "lat", "lon").distinct()
-    flagged = seen.join(ref.withColumn("_known", F.lit(1)), ["lat", "lon"], "left")
+    seen = cells.select(file, *key).distinct()
+    flagged = seen.join(ref.withColumn("_known", F.lit(1)), key, "left")
     return (
         flagged.groupBy(file)
         .agg(F.count("_known").alias("_common"), F.count_if(F.col("_known").isNull()).alias("n_extra"))

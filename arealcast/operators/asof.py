@@ -25,49 +25,40 @@ def asof_nearest(
     and ``columns``.
 
     Work is split by time bucket: inside a bucket a window finds the neighbours, and across buckets only
-    each bucket's first and last observation travel, so the windows stay small however hot one key is.
+    each bucket's first and last observation travel. Both neighbours are running values, the following one
+    over the descending order, so a bucket costs no more than its sort however many rows one key has there.
     """
     keys = list(keys)
-    bucket = F.floor(epoch_seconds(F.col(time)) / bucket_seconds).alias("_b")
+    bucket = F.floor(epoch_seconds(F.col(time)) / bucket_seconds)
     payload = F.struct(F.col(time).alias("t"), *[F.col(c) for c in columns])
-    # One row per key and instant on both sides, whatever the number of duplicates.
-    asked = requests.select(*keys, time).dropna().distinct().withColumn("_b", bucket)
-    seen = (
-        observations.where(F.col(time).isNotNull())
-        .groupBy(*keys, time)
-        .agg(F.max(payload).alias("_obs"))
-        .withColumn("_b", bucket)
-    )
+    # One observation per key and instant, whatever the number of duplicates; requests travel as they are.
+    seen = observations.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.max(payload).alias("_obs"))
+    asked = requests.dropna(subset=[*keys, time]).select(*keys, time, F.struct("*").alias("_row"))
+    mixed = seen.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket)
+    # Dealt out once: the marks of the buckets and the neighbours inside them read the same shuffle.
+    mixed = mixed.repartition(*keys, "_b")
 
-    marks = (
-        seen.groupBy(*keys, "_b")
-        .agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
-        .unionByName(asked.select(*keys, "_b").distinct(), allowMissingColumns=True)
-        .groupBy(*keys, "_b")
-        .agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
-    )
-    by_key = Window.partitionBy(*keys).orderBy("_b")
+    marks = mixed.groupBy(*keys, "_b").agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    following = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select(
         *keys,
         "_b",
-        F.last("_last", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(by_key.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_before"),
+        F.last("_first", ignorenulls=True).over(following).alias("_after"),
     )
 
-    mixed = seen.withColumn("_ask", F.lit(False)).unionByName(
-        asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True
+    is_request = F.col("_row").isNotNull()
+    up = Window.partitionBy(*keys, "_b").orderBy(F.col(time), is_request).rowsBetween(Window.unboundedPreceding, 0)
+    down = (
+        Window.partitionBy(*keys, "_b")
+        .orderBy(F.col(time).desc(), is_request)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    in_bucket = Window.partitionBy(*keys, "_b").orderBy(F.col(time), F.col("_ask"))
     near = (
-        mixed.withColumn(
-            "_prev",
-            F.last("_obs", ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .withColumn(
-            "_next",
-            F.first("_obs", ignorenulls=True).over(in_bucket.rowsBetween(0, Window.unboundedFollowing)),
-        )
-        .where("_ask")
+        mixed.withColumn("_prev", F.last("_obs", ignorenulls=True).over(up))
+        .withColumn("_next", F.last("_obs", ignorenulls=True).over(down))
+        .where(is_request)
         .join(carried, [*keys, "_b"])
         .withColumn("_prev", F.coalesce("_prev", "_before"))
         .withColumn("_next", F.coalesce("_next", "_after"))
@@ -76,9 +67,13 @@ def asof_nearest(
         (F.col("_next.t") - F.col(time)) <= (F.col(time) - F.col("_prev.t"))
     )
     chosen = F.when(F.col("_next").isNotNull() & later, F.col("_next")).otherwise(F.col("_prev"))
-    matches = (
-        near.select(*keys, time, chosen.alias("_hit"))
+    first = [*keys, time]
+    return (
+        near.select("_row", chosen.alias("_hit"))
         .where(F.col("_hit").isNotNull())
-        .select(*keys, time, F.col("_hit.t").alias("matched_time"), *[F.col(f"_hit.{c}").alias(c) for c in columns])
+        .select(
+            *[F.col(f"_row.{c}").alias(c) for c in [*first, *[c for c in requests.columns if c not in first]]],
+            F.col("_hit.t").alias("matched_time"),
+            *[F.col(f"_hit.{c}").alias(c) for c in columns],
+        )
     )
-    return requests.join(matches, [*keys, time])

@@ -26,7 +26,9 @@ def _code(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.StringType):
         # The first six bytes as an integer: exact in a double.
         return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
         day = F.unix_date(col.cast("date")).cast("double") * 86400
         return day + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
     if isinstance(kind, T.DateType):

@@ -146,6 +146,10 @@ def covers_point(edges: Column, x: Column, y: Column) -> Column:
 
 
 # ---------------------------------------------------------------- candidate joins
+# Share of an area that sums over edges may be off by.
+NOISE = 1e-9
+
+
 def _prepared(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     points = F.flatten("rings")
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -195,13 +199,15 @@ def overlap_weights(
     edges = edges_of(_sine(F.col("rings")))
     sin = lambda c: F.sin(F.radians(F.col(c)))
     area = overlap_area(F.col("_edges"), F.col("lon_lo"), F.col("lon_hi"), F.col("_s0"), F.col("_s1"))
-    cell_area = (F.col("lon_hi") - F.col("lon_lo")) * (F.col("_s1") - F.col("_s0"))
+    # Rounding noise is held against the smaller of cell and polygon, so that no polygon is too small for its cell.
+    width = F.least(F.col("lon_hi") - F.col("lon_lo"), F.col("_px1") - F.col("_px0"))
+    height = F.least(F.col("_s1") - F.col("_s0"), sin("_py1") - sin("_py0"))
     return (
         _candidates(cells, polygons.withColumn("_edges", edges), keys, tile, ("geo_id", "_edges"))
         .withColumn("_s0", sin("lat_lo"))
         .withColumn("_s1", sin("lat_hi"))
         # Filtered inside the array, so that the fold over the edges runs once per pair.
-        .withColumn("w", F.explode(F.filter(F.array(area), lambda w: w > cell_area * 1e-9)))
+        .withColumn("w", F.explode(F.filter(F.array(area), lambda w: w > width * height * NOISE)))
         .select(*dict.fromkeys([*keys, "grid_id", "geo_id", "lat", "lon", "w"]))
     )
 
@@ -220,9 +226,10 @@ def join_cells(
     shared = overlap_area(F.col("_edges"), *box)
     ids = list(dict.fromkeys([*keys, "grid_id", "lat", "lon"]))
     if predicate == "within":
-        return pairs.where(F.abs(shared - cell_area) <= cell_area * 1e-9).select(*ids, "geo_id")
+        return pairs.where(F.abs(shared - cell_area) <= cell_area * NOISE).select(*ids, "geo_id")
     if predicate == "intersects":
-        hits = pairs.where((shared > cell_area * 1e-9) | touches(F.col("_edges"), *box)).select(*ids, "geo_id")
+        # A polygon inside a cell is smaller than the cell's noise allows for; its edges are what meets the cell then.
+        hits = pairs.where((shared > cell_area * NOISE) | touches(F.col("_edges"), *box)).select(*ids, "geo_id")
         return cells.select(*ids).join(hits, ids, "left")
     raise ValueError(f"unknown predicate {predicate!r}")
 

@@ -18,8 +18,8 @@ BIAS_COLUMNS = [
 ANOMALY_COLUMNS = [*BIAS_COLUMNS, "day_of_year", "{v}_clim", "fc_anom", "an_anom"]
 
 MONTHS = list(range(1, 13))
-# A spread up to this size is rounding noise of a constant.
-FLAT = 1e-9
+# A spread up to this share of the values' size is rounding noise of a constant, in whatever unit.
+FLAT = 1e-12
 
 
 def named(columns: Sequence[str], var: str) -> list[str]:
@@ -214,10 +214,14 @@ def anomaly_correlation(
     by = list(by)
     rows = df.select(*by, x, y, F.col(weight).alias("_w")).dropna()
     w, cx, cy = F.col("_w"), F.col(x), F.col(y)
+
+    def flat(c: Column) -> Column:
+        return F.max(c) - F.min(c) <= FLAT * F.greatest(F.abs(F.max(c)), F.abs(F.min(c)))
+
     means = rows.groupBy(*by).agg(
         (F.sum(w * cx) / F.sum(w)).alias("_mx"),
         (F.sum(w * cy) / F.sum(w)).alias("_my"),
-        ((F.max(cx) - F.min(cx) <= FLAT) | (F.max(cy) - F.min(cy) <= FLAT)).alias("_flat"),
+        (flat(cx) | flat(cy)).alias("_flat"),
     )
     dx, dy = cx - F.col("_mx"), cy - F.col("_my")
     return (

@@ -319,7 +319,8 @@ ORACLES: dict[str, str] = {
     "weighted_acc": sql(
         f"""WITH src AS (SELECT valid_time, fc_anom AS x, an_anom AS y, aland AS w FROM anom WHERE aland IS NOT NULL),
         m AS (SELECT valid_time, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my,
-              max(x) - min(x) <= 1e-9 OR max(y) - min(y) <= 1e-9 AS flat FROM src GROUP BY 1)
+              max(x) - min(x) <= 1e-12 * greatest(abs(max(x)), abs(min(x)))
+              OR max(y) - min(y) <= 1e-12 * greatest(abs(max(y)), abs(min(y))) AS flat FROM src GROUP BY 1)
         SELECT s.valid_time, {r('''CASE WHEN NOT max(flat) THEN sum(w * (x - mx) * (y - my))
           / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) END''', 'acc')}, count(*) AS n_areas
         FROM src s JOIN m ON s.valid_time = m.valid_time GROUP BY 1""", "anom"),

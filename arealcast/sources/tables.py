@@ -57,7 +57,7 @@ def write_table(df: DataFrame, path: str, kind: str, force: bool = False) -> boo
     """Write one output table unless a valid one exists. Returns whether it was written.
 
     The output committer publishes the files only when the whole job has succeeded. A metadata file with
-    description, units and meaning is written beside it.
+    types and units is written beside it.
     """
     spark = df.sparkSession
     if not force and table_is_valid(spark, path, schemas.TABLES[kind]):
@@ -68,19 +68,19 @@ def write_table(df: DataFrame, path: str, kind: str, force: bool = False) -> boo
 
 
 def metadata_row(spark: SparkSession, kind: str) -> DataFrame:
-    """One row of JSON text describing a table kind."""
+    """One row of JSON text: the table kind, and type and unit of its columns."""
     variables = {
-        name: {"units": schemas.COLUMNS[name][1], "long_name": schemas.COLUMNS[name][2]}
+        name: {"type": schemas.COLUMNS[name][0].simpleString(), "units": schemas.COLUMNS[name][1]}
         for name in schemas.TABLES[kind]
     }
     kind_type = T.StructType(
         [
-            T.StructField("description", T.StringType()),
+            T.StructField("kind", T.StringType()),
             T.StructField("variables", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
         ]
     )
-    row = spark.createDataFrame([(schemas.DESCRIPTIONS[kind], variables)], kind_type)
-    return row.select(F.to_json(F.struct("description", "variables")).alias("value"))
+    row = spark.createDataFrame([(kind, variables)], kind_type)
+    return row.select(F.to_json(F.struct("kind", "variables")).alias("value"))
 
 
 def write_metadata(spark: SparkSession, path: str, kind: str) -> None:

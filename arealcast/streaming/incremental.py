@@ -62,15 +62,18 @@ def climatology_state(
 ) -> StreamingQuery:
     """Fold arriving daily rows (geo_id, time, var) into stored sums and counts.
 
-    Each micro-batch owns one partition of the state, so writing it again replaces it.
+    Each micro-batch of each checkpoint owns one partition of the state, so writing it again replaces it, and a
+    new checkpoint over an existing state adds to it. Checkpoints are told apart by the query id they hold.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        part = partial_climatology(drop_leap_days(batch), var).withColumn("batch", F.lit(batch_id))
+        run = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        part = partial_climatology(drop_leap_days(batch), var)
         (
-            part.write.mode("overwrite")
+            part.withColumns({"run": F.lit(run), "batch": F.lit(batch_id)})
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy("run", "batch")
             .parquet(state)
         )
 

@@ -298,6 +298,32 @@ def test_grid_mismatch_names_the_file(spark):
     assert [tuple(r) for r in AL.grid_mismatches(files, ref).collect()] == [("bad", 1, 1)]
 
 
+def test_grid_mismatch_tells_grids_apart(spark):
+    schema = "path string, grid_id int, lat double, lon double"
+    ref = frame(spark, [(None, 0, 0.0, 0.0), (None, 0, 1.0, 0.0)], schema)
+    files = frame(spark, [("mixed", 0, 0.0, 0.0), ("mixed", 1, 1.0, 0.0)], schema)
+    assert [tuple(r) for r in AL.grid_mismatches(files, ref).collect()] == [("mixed", 1, 1)]
+
+
+def test_asof_of_one_busy_key(spark):
+    """200,000 rows of one key inside one bucket: both neighbours are running values, so this takes seconds."""
+    base = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id"))
+    second = lambda c: base + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    seen = rows.where("id % 4 != 0").select("k", second(F.col("id") / 4).alias("t"), F.col("id").alias("v"))
+    asked = rows.where("id % 4 = 0").select("k", second(F.col("id") / 4).alias("t"), F.col("id").alias("want"))
+    found = A.asof_nearest(asked, seen, ["k"], "t", ["v"])
+    # The neighbours before and behind are equally near, so the later one counts.
+    assert found.where(F.col("v") == F.col("want") + 1).count() == found.count() == 50_000
+
+
+def test_acc_of_small_units(spark):
+    rows = [(1, x, x, 1.0) for x in (1e-10, 2e-10, 3e-10)] + [(2, 5.0, x, 1.0) for x in (1.0, 2.0, 4.0)]
+    df = frame(spark, rows, "valid_time int, x double, y double, w double")
+    got = {r.valid_time: r.acc for r in V.anomaly_correlation(df, "x", "y", "w").collect()}
+    assert got[1] == pytest.approx(1.0) and got[2] is None
+
+
 def test_init_time_violations(spark):
     rows = [("f", at("2024-01-02"), 24, at("2024-01-01")), ("g", at("2024-01-02"), 24, at("2024-01-01")), ("g", at("2024-01-02 06:00"), 24, at("2024-01-01"))]
     df = frame(spark, rows, "path string, valid_time timestamp_ntz, lead_time int, declared_init timestamp_ntz")

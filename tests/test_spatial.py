@@ -51,6 +51,14 @@ def test_wkt_areas(spark):
     assert got["m"] == pytest.approx(1 + 4 - 0.25)
 
 
+def test_tiny_polygon_keeps_its_weight(spark):
+    tiny = polygons(spark, t="POLYGON ((1.1 1.1, 1.10005 1.1, 1.10005 1.10005, 1.1 1.10005, 1.1 1.1))")
+    points = spark.createDataFrame([(0, i * 2.5, j * 2.5) for i in range(3) for j in range(3)], "grid_id int, lat double, lon double")
+    rows = SP.overlap_weights(GR.grid_cells(points), tiny).collect()
+    area = math.radians(0.00005) * 0.00005 * math.cos(math.radians(1.1))
+    assert len(rows) == 1 and rows[0].w == pytest.approx(area, rel=1e-4)
+
+
 def test_wkt_round_trip(spark):
     df = polygons(spark, c=CONCAVE)
     again = df.select("geo_id", SP.rings_from_wkt(SP.wkt_from_rings(F.col("rings"))).alias("rings"))
