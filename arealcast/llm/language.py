@@ -17,7 +17,7 @@ UNDETERMINED = "und"
 SAMPLE_ROWS = 1200
 BUCKETS = 1 << 17
 ORDERS = 4  # n-grams of two to so many bytes; those with a blank in them are the affixes
-SLAB, PORTION = 100_000, 1_500_000  # words whose features, and whose marginals, are in memory at once
+SLAB, PORTION = 100_000, 4_000_000  # words whose features, and bytes of text whose marginals, are in memory at once
 _M = np.uint32(0x9E3779B1)
 
 
@@ -170,18 +170,21 @@ def fit(rows: Sequence[tuple[bytes, str]], epochs: int = 2, seed: int = 5) -> Cr
 
 
 def _portions(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes], np.ndarray]]:
-    """Texts by number of words, long ones together: (their places, all their words, their numbers of words)."""
-    split = [(i, t.split()) for i, t in enumerate(texts) if t]
-    split = sorted((x for x in split if x[1]), key=lambda x: -len(x[1]))
+    """Texts by size, long ones together: (their places, all their words, their numbers of words).
+
+    Only the texts of one portion are split into words at a time.
+    """
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
     at = 0
-    while at < len(split):
+    while at < len(order):
         end, size = at, 0
-        while end < len(split) and (size == 0 or size + len(split[end][1]) <= PORTION):
-            size += len(split[end][1])
+        while end < len(order) and (size == 0 or size + len(texts[order[end]]) <= PORTION):
+            size += len(texts[order[end]])
             end += 1
-        part = split[at:end]
-        yield [i for i, _ in part], [w for _, ws in part for w in ws], np.array([len(ws) for _, ws in part])
+        part = [(i, ws) for i in order[at:end] if (ws := texts[i].split())]
         at = end
+        if part:
+            yield [i for i, _ in part], [w for _, ws in part for w in ws], np.array([len(ws) for _, ws in part])
 
 
 def label_texts(model: Crf, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
