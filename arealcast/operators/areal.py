@@ -71,14 +71,18 @@ def category_fractions(
 
 
 def top_two(fractions: DataFrame, category: str = "category", by: Sequence[str] = ()) -> DataFrame:
-    """Largest and second-largest category per polygon; ties go to the higher category code."""
+    """Largest and second-largest category per polygon; ties go to the higher category code.
+
+    Shares are compared after rounding to nine digits, so the order of summation decides no tie.
+    """
     rank = Window.partitionBy("geo_id", *by).orderBy(
         F.col(category).isNull(), F.desc("fraction"), F.desc(category)
     )
     at = lambda n, x: F.max(F.when((F.col("_r") == n) & F.col(category).isNotNull() & (F.col("fraction") > 0), x))
     pct = F.col("fraction") * 100
     return (
-        fractions.withColumn("_r", F.row_number().over(rank))
+        fractions.withColumn("fraction", F.round("fraction", 9))
+        .withColumn("_r", F.row_number().over(rank))
         .where(F.col("_r") <= 2)
         .groupBy("geo_id", *by)
         .agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealcast.functions import scalars as S
@@ -14,6 +14,8 @@ from arealcast.operators.verify import doy_lead_bias
 
 # Fixed value: name prefix of census covariates in the model input.
 COVARIATE_PREFIX = "demo_"
+# Share of its own square sum that a term must keep beside the earlier terms to enter a fit.
+DEPENDENT = 1e-12
 
 
 def model_input(
@@ -52,14 +54,29 @@ def design_matrix(rows: DataFrame) -> DataFrame:
 def fixed_effects(design: DataFrame, response: str = "mean_bias") -> DataFrame:
     """Ordinary least squares of ``response`` on the harmonics and standardised covariates.
 
-    Eager: fits on the cluster by normal equations and returns one row per term.
+    The normal equations are summed in one pass and solved by elimination on the single row of sums. One row per
+    term; a term that the earlier ones explain fully is left out of the fit and gets NULL, as do all without rows.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
     terms = ["season_sin", "season_cos", *[c for c in design.columns if c.startswith("z_")]]
     rows = design.select(response, *terms).dropna()
-    features = VectorAssembler(inputCols=terms, outputCol="features").transform(rows)
-    fit = LinearRegression(labelCol=response, solver="normal", standardization=False).fit(features)
-    table = [("intercept", float(fit.intercept)), *zip(terms, (float(c) for c in fit.coefficients))]
-    return design.sparkSession.createDataFrame(table, "term string, coefficient double")
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in terms]]
+    y = F.col(response).cast("double")
+    sums = rows.agg(F.array(*[F.array(*[F.sum(a * b) for b in [*x, y]]) for a in x]).alias("m"))
+
+    def eliminate(m: Column, k: Column) -> Column:
+        pivot = m[k][k]
+        start = F.col("m")[k][k]
+        lead = F.transform(m[k], lambda v: v / pivot)
+        cleared = F.transform(
+            m,
+            lambda row, i: F.when(i == k, lead).otherwise(
+                F.transform(row, lambda v, j: v - row[k] * lead[j])
+            ),
+        )
+        return F.when(pivot > start * DEPENDENT, cleared).otherwise(F.transform(m, lambda row, i: F.when(i != k, row)))
+
+    n = len(x)
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.col("m"), eliminate)
+    names = F.array(F.lit("intercept"), *[F.lit(c) for c in terms])
+    pairs = F.arrays_zip(names.alias("term"), F.transform(solved, lambda row: row[n]).alias("coefficient"))
+    return sums.select(F.inline(pairs))

@@ -24,8 +24,16 @@ def _code(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, T.StringType):
-        # The first six bytes as an integer: exact in a double.
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        # The first six bytes after the prefix that all values share, as an integer: exact in a double.
+        first, last = F.encode(F.min(col), "UTF-8"), F.encode(F.max(col), "UTF-8")
+        shared = F.aggregate(
+            F.sequence(F.lit(0), F.least(F.length("lo"), F.length("hi"))),
+            F.lit(0),
+            lambda n, i: F.when((n == i - 1) & (F.substring("lo", n + 1, 1) == F.substring("hi", n + 1, 1)), i).otherwise(n),
+        )
+        skip = df.agg(first.alias("lo"), last.alias("hi")).select(F.coalesce(shared, F.lit(0))).scalar()
+        rest = F.substring(F.encode(col, "UTF-8"), skip + 1, F.lit(6))
+        return F.conv(F.rpad(F.hex(rest), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(col).cast("double")
     if isinstance(kind, T.TimestampNTZType):

@@ -116,10 +116,13 @@ VIEWS = {
         FROM (SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS d FROM an) GROUP BY 1, 2""",
     "fc_slots": """
         SELECT init_time, lead_time FROM (SELECT unnest(generate_series(min(init_time), max(init_time), INTERVAL 1 DAY)) AS init_time FROM files), leads""",
-    "pdays": "SELECT DISTINCT o_orderdate FROM orders WHERE o_orderstatus = 'P'",
+    "fmonths": """
+        SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(count(*) AS INTEGER) AS n_days
+        FROM (SELECT unnest(generate_series(min(valid_time), max(valid_time), INTERVAL 1 DAY)) AS d FROM fc1) GROUP BY 1, 2""",
+    "odays": "SELECT DISTINCT o_orderdate FROM orders",
     "gaps": """
         SELECT m.year, m.month, m.n_days - coalesce(n, 0) AS n_missing, m.year * 12 + m.month >= 1998 * 12 + 1 AS affects_second
-        FROM months m LEFT JOIN (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS n FROM pdays GROUP BY 1, 2) p
+        FROM fmonths m LEFT JOIN (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS n FROM odays GROUP BY 1, 2) p
           ON m.year = p.year AND m.month = p.month WHERE m.n_days - coalesce(n, 0) > 0""",
     "corners": """
         SELECT geo_id, grid_id, round(x, 9) AS x, round(y, 9) AS y FROM (
@@ -141,7 +144,7 @@ NEEDS = {
     "clim": ["daily"], "anom": ["bias1", "clim"], "mobs": ["obs"], "lats": ["cells"], "lons": ["cells"],
     "bounds": ["cells", "lats", "lons"], "weights": ["bounds", "polys"], "shares": ["cells", "weights"],
     "top2": ["shares"], "boxes": ["cells"], "region_polys": ["polys"], "income": ["census"], "months": ["an"],
-    "fc_slots": ["files", "leads"], "gaps": ["months", "pdays"], "corners": ["polys"], "nbrs": ["corners"],
+    "fc_slots": ["files", "leads"], "gaps": ["fmonths", "odays"], "fmonths": ["fc1"], "corners": ["polys"], "nbrs": ["corners"],
     "nodes": ["polys"], "model": ["bias1", "top2", "census"],
 }
 
@@ -293,6 +296,28 @@ ORACLES: dict[str, str] = {
         f"""SELECT geo_id, valid_time, init_time, lead_time, {r('t2m')}, {ym('init_time')} FROM fc1
         WHERE valid_time >= TIMESTAMP '1998-03-01' AND valid_time < TIMESTAMP '1998-04-01'""", "fc1"),
     "stored_chunks": sql(f"SELECT geo_id, valid_time, init_time, {r('t2m')}, {ym('init_time')}, lead_time FROM fc1", "fc1"),
+    "workspace_sql": sql(
+        f"""SELECT b.lead_time, count(*) AS n_rows, {r('avg(b.bias)', 'mean_bias')}, {r('max(a.t2m)', 'warmest')}
+        FROM bias1 b JOIN an a ON b.geo_id = a.geo_id AND b.valid_time = a.time GROUP BY b.lead_time""", "bias1", "an"),
+    "workspace_views": sql(
+        """SELECT 'ifs_bias' AS view, count(*) AS n_rows FROM bias1 UNION ALL SELECT 'ifs_an', count(*) FROM an
+        UNION ALL SELECT 'ifs_an_monthly', count(*) FROM an""", "bias1", "an"),
+    "consolidated_chunks": sql(f"SELECT geo_id, valid_time, init_time, lead_time, {r('t2m')} FROM fc1", "fc1"),
+    "appended_batches": sql(f"SELECT geo_id, valid_time, init_time, lead_time, {rs('t2m_fc t2m_an bias abs_error aland')} FROM bias1", "bias1"),
+    "written_once": sql(
+        f"""SELECT geo_id, time, {r('t2m + CASE WHEN forced THEN 1 ELSE 0 END', 't2m')}, forced FROM an, (SELECT unnest([false, true]) AS forced) k""", "an"),
+    "table_metadata": sql(
+        """SELECT 'geo_id' AS name, 'string' AS type, '1' AS units, count(geo_id) AS n_values FROM bias1
+        UNION ALL SELECT 'valid_time', 'timestamp_ntz', 'UTC', count(valid_time) FROM bias1 UNION ALL SELECT 'init_time', 'timestamp_ntz', 'UTC', count(init_time) FROM bias1
+        UNION ALL SELECT 'lead_time', 'int', 'hours', count(lead_time) FROM bias1 UNION ALL SELECT 't2m_fc', 'double', 'K', count(t2m_fc) FROM bias1
+        UNION ALL SELECT 't2m_an', 'double', 'K', count(t2m_an) FROM bias1 UNION ALL SELECT 'bias', 'double', 'K', count(bias) FROM bias1
+        UNION ALL SELECT 'abs_error', 'double', 'K', count(abs_error) FROM bias1 UNION ALL SELECT 'aland', 'double', 'km2', count(aland) FROM bias1""", "bias1"),
+    "csv_round_trip": sql(f"SELECT geo_id, statefp, {r('aland_m2')} FROM area", "area"),
+    "layer_round_trip": sql(
+        f"""SELECT p.geo_id, CAST(p.statefp AS VARCHAR) AS statefp, {r('aland_m2')}, {r('x0', 'west')}, {r('y1', 'north')}
+        FROM polys p JOIN area a ON p.geo_id = a.geo_id""", "polys", "area"),
+    "stored_cube": sql(f"SELECT grid_id, {rs('lat lon')}, time, {r('f - a', 'error')}, {ym('time')} FROM mobs", "mobs"),
+    "tolerant_scan": sql("SELECT count(*) AS n_rows, count(value) AS n_values, CAST(0 AS BIGINT) AS n_skipped FROM cells", "cells"),
     "streamed_chunks": sql(f"SELECT geo_id, time, {r('t2m')}, {ym('time')} FROM an", "an"),
     "skill_by_lead": sql(f"SELECT model, lead_time, {SKILL} FROM {BOTH} GROUP BY model, lead_time", "bias1", "bias2"),
     "skill_by_lead_area_weighted": sql(f"SELECT model, lead_time, {ACC_SKILL} FROM {BOTH} WHERE aland IS NOT NULL GROUP BY model, lead_time", "bias1", "bias2"),
@@ -446,7 +471,7 @@ ORACLES: dict[str, str] = {
         FULL JOIN income i ON m.geo_id = i.geo_id FULL JOIN land l ON coalesce(m.geo_id, i.geo_id) = l.geo_id""", "bias1", "income"),
     "map_layer": sql(
         f"""SELECT a.geo_id, a.statefp, {r('mean_bias')} FROM area a LEFT JOIN (SELECT geo_id, avg(bias) AS mean_bias FROM bias1
-        WHERE lead_time = 24 AND valid_time BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-03-31' GROUP BY 1) m ON a.geo_id = m.geo_id""", "bias1"),
+        WHERE lead_time = 24 GROUP BY 1) m ON a.geo_id = m.geo_id""", "bias1"),
     "fips_ids": """
         SELECT s_suppkey, a || b AS county_id, a || b || c AS tract_id, d AS geo_id, right(a || b, 5) AS tail_id FROM (
         SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(2, length(CAST(s_nationkey AS VARCHAR))) AS INTEGER), '0') AS a,
@@ -475,6 +500,23 @@ ORACLES: dict[str, str] = {
         SELECT geo_id, lead_time, day_of_year, {r('mean_bias')}, n_obs, koppen_class, {rs('demo_B01001_001E demo_B17001_002E')}, node_idx,
         {r('sin(2 * pi() * day_of_year / 365)', 'season_sin')}, {r('cos(2 * pi() * day_of_year / 365)', 'season_cos')},
         {r('(demo_B01001_001E - ma) / (sa + 1e-8)', 'z_demo_B01001_001E')}, {r('(demo_B17001_002E - mb) / (sb + 1e-8)', 'z_demo_B17001_002E')} FROM d, s""", "model", "nodes"),
+    "ols_fixed_effects": sql(
+        f"""WITH d AS (SELECT * FROM model WHERE lead_time = 24),
+        s AS (SELECT avg(demo_B01001_001E) AS ma, stddev_pop(demo_B01001_001E) AS sa, avg(demo_B17001_002E) AS mb, stddev_pop(demo_B17001_002E) AS sb FROM d),
+        x AS (SELECT mean_bias AS y, sin(2 * pi() * day_of_year / 365) AS x1, cos(2 * pi() * day_of_year / 365) AS x2,
+                (demo_B01001_001E - ma) / (sa + 1e-8) AS x3, (demo_B17001_002E - mb) / (sb + 1e-8) AS x4 FROM d, s
+              WHERE mean_bias + demo_B01001_001E + demo_B17001_002E IS NOT NULL),
+        e2 AS (SELECT *, x2 - regr_slope(x2, x1) OVER () * x1 AS r2 FROM x),
+        e3 AS (SELECT *, x3 - regr_slope(x3, x1) OVER () * x1 - regr_slope(x3, r2) OVER () * r2 AS r3 FROM e2),
+        e4 AS (SELECT *, x4 - regr_slope(x4, x1) OVER () * x1 - regr_slope(x4, r2) OVER () * r2 - regr_slope(x4, r3) OVER () * r3 AS r4 FROM e3),
+        s4 AS (SELECT *, regr_slope(y, r4) OVER () AS b4 FROM e4),
+        s3 AS (SELECT *, regr_slope(y - b4 * x4, r3) OVER () AS b3 FROM s4),
+        s2 AS (SELECT *, regr_slope(y - b4 * x4 - b3 * x3, r2) OVER () AS b2 FROM s3),
+        s1 AS (SELECT *, regr_slope(y - b4 * x4 - b3 * x3 - b2 * x2, x1) OVER () AS b1 FROM s2),
+        b AS (SELECT avg(y - b4 * x4 - b3 * x3 - b2 * x2 - b1 * x1) AS b0, max(b1) AS b1, max(b2) AS b2, max(b3) AS b3, max(b4) AS b4 FROM s1)
+        SELECT term, {r('coefficient')} FROM (
+          SELECT 'intercept' AS term, b0 AS coefficient FROM b UNION ALL SELECT 'season_sin', b1 FROM b UNION ALL SELECT 'season_cos', b2 FROM b
+          UNION ALL SELECT 'z_demo_B01001_001E', b3 FROM b UNION ALL SELECT 'z_demo_B17001_002E', b4 FROM b)""", "model"),
     # ---------------------------------------------------------------- grid
     "cell_bounds": sql(f"SELECT grid_id, {rs('lat lon lat_lo lat_hi lon_lo lon_hi')} FROM bounds", "bounds"),
     "cell_polygon_weights": sql(f"SELECT grid_id, geo_id, {rs('lat lon')}, {r('w * 1000', 'w')} FROM weights", "weights"),
@@ -534,8 +576,8 @@ ORACLES: dict[str, str] = {
     "reconstruction_rmse": sql(f"SELECT {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs", "obs"),
     "reconstruction_rmse_cell": sql(f"SELECT grid_id, {rs('lat lon')}, {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs GROUP BY grid_id, lat, lon", "obs"),
     "lat_profile": sql(
-        "SELECT time, " + ", ".join(r(f"avg(CASE WHEN lat = {x}e0 THEN f END)", f"lat_{i}") for i, x in enumerate([0.0, 0.125, 0.25, 0.375]))
-        + " FROM obs GROUP BY time", "obs"),
+        f"""SELECT time, lat_idx, {r('lat')}, {r('f')} FROM (SELECT time, lat, avg(f) AS f FROM obs GROUP BY 1, 2)
+        JOIN (SELECT lat, CAST(row_number() OVER (ORDER BY lat) - 1 AS INTEGER) AS lat_idx FROM (SELECT DISTINCT lat FROM obs)) USING (lat)""", "obs"),
     "detrend_linear": sql(
         f"""WITH ax AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t FROM (SELECT DISTINCT time FROM mobs)),
         d AS (SELECT m.*, ax.t FROM mobs m JOIN ax ON m.time = ax.time),
@@ -561,8 +603,8 @@ ORACLES: dict[str, str] = {
         f"""SELECT b.grid_id, {rs('lat lon')}, geo_id FROM bounds b JOIN polys p ON b.grid_id = p.grid_id
         AND lon_lo >= x0 AND lon_hi <= x1 AND lat_lo >= y0 AND lat_hi <= y1""", "bounds", "polys"),
     "cells_intersecting_polygon": sql(
-        f"""SELECT b.grid_id, {rs('lat lon')}, geo_id FROM bounds b LEFT JOIN region_polys p ON b.grid_id = p.grid_id
-        AND lon_lo <= x1 AND lon_hi >= x0 AND lat_lo <= y1 AND lat_hi >= y0""", "bounds", "region_polys"),
+        f"""SELECT b.grid_id, {rs('lat lon')}, geo_id FROM bounds b LEFT JOIN polys p ON b.grid_id = p.grid_id
+        AND lon_lo <= x1 AND lon_hi >= x0 AND lat_lo <= y1 AND lat_hi >= y0""", "bounds", "polys"),
     "cell_attribute_means": sql(
         f"""SELECT b.grid_id, {rs('lat lon')}, {r('avg(aland)', 'aland')}, count(p.geo_id) AS n_polygons FROM bounds b
         LEFT JOIN polys p ON b.grid_id = p.grid_id AND lon_lo <= x1 AND lon_hi >= x0 AND lat_lo <= y1 AND lat_hi >= y0
@@ -614,7 +656,7 @@ ORACLES: dict[str, str] = {
     "gap_report": sql("SELECT * FROM gaps", "gaps"),
     "gap_details": sql("SELECT *, greatest((SELECT count(*) FROM gaps) - 20, 0) AS n_more FROM gaps ORDER BY year, month LIMIT 20", "gaps"),
     "missing_dates": sql(
-        """SELECT d AS o_orderdate FROM (SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS d FROM an) EXCEPT SELECT o_orderdate FROM pdays""", "an", "pdays"),
+        """SELECT d AS o_orderdate FROM (SELECT unnest(generate_series(min(valid_time), max(valid_time), INTERVAL 1 DAY)) AS d FROM fc1) EXCEPT SELECT o_orderdate FROM odays""", "fc1", "odays"),
     "daily_staleness": sql(
         """SELECT m.year, m.month, coalesce(n, 0) AS n_days, e AS n_expected, CASE WHEN coalesce(n, 0) = 0 THEN 'MISSING' WHEN n <> e THEN 'STALE' ELSE 'OK' END AS status
         FROM (SELECT year, month, CAST(CASE WHEN month = 2 THEN 28 ELSE day(last_day(make_date(year, month, 1))) END AS INTEGER) AS e FROM months) m
@@ -634,13 +676,13 @@ ORACLES: dict[str, str] = {
     "cleanup_plan": sql(
         """WITH f AS (SELECT year(init_time) AS y, month(init_time) AS m, lead_time AS l, count(DISTINCT valid_time) AS n FROM fc1 GROUP BY 1, 2, 3),
         e AS (SELECT year, month, lead_time, CAST(day(last_day(make_date(year, month, 1))) AS INTEGER) AS x FROM months, leads),
-        d AS (SELECT year, month, x, coalesce(n, 0) AS n FROM (SELECT year, month, CAST(CASE WHEN month = 2 THEN 28 ELSE day(last_day(make_date(year, month, 1))) END AS INTEGER) AS x FROM months)
-              LEFT JOIN (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM pdays GROUP BY 1, 2) ON year = y AND month = m),
-        c AS (SELECT count(DISTINCT day_of_year) AS n, min(day_of_year) AS a, max(day_of_year) AS b FROM clim WHERE t2m_clim > 300)
+        d AS (SELECT year, month, x, coalesce(n, 0) AS n FROM (SELECT year, month, CAST(CASE WHEN month = 2 THEN 28 ELSE day(last_day(make_date(year, month, 1))) END AS INTEGER) AS x FROM fmonths)
+              LEFT JOIN (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM odays GROUP BY 1, 2) ON year = y AND month = m),
+        c AS (SELECT count(DISTINCT day_of_year) AS n, min(day_of_year) AS a, max(day_of_year) AS b FROM clim)
         SELECT 'chunk' AS kind, year, month, lead_time, CAST(NULL AS VARCHAR) AS path, concat('INCOMPLETE ', n, '/', x) AS reason FROM e JOIN f ON year = y AND month = m AND lead_time = l WHERE n < x
         UNION ALL SELECT 'daily', year, month, NULL, NULL, concat('STALE ', n, '/', x) FROM d WHERE n <> x AND n > 0
         UNION ALL SELECT 'climatology', NULL, NULL, NULL, NULL, 'PARTIAL' FROM c WHERE NOT (n = 365 AND a = 1 AND b = 365) AND (SELECT count(*) FROM d WHERE n <> x) > 0""",
-        "months", "leads", "fc1", "pdays", "clim"),
+        "months", "leads", "fc1", "fmonths", "odays", "clim"),
     "table_presence": sql(
         """SELECT 'bias' AS "table", count(*) AS n_rows, 'OK' AS status FROM bias1 UNION ALL SELECT 'second_bias', count(*), 'OK' FROM bias2
         UNION ALL SELECT 'koppen', NULL, 'MISSING' UNION ALL SELECT 'census', count(*), 'OK' FROM census""", "bias1", "bias2", "census"),

@@ -14,7 +14,6 @@ from arealcast.operators.align import chunk_key
 # columns a climatology must have, and the day range it must cover.
 MIN_FILE_BYTES = 10_000
 MAGIC_HEX = {"netcdf3": "434446", "hdf5": "89484446"}
-DETAIL_LINES = 20
 CLIMATOLOGY_COLUMNS = ("t2m_clim", "geo_id", "day_of_year")
 DOY_RANGE = (1, 365)
 
@@ -162,7 +161,7 @@ def table_presence(tables: dict[str, DataFrame | None]) -> DataFrame:
     return out
 
 
-def first_details(report: DataFrame, order: Sequence[str], n: int = DETAIL_LINES) -> DataFrame:
+def first_details(report: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` report lines with the number of lines beyond them (``n_more``)."""
     total: Column = report.agg(F.count(F.lit(1))).scalar()
     more = F.greatest(total - n, F.lit(0).cast("long"))

@@ -93,8 +93,7 @@ def category_fractions_known(t: Tables) -> DataFrame:
 
 @query
 def category_top2(t: Tables) -> DataFrame:
-    shares = AR.category_fractions(t.cells(), _weights(t)).withColumn("fraction", F.round("fraction", 9))
-    return rounded(AR.top_two(shares))
+    return rounded(AR.top_two(AR.category_fractions(t.cells(), _weights(t))))
 
 
 @query
@@ -157,7 +156,7 @@ def reconstruction_rmse_cell(t: Tables) -> DataFrame:
 
 @query
 def lat_profile(t: Tables) -> DataFrame:
-    return rounded(GR.lat_profile_table(t.cell_observations(), [0.0, 0.125, 0.25, 0.375], "f"))
+    return rounded(GR.lat_profiles(t.cell_observations(), "f"))
 
 
 @query
@@ -214,7 +213,7 @@ def cells_within_polygon(t: Tables) -> DataFrame:
 
 @query
 def cells_intersecting_polygon(t: Tables) -> DataFrame:
-    return rounded(SP.join_cells(GR.grid_cells(t.cells()), _region_polygons(t), "intersects", DOMAIN))
+    return rounded(SP.join_cells(GR.grid_cells(t.cells()), t.polygons(), "intersects", DOMAIN))
 
 
 @query
@@ -238,9 +237,10 @@ def weight_table_key(t: Tables) -> DataFrame:
 
 @query
 def stored_weights(t: Tables) -> DataFrame:
-    """Weights from the keyed store, filled on first use."""
+    """Weights from the keyed store, filled on first use and found there on the second."""
     root = shared_dir(t.spark, "weights")
-    w = cached_weights(t.spark, root, t.cells(), t.polygons(), "polygons.parquet", "2024-01-01", ("grid_id",))
+    for _ in range(2):
+        w = cached_weights(t.spark, root, t.cells(), t.polygons(), "polygons.parquet", "2024-01-01", ("grid_id",))
     return rounded(w.withColumn("w", F.col("w") * 1000))
 
 

@@ -111,16 +111,24 @@ def missing_slots(t: Tables) -> DataFrame:
     return AL.missing_slots(_fc_calendar(t), AL.forecast_paths(t.files()), ["init_time", "lead_time"])
 
 
-def _open_analysis_files(t: Tables) -> DataFrame:
-    """Days with an order still in progress play the analysis days on disk."""
-    return AL.chunk_key(
-        t.raw("orders").where(F.col("o_orderstatus") == "P").select("o_orderdate").distinct(), "o_orderdate"
-    )
+def _days_on_disk(t: Tables) -> DataFrame:
+    """Days with an order play the analysis days on disk."""
+    return AL.chunk_key(t.raw("orders").select("o_orderdate").distinct(), "o_orderdate")
+
+
+def _wanted_days(t: Tables) -> DataFrame:
+    """Days that forecasts are valid on; an analysis is wanted for each."""
+    return T.axis_of(t.forecasts().select(F.col("valid_time").alias("o_orderdate")), "o_orderdate", 24)
+
+
+def _wanted_months(t: Tables) -> DataFrame:
+    days = AL.chunk_key(_wanted_days(t), "o_orderdate")
+    return days.groupBy("year", "month").agg(F.count(F.lit(1)).cast("int").alias("n_days"))
 
 
 def _analysis_completeness(t: Tables) -> DataFrame:
-    expected = _months(t).select("year", "month", F.col("n_days").alias("n_expected"))
-    files = _open_analysis_files(t).withColumn("corrupt", F.lit(False))
+    expected = _wanted_months(t).select("year", "month", F.col("n_days").alias("n_expected"))
+    files = _days_on_disk(t).withColumn("corrupt", F.lit(False))
     return Q.source_completeness(expected, files, ["year", "month"])
 
 
@@ -145,13 +153,12 @@ def gap_report(t: Tables) -> DataFrame:
 
 @query
 def gap_details(t: Tables) -> DataFrame:
-    return Q.first_details(Q.gap_report(_analysis_completeness(t), (1998, 1)), ["year", "month"])
+    return Q.first_details(Q.gap_report(_analysis_completeness(t), (1998, 1)), ["year", "month"], 20)
 
 
 @query
 def missing_dates(t: Tables) -> DataFrame:
-    days = T.axis_of(t.analyses().select(F.col("time").alias("o_orderdate")), "o_orderdate", 24)
-    return AL.missing_slots(days, _open_analysis_files(t), ["o_orderdate"])
+    return AL.missing_slots(_wanted_days(t), _days_on_disk(t), ["o_orderdate"])
 
 
 @query
@@ -180,13 +187,13 @@ def clim_check(t: Tables) -> DataFrame:
 
 @query
 def cleanup_plan(t: Tables) -> DataFrame:
-    daily = t.raw("orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderdate").alias("time"))
+    daily = t.raw("orders").select(F.col("o_orderdate").alias("time")).distinct()
     fc = AL.chunk_key(t.forecasts(), "init_time")
     chunks = Q.chunk_completeness(
         Q.expected_forecast_chunks(_months(t), LEADS, 1), fc, ["year", "month", "lead_time"], "valid_time"
     )
-    clim = t.climatology().where(F.col("t2m_clim") > 300.0)
-    return Q.cleanup_plan(chunks, Q.daily_staleness(daily, _months(t)), Q.climatology_check(clim))
+    daily = Q.daily_staleness(daily, _wanted_months(t))
+    return Q.cleanup_plan(chunks, daily, Q.climatology_check(t.climatology()))
 
 
 @query

@@ -240,7 +240,7 @@ def tables_outer_aligned(t: Tables) -> DataFrame:
 def map_layer(t: Tables) -> DataFrame:
     """Polygons with their mean bias, unfilled polygons kept."""
     layer = t.area().select("geo_id", "statefp")
-    return rounded(layer.join(V.area_mean_bias(t.bias(), 24, "1999-01-01", "1999-03-31"), "geo_id", "left"))
+    return rounded(layer.join(V.area_mean_bias(t.bias(), 24), "geo_id", "left"))
 
 
 @query
@@ -300,8 +300,7 @@ def edge_energy(t: Tables) -> DataFrame:
 
 def _categories(t: Tables) -> DataFrame:
     weights = SP.overlap_weights(GR.grid_cells(t.cells()), t.polygons(), ["grid_id"])
-    shares = AR.category_fractions(t.cells(), weights).withColumn("fraction", F.round("fraction", 9))
-    return AR.top_two(shares)
+    return AR.top_two(AR.category_fractions(t.cells(), weights))
 
 
 def _model_input(t: Tables) -> DataFrame:
@@ -316,11 +315,11 @@ def model_input(t: Tables) -> DataFrame:
 @query
 def model_rows_for_lead(t: Tables) -> DataFrame:
     # Stored once, as the standardisation reads it twice.
-    rows = materialize(_model_input(t), "model-input")
+    rows = materialize(_model_input(t).where(F.col("lead_time") == 24), "model-input")
     return rounded(M.design_matrix(M.ordered_for_lead(rows, G.node_table(t.polygons()), 24)))
 
 
 @query
 def ols_fixed_effects(t: Tables) -> DataFrame:
-    rows = materialize(_model_input(t), "model-input").where(F.col("lead_time") == 24)
+    rows = materialize(_model_input(t).where(F.col("lead_time") == 24), "model-input")
     return rounded(M.fixed_effects(M.design_matrix(rows)))

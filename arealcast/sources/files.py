@@ -30,15 +30,20 @@ def file_heads(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def read_cells_tolerant(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Cell files below ``root``; unreadable files are passed over. Adds ``file``."""
-    return (
+def read_cells_tolerant(spark: SparkSession, root: str, schema: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """Cell files below ``root`` with their ``file``, and the paths of files that gave no row.
+
+    Unreadable files are passed over; the second table names them, so a caller can see what is missing.
+    """
+    rows = (
         spark.read.schema(schema)
         .option("ignoreCorruptFiles", "true")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
         .parquet(root)
         .withColumn("file", F.input_file_name())
     )
+    return rows, skipped_files(list_files(spark, root, pattern), rows)
 
 
 def skipped_files(listing: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -48,12 +53,16 @@ def skipped_files(listing: DataFrame, scanned: DataFrame) -> DataFrame:
     return listing.select(plain("path").alias("path")).join(seen, "path", "left_anti")
 
 
-def relay_by_month(cells: DataFrame, path: str, date: str | None = None) -> None:
+def relay_by_month(cells: DataFrame, path: str, date: str | None = None, skip_undated: bool = False) -> None:
     """Re-lay rows into year and month folders by the date stamped in their file name.
 
-    ``date`` (yyyyMMdd) restricts the move to one day; files without a date are left out.
+    ``date`` (yyyyMMdd) restricts the move to one day. A file without a date stops the job unless
+    ``skip_undated`` leaves such files out.
     """
-    stamped = cells.withColumn("_d", file_date(F.col("file"), "(?:nc|parquet)")).where(F.col("_d").isNotNull())
+    day = file_date(F.col("file"), "(?:nc|parquet)")
+    if not skip_undated:
+        day = F.coalesce(day, F.raise_error(F.concat(F.lit("no date in file name "), F.col("file"))).cast("date"))
+    stamped = cells.withColumn("_d", day).where(F.col("_d").isNotNull())
     if date is not None:
         stamped = stamped.where(F.date_format("_d", "yyyyMMdd") == date)
     out = stamped.withColumn("year", F.year("_d")).withColumn("month", F.month("_d")).drop("_d", "file")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from arealcast.operators.grid import grid_cells
 from arealcast.operators.spatial import overlap_weights
+from arealcast.sources.tables import read_if_present
 
 # Fixed value: length of a key.
 KEY_CHARS = 16
@@ -39,11 +39,9 @@ def cached_weights(
     """
     keys = weight_keys(cells, source, modified)
     wanted = keys
-    try:
+    if read_if_present(spark, root) is not None:
         stored = spark.read.schema(SCHEMA).parquet(root)
         wanted = keys.join(stored.select("key").distinct(), "key", "left_anti")
-    except AnalysisException:
-        pass
     # Only keys travel to the driver, one per grid.
     if not wanted.isEmpty():
         todo = grid_cells(cells.join(wanted, "grid_id", "left_semi"))

@@ -328,3 +328,29 @@ def test_init_time_violations(spark):
     rows = [("f", at("2024-01-02"), 24, at("2024-01-01")), ("g", at("2024-01-02"), 24, at("2024-01-01")), ("g", at("2024-01-02 06:00"), 24, at("2024-01-01"))]
     df = frame(spark, rows, "path string, valid_time timestamp_ntz, lead_time int, declared_init timestamp_ntz")
     assert [r.path for r in AL.init_time_violations(df).collect()] == ["g"]
+
+
+def test_row_numbers_of_ids_with_one_prefix(spark):
+    from arealcast.operators import ordering as O
+
+    ids = spark.range(3000).select(F.format_string("0500000US%05d", F.col("id") * 7).alias("geo_id"))
+    code = O._code(ids, "geo_id")
+    assert ids.select(code.alias("c")).distinct().count() > 100
+    got = O.with_row_number(ids, ["geo_id"]).orderBy("geo_id").collect()
+    assert [r.rn for r in got] == list(range(1, 3001))
+    none = spark.createDataFrame([(None,), ("",), ("a",), ("ab",), ("é",)], "geo_id string")
+    got = O.with_row_number(none, ["geo_id"]).collect()
+    assert {r.geo_id: r.rn for r in got} == {None: 1, "": 2, "a": 3, "ab": 4, "é": 5}
+
+
+def test_fit_leaves_out_dependent_terms(spark):
+    from arealcast.operators import model_prep as M
+
+    rows = spark.range(50).select(
+        F.sin("id").alias("season_sin"), F.cos("id").alias("season_cos"), (F.sin("id") * 2).alias("z_a"),
+        (3 + 2 * F.sin("id") - F.cos("id")).alias("mean_bias"),
+    )
+    got = {r.term: r.coefficient for r in M.fixed_effects(rows).collect()}
+    assert got["z_a"] is None
+    assert [got[n] for n in ("intercept", "season_sin", "season_cos")] == pytest.approx([3, 2, -1])
+    assert {r.coefficient for r in M.fixed_effects(rows.limit(0)).collect()} == {None}

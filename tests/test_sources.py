@@ -136,10 +136,9 @@ def test_tolerant_scan_reports_skipped(spark, tmp_path):
     good = pa.table({"grid_id": pa.array([0], pa.int32()), "lat": [0.0], "lon": [0.0], "value": [1.0]})
     pq.write_table(good, str(root / "f_20240101.parquet"))
     (root / "f_20240102.parquet").write_bytes(b"not a table at all")
-    rows = FI.read_cells_tolerant(spark, str(root), "grid_id int, lat double, lon double, value double")
+    rows, lost = FI.read_cells_tolerant(spark, str(root), "grid_id int, lat double, lon double, value double")
     assert rows.count() == 1
-    lost = FI.skipped_files(FI.list_files(spark, str(root), "*.parquet"), rows).collect()
-    assert [r.path.rsplit("/", 1)[1] for r in lost] == ["f_20240102.parquet"]
+    assert [r.path.rsplit("/", 1)[1] for r in lost.collect()] == ["f_20240102.parquet"]
     FI.relay_by_month(rows, str(tmp_path / "laid"))
     assert (spark.read.parquet(str(tmp_path / "laid")).first().year, TB.table_is_valid(spark, str(tmp_path / "nothing"))) == (2024, False)
 
@@ -212,3 +211,11 @@ def test_gap_of_one_day_is_reported_for_its_month(spark):
     files = days.select(F.year("time").alias("year"), F.month("time").alias("month"), F.lit(False).alias("corrupt"))
     gaps = Q.gap_report(Q.source_completeness(months, files, ["year", "month"]), (2024, 3)).collect()
     assert [tuple(g) for g in gaps] == [(2024, 2, 1, False)]
+
+
+def test_relay_stops_at_undated_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1.0, "/a/f_20240102.parquet"), (2.0, "/a/notes.parquet")], "value double, file string")
+    with pytest.raises(Exception, match="no date in file name"):
+        FI.relay_by_month(rows, str(tmp_path / "a"))
+    FI.relay_by_month(rows, str(tmp_path / "b"), skip_undated=True)
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "b")).collect()] == [1.0]
