@@ -30,10 +30,13 @@ def get_spark(app: str = "arealcast", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names no checkpoint folder, as in tests.
+    A machine-local folder is used only where the session names no checkpoint folder and runs on one machine, as in
+    tests; a cluster without a shared folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "arealcast", f"{purpose}-{uuid.uuid4().hex}")
