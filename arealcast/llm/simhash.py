@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arealcast.llm.common import SPACE_WORD, unused_name
 from arealcast.llm.components import min_label, roots
@@ -29,33 +30,37 @@ def _mixed(h: np.ndarray, k: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint_of(text: bytes, width: int, words64: int) -> bytes:
-    """Big-endian fingerprint; a bit is set if it is set in over half of the shingles' hashes, repeats included.
-
-    The first 64 bits are those of XXH64 of the shingle; further ones are mixed from it.
-    """
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` words in order, repeats included; a shorter text is one shingle."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * words64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     w = min(width, len(words))
-    n = len(words) - w + 1
-    ones = np.zeros(64 * words64, np.int64)
     digest = xxhash.xxh64_digest
+    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - w + 1].tolist(), ends[w - 1 :].tolist())])
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray, words64: int) -> bytes:
+    """Big-endian fingerprint; a bit is set if it is set in over half of the hashes, of which further bits are mixed."""
+    n = len(hashes)
+    ones = np.zeros(64 * words64, np.int64)
     for low in range(0, n, SLAB):
-        high = min(n, low + SLAB)
-        spans = zip(starts[low:high].tolist(), ends[low + w - 1 : high + w - 1].tolist())
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in spans])
-        if words64 > 1:
-            h = np.frombuffer(raw, ">u8").astype(np.uint64)
-            raw = np.stack([h, *[_mixed(h, k) for k in _SPREAD[: words64 - 1]]], axis=1).astype(">u8").tobytes()
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(high - low, 64 * words64)
+        h = hashes[low : low + SLAB]
+        raw = np.stack([h, *[_mixed(h, k) for k in _SPREAD[: words64 - 1]]], axis=1).astype(">u8").tobytes()
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(len(h), 64 * words64)
         ones += bits.sum(axis=0, dtype=np.uint32)
     return np.packbits(2 * ones > n).tobytes()
 
 
+def fingerprint_of(text: bytes, width: int, words64: int) -> bytes:
+    """Fingerprint of all shingles of ``text``, repeats included; zero for a text without a word."""
+    return majority(shingle_hashes(text, width), words64)
+
+
 def fingerprint(text: Column, width: int = 3, words64: int = 1) -> Column:
     """BINARY fingerprint of ``64 * words64`` bits over shingles of ``width`` words. Null and empty texts: all zero."""
 
@@ -91,16 +96,6 @@ def exact_links(n: int, bits: int = 64, distance: int = 3) -> Links:
     return Links(bits, distance, tuple(sum(c, ()) for c in itertools.combinations(blocks, e)))
 
 
-def sampled_links(n: int, bits: int, distance: int, similarity: float, missed: float = 0.01, seed: int = 7) -> Links:
-    """Keys of randomly drawn bits, enough of them that pairs of that Jaccard similarity share one but for ``missed``."""
-    cosine = 2 * similarity / (1 + similarity)
-    same = 1 - math.acos(cosine) / math.pi
-    size = min(28, max(8, max(1, n).bit_length() - 4))
-    count = math.ceil(math.log(missed) / math.log1p(-(same**size)))
-    rng = np.random.default_rng(seed)
-    return Links(bits, distance, tuple(tuple(sorted(rng.choice(bits, size, replace=False).tolist())) for _ in range(count)))
-
-
 PIVOTS = 16
 
 
@@ -171,8 +166,35 @@ def _small(key: np.ndarray, words: np.ndarray, table: np.ndarray, distance: int)
         step += 1
 
 
+def by_bucket(edges):
+    """For rows sorted by ``bucket``, in batches: what ``edges`` makes of tables that hold whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch["bucket"].to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if last or (held and held[0]["bucket"][-1].as_py() != key[0]):
+                yield from edges(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from edges(pa.Table.from_batches(held))
+
+    return run
+
+
+def edge_batch(fps: Sequence[bytes], pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in pairs[:, k]], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
 def links_in_buckets(links: Links, few: int = 256):
-    """For rows (bucket, fp) sorted by bucket: edges between fingerprints, only a forest in buckets of over ``few``."""
+    """For rows (bucket, fp) sorted by bucket: edges between fingerprints, only a forest in buckets of over ``few``.
+
+    What follows the fingerprint's ``links.bits`` in ``fp`` tells nodes of equal fingerprints apart.
+    """
 
     def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, fps = rows["bucket"].to_numpy(), rows["fp"].to_pylist()
@@ -182,7 +204,7 @@ def links_in_buckets(links: Links, few: int = 256):
         at = np.flatnonzero(np.repeat(size > 1, size))
         if not len(at):
             return
-        words = as_words(fps, links.bits)
+        words = as_words([x[: links.bits // 8] for x in fps], links.bits)
         table = pivot_table(words, links.bits)
         at = np.flatnonzero(np.repeat((size > 1) & (size <= few), size))
         found = [at[_small(key[at], words[at], table[at], links.distance)]]
@@ -190,58 +212,55 @@ def links_in_buckets(links: Links, few: int = 256):
             found.append(a + _forest(words[a:b], table[a:b], links.distance))
         pairs = np.concatenate(found)
         if len(pairs):
-            ends = [pa.array([fps[i] for i in pairs[:, k]], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+            yield edge_batch(fps, pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            key = held["bucket"].to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-            if last:
-                yield from edges(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from edges(held)
+    return by_bucket(edges)
 
-    return run
+
+def met(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (fp, bucket, parts, columns) in buckets where every two parts of the old one meet, dealt and sorted by bucket."""
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.xxhash64("bucket", F.least(o, own), F.greatest(o, own)),
+    )
+    whole = F.col("parts") == 1
+    apart = rows.where(~whole).select("fp", *columns, F.explode(meets).alias("bucket"))
+    dealt = rows.where(whole).select("fp", *columns, "bucket").union(apart)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
 def linked(fps: DataFrame, links: Links, most: int = 512) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect what ``links`` links.
+    """Edges (a, b) between distinct fingerprints ``fp`` that connect what ``links`` links."""
+    return linked_in(fps.select("fp", F.explode(bucket_keys(F.col("fp"), links)).alias("bucket")), links, most)
+
+
+def linked_in(rows: DataFrame, links: Links, most: int = 512) -> DataFrame:
+    """Edges (a, b) that connect the ``fp`` of ``rows`` (fp, bucket) within ``links.distance`` that share a bucket.
 
     A bucket of over ``most`` members is cut by hash into parts of about that size, and every two parts meet in a bucket
     of their own. So no task holds more than about twice ``most`` rows of a bucket, all pairs are compared, and of each
     large bucket only a forest comes out.
     """
-    rows = fps.select("fp", F.explode(bucket_keys(F.col("fp"), links)).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     # Written first, so that its true size, mostly next to nothing, decides how it is joined.
     rows = rows.join(materialize(sizes, "buckets"), "bucket", "left")
     rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / most).cast("int"), F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.xxhash64("bucket", F.least(o, own), F.greatest(o, own)),
-    )
-    whole = F.col("parts") == 1
-    dealt = rows.where(whole).select("fp", "bucket").union(rows.where(~whole).select("fp", F.explode(meets).alias("bucket")))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(links_in_buckets(links), "a binary, b binary").distinct()
+    return met(rows).mapInArrow(links_in_buckets(links), "a binary, b binary").distinct()
 
 
-def cluster(rows: DataFrame, links_for, id_col: str = "doc_id") -> DataFrame:
+def cluster(rows: DataFrame, edges_of, id_col: str = "doc_id", *known: str) -> DataFrame:
     """``rows`` (id, fp) with component_id: the smallest id reachable over links, itself included.
 
+    ``edges_of`` gives the links (a, b) of the nodes (fp, least id, columns ``known`` that follow from fp).
+
     Equal fingerprints are one node, so a group of copies of any size is one row from here on. Null ids are linked like
     others but never smallest; a component of null ids alone has component_id null.
     """
-    nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
-    edges = linked(nodes.select("fp"), links_for(nodes.count()))
-    moved = roots(edges)  # fingerprints that are linked to any other: (node, root)
+    columns = [F.any_value(c).alias(c) for c in known]
+    nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least"), *columns), "fingerprints")
+    moved = roots(edges_of(nodes))  # fingerprints that are linked to any other: (node, root)
     least = (
         moved.join(nodes.withColumnRenamed("fp", "node"), "node")
         .groupBy("root")
@@ -249,7 +268,7 @@ def cluster(rows: DataFrame, links_for, id_col: str = "doc_id") -> DataFrame:
         .join(moved, "root")
         .select(F.col("node").alias("fp"), "component_id")
     )
-    classes = nodes.join(materialize(least, "classes"), "fp", "left")
+    classes = nodes.select("fp", "least").join(materialize(least, "classes"), "fp", "left")
     classes = classes.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(classes, "fp")
 
@@ -262,31 +281,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"))
     rows = materialize(rows, "documents")
-    found = cluster(rows, lambda n: exact_links(n))
+    found = cluster(rows, lambda nodes: linked(nodes.select("fp"), exact_links(nodes.count())))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The stage's fingerprints: 256 bits, shingles of five words. A Jaccard similarity of 0.8 makes 39 bits differ on
-#: average (standard deviation 6), 0.5 makes 69 differ.
-STAGE_BITS, STAGE_WIDTH, STAGE_DISTANCE, STAGE_SIMILARITY = 256, 5, 48, 0.8
+#: The stage's documents are sets of five-word shingles. Candidates share the least hashes of one of BANDS groups of ROWS
+#: hash functions and lie within 72 of 256 bits; at a Jaccard similarity of 0.8, 39 bits differ on average (standard
+#: deviation 6; sets of five shingles 48), at 0.5 69. All pairs of a component of candidates are then compared exactly.
+STAGE_BITS, STAGE_WIDTH, STAGE_DISTANCE = 256, 5, 72
+BANDS, ROWS = 30, 6  # 0.8 ** 6 = 0.26: one pair in 9000 at 0.8 shares no band, whatever the number of documents
+_DRAWN = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One bucket per band: a hash of the band and of the least values of its hash functions over the set."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for low in range(0, len(x), 2048):
+        values = (x[None, low : low + 2048] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint32(1))
+        np.minimum(least, values.min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ (column.astype(np.uint64) + (key << np.uint64(32))), _SPREAD[0])
+    return key.view(np.int64)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The text's distinct shingles as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, STAGE_WIDTH))
+
+
+_NODE = T.StructType().add("fp", T.BinaryType()).add("keys", T.ArrayType(T.LongType())).add("shingles", T.LongType())
+
+
+@F.arrow_udf(_NODE)
+def node_of(texts: pa.Array) -> pa.Array:
+    """A set's fingerprint with 64 bits more that identify it, its buckets and its size."""
+    fps, keys, sizes = [], [], []
+    for text in texts.cast(pa.binary()).to_pylist():
+        x = shingle_set(text or b"")
+        fps.append(majority(x, STAGE_BITS // 64) + xxhash.xxh64_digest(x.tobytes(), SEED))
+        keys.append(band_keys(x))
+        sizes.append(len(x))
+    flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
+    return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), lists, pa.array(sizes, pa.int64())], ["fp", "keys", "shingles"])
+
+
+@F.arrow_udf(T.BinaryType())
+def set_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(x or b"").tobytes() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def similar(sets: Sequence[np.ndarray]) -> np.ndarray:
+    """A forest (child, root) of the pairs whose Jaccard similarity is 0.8 or more; every pair not yet joined is compared."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(values), np.uint8)
+    parent = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        # The size of the smaller set is the largest that both can share.
+        j = j[(parent[j] != parent[i]) & (5 * np.minimum(size[j], size[i]) >= 4 * np.maximum(size[j], size[i]))]
+        if not len(j):
+            continue
+        own = code[start[i] : start[i] + size[i]]
+        held[own] = 1
+        first = np.cumsum(size[j]) - size[j]
+        at = np.repeat(start[j] - first, size[j]) + np.arange(first[-1] + size[j[-1]])
+        shared = np.add.reduceat(held[code[at]], first, dtype=np.int64)
+        held[own] = 0
+        good = j[9 * shared >= 4 * (size[i] + size[j])]  # shared >= 0.8 of the union
+        parent = min_label(parent, np.full(len(good), i), good)
+    child = np.flatnonzero(parent != np.arange(len(sets)))
+    return np.stack([child, parent[child]], axis=1)
+
+
+def similar_in_buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For rows (bucket, fp, set) sorted by bucket: a forest of each bucket's similar pairs."""
+    key, fps, sets = rows["bucket"].to_numpy(), rows["fp"].to_pylist(), rows["set"].to_pylist()
+    cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+    found = []
+    for a, b in zip([0, *cuts], [*cuts, len(key)]):
+        if b - a > 1:
+            found.append(a + similar([np.frombuffer(x, np.uint64) for x in sets[a:b]]))
+    pairs = np.concatenate(found) if found else ()
+    if len(pairs):
+        yield edge_batch(fps, pairs)
+
+
+def verified(nodes: DataFrame, texts: DataFrame, most: int = 256, weight: int = 1 << 19) -> DataFrame:
+    """Edges (a, b) that connect the ``nodes`` (fp, least, keys, shingles) of Jaccard similarity 0.8 or more.
+
+    Links by bands and fingerprints only say which sets may be similar, directly or over others: inside such a component
+    all pairs are compared by their shingles, which are taken from ``texts`` (id, text_key, text) once more. A component of
+    over ``most`` sets or ``weight`` shingles is cut into parts of about that size that meet two by two.
+    """
+    buckets = nodes.select("fp", F.explode("keys").alias("bucket"))
+    near = roots(linked_in(buckets, Links(STAGE_BITS, STAGE_DISTANCE, ())))
+    near = near.withColumnRenamed("node", "fp").join(nodes.select("fp", "least", "shingles"), "fp")
+    near = materialize(near.select("fp", "root", "shingles", "least.id", "least.text_key"), "candidates")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("shingles") / weight)).cast("int")
+    sizes = materialize(near.groupBy("root").agg(parts.alias("parts")), "groups")
+    rows = near.join(sizes, "root").select("fp", F.xxhash64("root").alias("bucket"), "parts", "id", "text_key")
+    same = texts["id"].eqNullSafe(rows["id"]) & (texts["text_key"] == rows["text_key"])
+    # A row that repeats gives its set once.
+    once = texts.join(rows, same).groupBy("fp", "bucket", "parts").agg(F.any_value("text").alias("text"))
+    sets = once.select("fp", "bucket", "parts", set_bytes("text").alias("set"))
+    return met(sets, "set").mapInArrow(by_bucket(similar_in_buckets), "a binary, b binary").distinct()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id, null last.
 
+    A group is what pairs of a Jaccard similarity of 0.8 or more, over the sets of five-word shingles, connect.
     Rows without a word are no copies of each other's content and all stay. Rows that agree in id and text are one
     document, of which one row stays.
     """
-    print_ = fingerprint(F.col(text_col), STAGE_WIDTH, STAGE_BITS // 64)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.where(F.regexp_like(F.col(text_col), F.lit(SPACE_WORD))).select(
-        F.col(id_col).alias("id"), key.alias("text_key"), print_.alias("fp")
+    texts = docs.where(F.regexp_like(F.col(text_col), F.lit(SPACE_WORD))).select(
+        F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col).alias("text")
     )
+    rows = texts.select("id", "text_key", node_of("text").alias("node")).select("id", "text_key", "node.*")
     rows = materialize(rows, "documents")
     # Inside a component the first (id, text) stays; ids that repeat with other texts are told apart by the text's key.
     order = F.struct(F.col("id").isNull().alias("n"), "id", "text_key")
     rows = rows.withColumn("doc", order)
-    found = cluster(rows, lambda n: sampled_links(n, STAGE_BITS, STAGE_DISTANCE, STAGE_SIMILARITY), "doc")
+    found = cluster(rows, lambda nodes: verified(nodes, texts), "doc", "keys", "shingles")
     found = materialize(found.select("id", "text_key", (F.col("doc") == F.col("component_id")).alias("first")), "decided")
     gone = found.where(~F.col("first")).select("id", "text_key").distinct()
     twice = found.where("first").groupBy("id", "text_key").count().where("count > 1").drop("count")

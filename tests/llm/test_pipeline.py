@@ -33,6 +33,36 @@ def test_one_of_each_group_stays(spark):
     assert keep_one_of_each(docs.limit(0)).collect() == []
 
 
+def test_near_duplicates_are_those_at_four_fifths(spark):
+    """Pairs of a known Jaccard similarity, texts of few shingles, repeated lines, and a hot family below 0.8."""
+    from arealcast.llm.simhash import keep_one_of_each
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows, want = [], []
+    # (shingles, last words that differ): 0.6, 0.7, 0.79, 0.8, 0.85; 0.8 with texts of 9 shingles; just below
+    kinds = [(160, 40), (170, 30), (179, 21), (270, 30), (370, 30), (9, 1), (8, 1)]
+    for m, k in kinds:
+        for _ in range(60):
+            text, d = fresh(m + 4), len(rows)
+            rows += [(d, " ".join(text)), (d + 1, " ".join(text[:-k] + fresh(k)))]
+            similarity = len(shingles(rows[d][1]) & shingles(rows[d + 1][1])) / len(shingles(rows[d][1]) | shingles(rows[d + 1][1]))
+            assert abs(similarity - (m - k) / (m + k)) < 1e-9
+            want += [d] if 10 * (m - k) >= 8 * (m + k) else [d, d + 1]
+    # A line that stands there often is one line of the set.
+    line, rest = fresh(12), fresh(200)
+    rows += [(5000, " ".join(rest + line)), (5001, " ".join(rest + line * 40))]
+    want.append(5000)
+    # Pages of one template, each with its own fifth: about 0.67 to each other, and one real near copy of one of them.
+    template = fresh(160)
+    pages = [template + fresh(40) for _ in range(600)]
+    rows += [(6000 + i, " ".join(p)) for i, p in enumerate(pages)] + [(7000, " ".join(pages[17][:-5] + fresh(5)))]
+    want += [6000 + i for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in keep_one_of_each(docs).collect())
+    assert kept == sorted(want), (sorted(set(want) - set(kept))[:20], sorted(set(kept) - set(want))[:20])
+
+
 def test_stages_keep_columns_and_clean_documents(spark, folder):
     import corpus_pipeline
     from arealcast.llm.common import table
