@@ -165,19 +165,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
-def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
-    """Dictionaries from two thirds of the rows; the other third calibrates the score, so that 0.3 is a probability."""
+def fit(rows: Sequence[tuple[bytes, int]], counts: tuple[int, int] | None = None) -> Model:
+    """Dictionaries from two thirds of the rows; the other third calibrates the score, so that 0.3 is a probability.
+
+    ``counts``: ordinary and toxic documents that ``rows`` were drawn from, by class; without them the rows are all. The
+    draw changes the odds of the classes and with them the bias only, which is moved back by the logarithm of that change.
+    """
+    toxic_rows = sum(v for _, v in rows)
+    n_ordinary, n_toxic = counts or (len(rows) - toxic_rows, toxic_rows)
     learn = [r for i, r in enumerate(rows) if i % 3 != 2] or list(rows)
     hold = [r for i, r in enumerate(rows) if i % 3 == 2]
     toxic, ordinary = ([t for t, y in learn if y == k] for k in (1, 0))
     model = Model(toxic_content(toxic, ordinary), ordinary_content(ordinary) or b" ", ())
     y = np.array([float(y) for _, y in hold])
     if len(set(y)) < 2:
-        share = (sum(v for _, v in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
+        share = (n_toxic + 0.5) / (n_ordinary + n_toxic + 1) if rows else 0.0
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else -30.0
         return Model(model.toxic, model.ordinary, (bias, *[0.0] * 3 * len(GAINS)))
     distance = Distance(model)
     w = logistic(np.array([document_features(distance, t) for t, _ in hold]), y)
+    if n_ordinary and n_toxic:
+        w[0] += np.log(n_toxic / n_ordinary) - np.log(y.sum() / (len(y) - y.sum()))
     return Model(model.toxic, model.ordinary, tuple(float(v) for v in w))
 
 
@@ -187,15 +195,21 @@ def distance_of(model: Model) -> Distance:
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """A model from at most so many labelled rows of each class, none of them held out."""
+    """A model from at most so many labelled rows of each class, none of them held out.
+
+    How frequent the classes are is counted over all labelled rows that are open, so that the limits do not move the scores.
+    """
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     open_ = docs.where(~held_out(F.col("doc_id")))
     rows = [
         labelled_sample(open_, known.where(F.col("toxic") == k), "toxic", most) for k, most in ((1, toxic_rows), (0, ordinary_rows))
     ]
+    distinct = known.where(F.col("toxic").isin(0, 1)).distinct()
+    met = open_.where(F.length("text") > 0).select("doc_id").join(distinct, "doc_id").groupBy("toxic").count()
+    found = {r["toxic"]: r["count"] for r in met.collect()}
     both = [*rows[0], *rows[1]]
     order = np.random.default_rng(3).permutation(len(both))
-    return fit([both[i] for i in order])
+    return fit([both[i] for i in order], (found.get(0, 0), found.get(1, 0)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -654,3 +654,38 @@ def test_toxicity_odd(spark, odd):
     rows = score_toxicity(odd, labels).collect()
     assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
     assert score_toxicity(odd.limit(0), labels).collect() == [] and len(score_toxicity(odd, labels.limit(0)).collect()) == 12
+
+
+def test_toxicity_is_a_probability_at_any_size(spark):
+    """More labelled rows of the same kind, of which the sample takes as many as before, leave the scores where they are."""
+    import random
+
+    import numpy as np
+
+    from arealcast.llm.toxicity import Distance, document_features, fit_from
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(12, 19))) for _ in range(300)]
+
+    def text(toxic):  # one word in half of the toxic texts and in three of 100 others
+        out = rng.choices(words, k=25)
+        if rng.random() < (0.5 if toxic else 0.03):
+            out[rng.randrange(25)] = "zqrstuvwxy"
+        return " ".join(out)
+
+    rows = [(i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(24_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    marked = " ".join(["zqrstuvwxy", *words[:24]]).encode()
+    scores = []
+    for n in (6_000, 24_000):  # about 450 and 1800 open toxic rows, 4050 and 16200 others
+        part = table.where(f"doc_id < {n}").repartition(4)
+        model = fit_from(part.select("doc_id", "text"), part.select("doc_id", "toxic"), 450, 4050 if n == 6_000 else 450)
+        distance, w = Distance(model), np.array(model.weights)
+
+        def score(t):
+            return 1 / (1 + np.exp(-(w[0] + np.array(document_features(distance, t)) @ w[1:])))
+
+        scores.append(score(marked))
+        assert 0.075 < np.mean([score(t.encode()) for _, t, _ in rows[:3000]]) < 0.135
+    # By Bayes: 0.1 * 0.5 / (0.1 * 0.5 + 0.9 * 0.03) = 0.65; without the true odds 0.94.
+    assert all(0.5 < s < 0.8 for s in scores), scores

@@ -53,7 +53,7 @@ def test_near_duplicates_are_those_at_four_fifths(spark):
     line, rest = fresh(12), fresh(200)
     rows += [(5000, " ".join(rest + line)), (5001, " ".join(rest + line * 40))]
     want.append(5000)
-    # Pages of one template, each with its own fifth: about 0.67 to each other, and one real near copy of one of them.
+    # Pages of one template, each with its own fifth: 0.66 to each other, and one real near copy of one of them.
     template = fresh(160)
     pages = [template + fresh(40) for _ in range(600)]
     rows += [(6000 + i, " ".join(p)) for i, p in enumerate(pages)] + [(7000, " ".join(pages[17][:-5] + fresh(5)))]
