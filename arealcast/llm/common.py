@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arealcast.session import materialize
+
 #: Fixed by the queries' contracts: runs of characters other than ASCII white space, and alphanumeric words.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,3 +47,26 @@ def unused_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+#: Rows of one Arrow batch to a Python worker where texts are sent: a bound on the worker's memory, not on results.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of at most ``BATCH_ROWS`` rows from now on."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS or int(spark.conf.get(setting)) <= 0:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+def materialize_lean(df: DataFrame, purpose: str) -> DataFrame:
+    """``materialize``, with the shuffle files of the job given up as soon as its table is written."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    bound_batches(spark)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        return materialize(df, purpose)
+    finally:
+        spark.conf.set(setting, before)

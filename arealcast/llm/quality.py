@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arealcast.llm.common import unused_name
+from arealcast.llm.common import bound_batches, unused_name
 from arealcast.session import materialize
 
 #: Cutoff by stratum and name of the rule; None: the rule rejects nothing there.
@@ -208,6 +208,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
 
     Texts are never shuffled: they are measured once for the cutoffs and again where they are filtered.
     """
+    bound_batches(docs.sparkSession)
     cutoffs = calibrate(measured(docs), labels, **risk)
     name = unused_name(docs, "m")
     judged = docs.withColumn(name, text_metrics("text"))

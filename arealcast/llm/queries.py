@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealcast.llm import bpe, decontamination, language, licences, mixing, quality, simhash, suffixes, toxicity, warc
+from arealcast.llm import (
+    bpe,
+    debruijn,
+    decontamination,
+    divergence,
+    filter_audit,
+    language,
+    licences,
+    mixing,
+    oracles,
+    quality,
+    simhash,
+    suffixes,
+    toxicity,
+    warc,
+)
 from arealcast.llm.common import table
 
 
@@ -53,6 +68,18 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_risk_controlled_quality,
         op9_heap_bpe_counts,
         op10_warc_transactions,
+        op11_filter_audit,
+        op12_de_bruijn_repeats,
+        op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": oracles.OP11_FILTER_AUDIT,
+    "op12_de_bruijn_repeats": oracles.OP12_DE_BRUIJN_REPEATS,
+    "op13_source_divergence": oracles.OP13_DIVERGENCE,
+}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arealcast.llm.common import SPACE_WORD, unused_name
+from arealcast.llm.common import SPACE_WORD, bound_batches, materialize_lean, unused_name
 from arealcast.llm.components import min_label, roots
 from arealcast.session import materialize
 
@@ -371,24 +371,30 @@ def similar_in_buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         yield edge_batch(fps, pairs)
 
 
-def verified(nodes: DataFrame, texts: DataFrame, most: int = 256, weight: int = 1 << 19) -> DataFrame:
+def verified(nodes: DataFrame, texts: DataFrame, repeats: bool, most: int = 256, weight: int = 1 << 19) -> DataFrame:
     """Edges (a, b) that connect the ``nodes`` (fp, least, keys, shingles) of Jaccard similarity 0.8 or more.
 
     Links by bands and fingerprints only say which sets may be similar, directly or over others: inside such a component
     all pairs are compared by their shingles, which are taken from ``texts`` (id, text_key, text) once more. A component of
-    over ``most`` sets or ``weight`` shingles is cut into parts of about that size that meet two by two.
+    over ``most`` sets or ``weight`` shingles is cut into parts of about that size that meet two by two. ``repeats``:
+    whether any two rows of ``texts`` agree in id and text.
     """
     buckets = nodes.select("fp", F.explode("keys").alias("bucket"))
     near = roots(linked_in(buckets, Links(STAGE_BITS, STAGE_DISTANCE, ())))
     near = near.withColumnRenamed("node", "fp").join(nodes.select("fp", "least", "shingles"), "fp")
-    near = materialize(near.select("fp", "root", "shingles", "least.id", "least.text_key"), "candidates")
+    near = materialize_lean(near.select("fp", "root", "shingles", "least.id", "least.text_key"), "candidates")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("shingles") / weight)).cast("int")
-    sizes = materialize(near.groupBy("root").agg(parts.alias("parts")), "groups")
+    sizes = materialize_lean(near.groupBy("root").agg(parts.alias("parts")), "groups")
     rows = near.join(sizes, "root").select("fp", F.xxhash64("root").alias("bucket"), "parts", "id", "text_key")
-    same = texts["id"].eqNullSafe(rows["id"]) & (texts["text_key"] == rows["text_key"])
-    # A row that repeats gives its set once.
-    once = texts.join(rows, same).groupBy("fp", "bucket", "parts").agg(F.any_value("text").alias("text"))
-    sets = once.select("fp", "bucket", "parts", set_bytes("text").alias("set"))
+    rows = materialize_lean(rows, "wanted")
+    # Ids alone go first: mostly few enough to reach the texts without moving them.
+    ids = materialize_lean(near.select("id").distinct().withColumnRenamed("id", "near_id"), "ids")
+    few = texts.join(ids, texts["id"].eqNullSafe(ids["near_id"]), "left_semi")
+    same = few["id"].eqNullSafe(rows["id"]) & (few["text_key"] == rows["text_key"])
+    sets = few.join(rows, same).select("fp", "bucket", "parts", set_bytes("text").alias("set"))
+    if repeats:  # a row that repeats gives its set once
+        sets = sets.dropDuplicates(["fp", "bucket"])
+    sets = materialize_lean(sets, "sets")
     return met(sets, "set").mapInArrow(by_bucket(similar_in_buckets), "a binary, b binary").distinct()
 
 
@@ -399,16 +405,18 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without a word are no copies of each other's content and all stay. Rows that agree in id and text are one
     document, of which one row stays.
     """
+    bound_batches(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.where(F.regexp_like(F.col(text_col), F.lit(SPACE_WORD))).select(
         F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col).alias("text")
     )
     rows = texts.select("id", "text_key", node_of("text").alias("node")).select("id", "text_key", "node.*")
-    rows = materialize(rows, "documents")
+    rows = materialize_lean(rows, "documents")
+    repeats = not rows.groupBy("id", "text_key").count().where("count > 1").isEmpty()
     # Inside a component the first (id, text) stays; ids that repeat with other texts are told apart by the text's key.
     order = F.struct(F.col("id").isNull().alias("n"), "id", "text_key")
     rows = rows.withColumn("doc", order)
-    found = cluster(rows, lambda nodes: verified(nodes, texts), "doc", "keys", "shingles")
+    found = cluster(rows, lambda nodes: verified(nodes, texts, repeats), "doc", "keys", "shingles")
     found = materialize(found.select("id", "text_key", (F.col("doc") == F.col("component_id")).alias("first")), "decided")
     gone = found.where(~F.col("first")).select("id", "text_key").distinct()
     twice = found.where("first").groupBy("id", "text_key").count().where("count > 1").drop("count")
