@@ -18,6 +18,7 @@ from arealcast.operators import model_prep as M
 from arealcast.operators import verify as V
 from arealcast.sources import chunks as CH
 from arealcast.sources import tables as TB
+from arealcast.sources.published import publish
 
 
 def aggregate_forecasts(
@@ -48,7 +49,7 @@ def aggregate_reanalysis(
 
 
 def build_climatology(spark: SparkSession, daily_chunks: str, path: str, force: bool = False) -> bool:
-    daily = spark.read.parquet(daily_chunks)
+    daily = TB.read_table(spark, daily_chunks)
     return TB.write_table(C.climatology(C.drop_leap_days(daily)), path, "clim", force)
 
 
@@ -56,7 +57,7 @@ def derive_bias(
     spark: SparkSession, forecasts: str, analyses: str, area: DataFrame, path: str, force: bool = False
 ) -> bool:
     """Bias table of one model from its chunk folders."""
-    bias = V.bias_table(spark.read.parquet(forecasts), spark.read.parquet(analyses), area)
+    bias = V.bias_table(TB.read_table(spark, forecasts), TB.read_table(spark, analyses), area)
     return TB.write_table(bias, path, "bias", force)
 
 
@@ -67,13 +68,13 @@ def derive_anomalies(
     normals = TB.read_if_present(spark, clim)
     if normals is None:
         return False
-    return TB.write_table(V.anomaly_table(spark.read.parquet(bias), normals), path, "anom", force)
+    return TB.write_table(V.anomaly_table(TB.read_table(spark, bias), normals), path, "anom", force)
 
 
 def derive_comparison(
     spark: SparkSession, first: str, second: str, area: DataFrame, path: str, force: bool = False
 ) -> bool:
-    table = V.model_comparison(spark.read.parquet(first), spark.read.parquet(second), area)
+    table = V.model_comparison(TB.read_table(spark, first), TB.read_table(spark, second), area)
     return TB.write_table(table, path, "comparison", force)
 
 
@@ -84,12 +85,12 @@ def summarise_categories(cells: DataFrame, weights: DataFrame, path: str, force:
 
 def store_graph(polygons: DataFrame, edges: str, nodes: str, keys: Sequence[str] = ()) -> None:
     """Node order and edge list of a polygon layer as two tables."""
-    G.node_table(polygons).write.mode("overwrite").parquet(nodes)
-    stored = polygons.sparkSession.read.parquet(nodes)
-    G.edge_table(G.queen_neighbours(polygons, keys), stored).write.mode("overwrite").parquet(edges)
+    publish(G.node_table(polygons), nodes)
+    stored = TB.read_table(polygons.sparkSession, nodes)
+    publish(G.edge_table(G.queen_neighbours(polygons, keys), stored), edges)
 
 
 def store_model_input(
     bias: DataFrame, categories: DataFrame | None, census: DataFrame, covariates: Sequence[str], path: str
 ) -> None:
-    M.model_input(bias, categories, census, covariates).write.mode("overwrite").parquet(path)
+    publish(M.model_input(bias, categories, census, covariates), path)

@@ -52,7 +52,7 @@ def consolidated_chunks(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "consolidated")
     CH.write_chunks(t.forecasts(), f"{folder}/chunks", "fc")
     TB.consolidate(t.spark, f"{folder}/chunks", f"{folder}/fc.parquet", "fc")
-    return rounded(t.spark.read.parquet(f"{folder}/fc.parquet"))
+    return rounded(TB.read_table(t.spark, f"{folder}/fc.parquet"))
 
 
 @query
@@ -62,7 +62,7 @@ def appended_batches(t: Tables) -> DataFrame:
     bias = t.bias()
     late = F.month("valid_time") > 6
     CH.append_batches(t.spark, [bias.where(~late), bias.where(late)], path, "bias")
-    return rounded(t.spark.read.parquet(path))
+    return rounded(TB.read_table(t.spark, path))
 
 
 @query
@@ -74,7 +74,7 @@ def written_once(t: Tables) -> DataFrame:
         path = f"{folder}/force={force}"
         TB.write_table(t.analyses(), path, "an")
         TB.write_table(t.analyses().withColumn("t2m", F.col("t2m") + 1), path, "an", force)
-        out.append(t.spark.read.parquet(path).withColumn("forced", F.lit(force)))
+        out.append(TB.read_table(t.spark, path).withColumn("forced", F.lit(force)))
     return rounded(out[0].unionByName(out[1]))
 
 
@@ -83,10 +83,10 @@ def table_metadata(t: Tables) -> DataFrame:
     """The sidecar's type and unit of every column that the bias table holds, with its count of values."""
     path = f"{shared_dir(t.spark, 'metadata')}/bias.parquet"
     TB.write_table(t.bias(), path, "bias")
-    text = t.spark.read.text(path.removesuffix(".parquet") + ".meta.json")
+    text = TB.read_metadata(t.spark, path)
     kind = "kind string, variables map<string, struct<type: string, units: string>>"
     variables = text.select(F.from_json("value", kind).alias("m")).select(F.explode("m.variables").alias("name", "v"))
-    table = t.spark.read.parquet(path)
+    table = TB.read_table(t.spark, path)
     counts = table.agg(F.create_map(*[x for c in table.columns for x in (F.lit(c), F.count(c))]).alias("n"))
     return variables.select("name", "v.type", "v.units", counts.scalar()[F.col("name")].alias("n_values"))
 
@@ -124,7 +124,7 @@ def stored_cube(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "cube")
     cube = t.cell_observations().groupBy("grid_id", "lat", "lon", "time").agg(F.avg(F.col("f") - F.col("a")).alias("error"))
     TB.write_cells(cube, path)
-    return rounded(t.spark.read.parquet(path))
+    return rounded(TB.read_table(t.spark, path))
 
 
 @query

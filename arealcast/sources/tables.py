@@ -11,24 +11,32 @@ from pyspark.sql import types as T
 
 from arealcast import schemas
 from arealcast.operators.spatial import rings_from_wkt, wkt_from_rings
+from arealcast.sources.published import current, publish, resolve
 
 
 def read_if_present(spark: SparkSession, *paths: str) -> DataFrame | None:
-    """Parquet scan, or None when nothing is there. Only footers are looked at."""
+    """Parquet scan of published tables or plain folders, or None when nothing is there. Only footers are looked at."""
     try:
-        return spark.read.parquet(*paths)
+        return spark.read.parquet(*[resolve(spark, p) for p in paths])
     except AnalysisException as exc:
         if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table, or a plain Parquet folder."""
+    return spark.read.parquet(resolve(spark, path))
+
+
 def read_nanos(spark: SparkSession, path: str, times: Sequence[str]) -> DataFrame:
     """Parquet files with nanosecond timestamps, as data-frame libraries write them.
 
-    The columns ``times`` become TIMESTAMP_NTZ. The session setting has to stay on while the result is used.
+    The columns ``times`` become TIMESTAMP_NTZ. Only the columns that ``spark.sql.legacy.parquet.nanosAsLong`` concerns need
+    that setting, and Spark reads it when a plan runs: a session without it gets an error that names it.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    if spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") != "true":
+        raise ValueError("set spark.sql.legacy.parquet.nanosAsLong to true to read nanosecond timestamps")
     df = spark.read.parquet(path)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -48,21 +56,26 @@ def read_nanos(spark: SparkSession, path: str, times: Sequence[str]) -> DataFram
 
 
 def table_is_valid(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> bool:
-    """Whether a readable table with the wanted columns is at ``path``; no data is scanned."""
+    """Whether a readable table with the wanted columns is at ``path``; no data is scanned.
+
+    Of a published table the manifest tells the columns, and its files have to be there.
+    """
+    manifest = current(spark, path)
+    if manifest is not None and not set(columns) <= set(manifest.columns):
+        return False
     df = read_if_present(spark, path)
     return df is not None and set(columns) <= set(df.columns)
 
 
 def write_table(df: DataFrame, path: str, kind: str, force: bool = False) -> bool:
-    """Write one output table unless a valid one exists. Returns whether it was written.
+    """Publish one output table unless a valid one exists. Returns whether it was written.
 
-    The output committer publishes the files only when the whole job has succeeded. A metadata file with
-    types and units is written beside it.
+    A rewrite that fails leaves the table as it was. A metadata file with types and units is written beside it.
     """
     spark = df.sparkSession
     if not force and table_is_valid(spark, path, schemas.TABLES[kind]):
         return False
-    schemas.conform(df, kind).write.mode("overwrite").parquet(path)
+    publish(schemas.conform(df, kind), path)
     write_metadata(spark, path, kind)
     return True
 
@@ -84,22 +97,32 @@ def metadata_row(spark: SparkSession, kind: str) -> DataFrame:
 
 
 def write_metadata(spark: SparkSession, path: str, kind: str) -> None:
-    metadata_row(spark, kind).coalesce(1).write.mode("overwrite").text(path.removesuffix(".parquet") + ".meta.json")
+    publish(metadata_row(spark, kind).coalesce(1), metadata_path(path), "text")
+
+
+def metadata_path(path: str) -> str:
+    return path.removesuffix(".parquet") + ".meta.json"
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The metadata row (value) of the table at ``path``."""
+    return spark.read.text(resolve(spark, metadata_path(path)))
 
 
 def consolidate(spark: SparkSession, chunks: str, path: str, kind: str) -> None:
     """One table from a chunk directory, cast to the declared schema."""
-    schemas.conform(spark.read.parquet(chunks), kind).write.mode("overwrite").parquet(path)
+    publish(schemas.conform(spark.read.parquet(chunks), kind), path)
     write_metadata(spark, path, kind)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV with a header; ids have to be declared STRING so that leading zeros stay."""
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    paths = [resolve(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    return spark.read.csv(paths, header=True, schema=schema, enforceSchema=False)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    publish(df, path, "csv", header="true")
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +144,6 @@ def write_map_layer(polygons: DataFrame, attributes: DataFrame, path: str, keep_
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Gridded fields partitioned by month of their time."""
+    """Gridded fields partitioned by month of their time, published as a whole."""
     out = cells.withColumn("year", F.year("time")).withColumn("month", F.month("time"))
-    out.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    publish(out.hint("rebalance", "year", "month"), path, partition_by=["year", "month"])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealcast.operators.grid import grid_cells
 from arealcast.operators.spatial import overlap_weights
-from arealcast.sources.tables import read_if_present
+from arealcast.sources.published import publish, read_published
 
 # Fixed value: length of a key.
 KEY_CHARS = 16
-SCHEMA = "key string, grid_id int, geo_id string, lat double, lon double, w double"
+SCHEMA = "fill string, key string, domain string, grid_id int, geo_id string, lat double, lon double, w double"
 
 
 def weight_keys(cells: DataFrame, source: str, modified: str) -> DataFrame:
@@ -33,18 +35,26 @@ def cached_weights(
     modified: str,
     domain: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Weights of the grids in ``cells``, computed and stored only for keys not yet under ``root``.
+    """Weights of the grids in ``cells``, computed and stored only where they are not yet under ``root``.
 
-    The stored table is read back, so its true size is known to the optimizer when it picks the join.
+    Grids of equal axes share a key but not their polygons, so what is stored belongs to a key, a grid and the columns
+    ``domain`` that tie polygons to grids. Each is entered in a table of what is stored, with its number of rows, once
+    its weights are written: a grid without any overlap counts as done, and one whose job stopped half way does not. The
+    stored table is read back, so its true size is known to the optimizer when it picks the join.
     """
-    keys = weight_keys(cells, source, modified)
-    wanted = keys
-    if read_if_present(spark, root) is not None:
-        stored = spark.read.schema(SCHEMA).parquet(root)
-        wanted = keys.join(stored.select("key").distinct(), "key", "left_anti")
+    keys = weight_keys(cells, source, modified).withColumn("domain", F.lit(",".join(domain)))
+    own = ["grid_id", "key", "domain"]
+    root = root.rstrip("/")
+    done = read_published(spark, f"{root}/stored")
+    wanted = keys if done is None else keys.join(done, own, "left_anti")
     # Only keys travel to the driver, one per grid.
     if not wanted.isEmpty():
         todo = grid_cells(cells.join(wanted, "grid_id", "left_semi"))
-        fresh = overlap_weights(todo, polygons, domain).join(wanted, "grid_id")
-        fresh.write.mode("append").partitionBy("key").parquet(root)
-    return spark.read.schema(SCHEMA).parquet(root).join(keys, ["grid_id", "key"], "left_semi").drop("key")
+        fresh = overlap_weights(todo, polygons, domain).select("grid_id", "geo_id", "lat", "lon", "w").join(wanted, "grid_id")
+        fill = uuid.uuid4().hex
+        fresh.withColumn("fill", F.lit(fill)).write.mode("append").partitionBy("fill", "key").parquet(f"{root}/weights")
+        entry = wanted.withColumn("fill", F.lit(fill))
+        publish((entry if done is None else done.unionByName(entry)).coalesce(1), f"{root}/stored")
+    entries = read_published(spark, f"{root}/stored").join(keys, own, "left_semi")
+    stored = spark.read.schema(SCHEMA).parquet(f"{root}/weights")
+    return stored.join(entries, [*own, "fill"], "left_semi").drop("key", "domain", "fill")

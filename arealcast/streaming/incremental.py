@@ -45,7 +45,7 @@ def new_chunks(
             (t >= F.lit(span.lo).cast("timestamp_ntz")) & (t < F.lit(span.hi).cast("timestamp_ntz"))
         )
         rows = everything.join(touched, keys, "left_semi")
-        write_chunks(build(rows), target, kind)
+        write_chunks(build(rows), target, kind, touched.withColumn("stamp", F.lit(None).cast("string")))
 
     return (
         spark.readStream.schema(schema)

@@ -9,6 +9,7 @@ from arealcast.operators import grid as GR
 from arealcast.operators import spatial as SP
 from arealcast.plans import jobs as J
 from arealcast.plans.registry import Tables
+from arealcast.sources import tables as TB
 
 
 def test_cells_to_model_input(spark, folder, tmp_path):
@@ -34,12 +35,12 @@ def test_cells_to_model_input(spark, folder, tmp_path):
     assert J.derive_anomalies(spark, p("bias"), p("clim"), p("anom"))
     assert J.derive_comparison(spark, p("bias"), p("bias2"), area, p("cmp"))
     assert not J.derive_comparison(spark, p("bias"), p("bias2"), area, p("cmp"))
-    diff = spark.read.parquet(p("cmp")).agg(F.min("bias_diff"), F.max("bias_diff"), F.count("*")).first()
+    diff = TB.read_table(spark, p("cmp")).agg(F.min("bias_diff"), F.max("bias_diff"), F.count("*")).first()
     assert diff[0] == pytest.approx(1.5) and diff[1] == pytest.approx(1.5)
-    assert diff[2] == spark.read.parquet(p("bias")).count() > 6000
+    assert diff[2] == TB.read_table(spark, p("bias")).count() > 6000
 
     # Over its own base period the daily series departs from its normals by zero on average.
-    daily, clim = spark.read.parquet(p("daily")), spark.read.parquet(p("clim"))
+    daily, clim = spark.read.parquet(p("daily")), TB.read_table(spark, p("clim"))
     from arealcast.functions import timefn as T
 
     gap = daily.withColumn("day_of_year", T.noleap_doy(F.col("time"))).join(clim, ["geo_id", "day_of_year"])
@@ -48,9 +49,9 @@ def test_cells_to_model_input(spark, folder, tmp_path):
 
     assert J.summarise_categories(t.cells(), w, p("cat"))
     J.store_graph(t.polygons(), p("edges"), p("nodes"), ["grid_id"])
-    assert spark.read.parquet(p("nodes")).count() == 10
-    J.store_model_input(spark.read.parquet(p("bias")), spark.read.parquet(p("cat")), t.census(), ["B01001_001E"], p("model"))
-    model = spark.read.parquet(p("model"))
+    assert TB.read_table(spark, p("nodes")).count() == 10
+    J.store_model_input(TB.read_table(spark, p("bias")), TB.read_table(spark, p("cat")), t.census(), ["B01001_001E"], p("model"))
+    model = TB.read_table(spark, p("model"))
     assert "demo_B01001_001E" in model.columns and model.where("koppen_class IS NOT NULL").count() > 0
 
 

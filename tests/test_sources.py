@@ -13,10 +13,12 @@ from arealcast import schemas
 from arealcast.catalog import Workspace
 from arealcast.functions import timefn as T
 from arealcast.operators import climatology as C
+from arealcast.operators.spatial import rings_from_wkt
 from arealcast.plans import quality as Q
 from arealcast.plans.registry import Tables
 from arealcast.sources import chunks as CH
 from arealcast.sources import files as FI
+from arealcast.sources import published as PB
 from arealcast.sources import tables as TB
 from arealcast.sources.weights import cached_weights
 from arealcast.streaming.incremental import climatology_from_state, climatology_state, new_chunks
@@ -64,9 +66,9 @@ def test_write_once_force_and_metadata(spark, tmp_path):
     assert TB.write_table(fc_rows(spark), path, "fc")
     assert not TB.write_table(fc_rows(spark, value=2.0), path, "fc")
     assert TB.write_table(fc_rows(spark, value=2.0), path, "fc", force=True)
-    assert {r.t2m for r in spark.read.parquet(path).collect()} == {2.0}
-    assert spark.read.parquet(path).schema["t2m"].metadata["units"] == "K"
-    meta = json.loads(spark.read.text(str(tmp_path / "fc.meta.json")).first().value)
+    assert {r.t2m for r in TB.read_table(spark, path).collect()} == {2.0}
+    assert TB.read_table(spark, path).schema["t2m"].metadata["units"] == "K"
+    meta = json.loads(TB.read_metadata(spark, path).first().value)
     assert meta["variables"]["lead_time"]["units"] == "hours"
     with pytest.raises(ValueError):
         TB.write_table(fc_rows(spark).drop("t2m"), str(tmp_path / "x.parquet"), "fc")
@@ -82,7 +84,7 @@ def test_chunks_resume_and_overwrite_only_touched(spark, tmp_path):
     CH.write_chunks(fc_rows(spark, ["2024-02"], 5.0), path, "fc")
     assert {(r.month, r.t2m) for r in spark.read.parquet(path).collect()} == {(1, 1.0), (2, 5.0)}
     TB.consolidate(spark, path, str(tmp_path / "all.parquet"), "fc")
-    assert spark.read.parquet(str(tmp_path / "all.parquet")).columns == schemas.TABLES["fc"]
+    assert TB.read_table(spark, str(tmp_path / "all.parquet")).columns == schemas.TABLES["fc"]
 
 
 def test_append_batches(spark, tmp_path):
@@ -92,13 +94,16 @@ def test_append_batches(spark, tmp_path):
     assert not CH.append_batches(spark, [empty], path, "fc")
     assert TB.read_if_present(spark, path) is None
     assert CH.append_batches(spark, [fc_rows(spark, ["2024-01"]), empty, fc_rows(spark, ["2024-02"])], path, "fc")
-    assert spark.read.parquet(path).count() == 4
+    assert TB.read_table(spark, path).count() == 4
 
 
 def test_nanosecond_files(spark, tmp_path):
     path = str(tmp_path / "nanos.parquet")
     stamps = pd.to_datetime(["2024-01-01 12:00:00.25", "1969-12-31 23:00:00"], format="ISO8601")
     pq.write_table(pa.table({"time": pa.array(stamps, pa.timestamp("ns")), "n": [1, 2]}), path)
+    with pytest.raises(ValueError, match="nanosAsLong"):
+        TB.read_nanos(spark, path, ["time"])
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     try:
         got = {r.n: r.time for r in TB.read_nanos(spark, path, ["time"]).collect()}
     finally:
@@ -152,7 +157,61 @@ def test_weight_cache_is_filled_once(spark, folder, tmp_path):
     again = cached_weights(*args, "2024-01-01", ("grid_id",))
     assert again.count() == 216 and len(again.inputFiles()) == n_files
     assert cached_weights(*args, "2025-01-01", ("grid_id",)).count() == 216
-    assert spark.read.parquet(str(tmp_path / "w")).count() == 432
+    assert len(list((tmp_path / "w/weights").glob("fill=*"))) == 2
+
+
+def test_grids_of_equal_axes_have_weights_of_their_own(spark, tmp_path):
+    points = lambda g: spark.createDataFrame([(g, i * 1.0, j * 1.0) for i in range(3) for j in range(3)], "grid_id int, lat double, lon double")
+    box = "POLYGON (({0} {0}, {1} {0}, {1} {1}, {0} {1}, {0} {0}))"
+    texts = [("a", 0, box.format(0.6, 1.4)), ("b", 1, box.format(0, 2)), ("c", 2, box.format(50, 51))]
+    polygons = spark.createDataFrame(texts, "geo_id string, grid_id int, wkt string").withColumn("rings", rings_from_wkt(F.col("wkt")))
+    get = lambda g, domain=("grid_id",): cached_weights(spark, str(tmp_path), points(g), polygons, "p", "1", domain)
+    assert {r.geo_id for r in get(0).collect()} == {"a"}
+    second = get(1)
+    assert {r.geo_id for r in second.collect()} == {"b"} and second.count() == 9
+    assert get(2).count() == 0  # no overlap is a result, too
+    assert {r.geo_id for r in get(0).collect()} == {"a"}
+    assert len(list((tmp_path / "weights").glob("fill=*"))) == 2
+    both = points(0).union(points(1))
+    assert cached_weights(spark, str(tmp_path), both, polygons, "p", "1", ("grid_id",)).count() == 10
+    # Another domain joins other polygons to the same grid.
+    assert {r.geo_id for r in get(0, ()).collect()} == {"a", "b"}
+
+
+def test_resume_reads_the_ledger_alone(spark, tmp_path):
+    path = str(tmp_path / "fc")
+    files = lambda *rows: spark.createDataFrame(list(rows), "year int, month int, lead_time int, length long, modificationTime timestamp")
+    t0 = at("2024-03-01")
+    all_files = [(2024, m, lead, 10, t0) for m in (1, 2) for lead in (24, 48)]
+    catalogue = lambda rows: CH.catalogue_chunks(files(*rows), "fc")
+    seen = []
+
+    def build(df):
+        seen.append(sorted({(r.month, r.lead_time) for r in df.select("month", "lead_time").collect()}))
+        return df
+
+    run = lambda rows, **kw: CH.resume(fc_rows(spark, **kw), path, "fc", build, catalogue=catalogue(rows))
+    assert run(all_files[:2]) and not run(all_files[:2])
+    assert seen == [[(1, 24), (1, 48)]]
+    assert run(all_files) and seen[1:] == [[(2, 24), (2, 48)]]
+    # A source file that changed makes its chunk pending again.
+    touched = [(2024, 1, 24, 11, t0), *all_files[1:]]
+    assert run(touched, value=5.0) and seen[2:] == [[(1, 24)]]
+    assert {(r.month, r.lead_time, r.t2m) for r in spark.read.parquet(path).collect()} == {(1, 24, 5.0), (1, 48, 1.0), (2, 24, 1.0), (2, 48, 1.0)}
+    # The wanted list is compared with the ledger: the plan has no scan of the facts.
+    plan = CH.pending_chunks(catalogue(touched), path, "fc")._jdf.queryExecution().executedPlan().toString()
+    assert "t2m" not in plan and "_ledger" in plan
+    # A chunk whose files are there but that was never entered is built again.
+    ledger = CH.read_ledger(spark, path, "fc")
+    PB.publish(ledger.where("NOT (month = 2 AND lead_time = 48)"), f"{path}/_ledger")
+    assert run(touched) and seen[3:] == [[(2, 48)]]
+    # A chunk without any row is finished as well, and a chunk that lost its rows loses its files.
+    assert run([*touched, (2024, 7, 24, 1, t0)]) and not run([*touched, (2024, 7, 24, 1, t0)])
+    gone = [(2024, 1, 24, 12, t0), *all_files[1:], (2024, 7, 24, 1, t0)]
+    assert CH.resume(fc_rows(spark, ["2024-02"]), path, "fc", catalogue=catalogue(gone))
+    assert sorted((r.month, r.lead_time) for r in spark.read.parquet(path).collect()) == [(1, 48), (2, 24), (2, 48)]
+    counts = {(r.month, r.lead_time): r.n_rows for r in CH.read_ledger(spark, path, "fc").collect()}
+    assert counts == {(1, 24): 0, (1, 48): 1, (2, 24): 1, (2, 48): 1, (7, 24): 0}
 
 
 def test_new_chunks_stream(spark, tmp_path):
@@ -219,3 +278,46 @@ def test_relay_stops_at_undated_files(spark, tmp_path):
         FI.relay_by_month(rows, str(tmp_path / "a"))
     FI.relay_by_month(rows, str(tmp_path / "b"), skip_undated=True)
     assert [r.value for r in spark.read.parquet(str(tmp_path / "b")).collect()] == [1.0]
+
+
+def test_failed_rewrite_keeps_the_table(spark, tmp_path):
+    """Whatever is written over a table, a job that fails leaves the version before it, and no half-written files."""
+    broken = fc_rows(spark).withColumn("t2m", F.raise_error(F.lit("broken input")).cast("double"))
+    path = str(tmp_path / "fc.parquet")
+    TB.write_table(fc_rows(spark), path, "fc")
+    with pytest.raises(Exception, match="broken input"):
+        TB.write_table(broken, path, "fc", force=True)
+    assert TB.table_is_valid(spark, path, schemas.TABLES["fc"]) and TB.read_table(spark, path).count() == 4
+    assert sorted(x.name[:4] for x in (tmp_path / "fc.parquet").iterdir()) == ["_man", "data"]
+    csv = str(tmp_path / "csv")
+    TB.write_csv(fc_rows(spark), csv)
+    with pytest.raises(Exception, match="broken input"):
+        TB.write_csv(broken, csv)
+    assert TB.read_csv(spark, csv, FC).count() == 4
+    CH.append_batches(spark, [fc_rows(spark)], str(tmp_path / "b"), "fc")
+    with pytest.raises(Exception, match="broken input"):
+        CH.append_batches(spark, [broken, fc_rows(spark)], str(tmp_path / "b"), "fc")
+    assert TB.read_table(spark, str(tmp_path / "b")).count() == 4
+
+
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert PB.current(spark, path) is None and PB.read_published(spark, path) is None
+    for n in (1, 2, 3):  # each version may read the one before
+        before = PB.read_published(spark, path)
+        rows = spark.range(n).select("id", F.lit(n).alias("v"))
+        PB.publish(rows if before is None else rows.unionByName(before), path)
+    assert PB.current(spark, path).rows == 6 and PB.current(spark, path).number == 3
+    assert [m.number for m in PB.versions(spark, path)] == [2, 3]
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("data-")]) == 2
+    # A manifest cut short counts as never written; its number is not used again.
+    (tmp_path / "t/_manifests/00000004.json").write_text('{"number": 4, "fol')
+    assert PB.current(spark, path).number == 3 and PB.read_published(spark, path).count() == 6
+    assert PB.publish(spark.range(1), path).number == 5
+    # Of two writers of one version the second fails and leaves nothing.
+    with pytest.raises(PB.PublishConflict):
+        PB._create(spark, f"{path}/_manifests/00000005.json", "{}")
+    assert PB.read_published(spark, path).count() == 1
+    # An empty table is a table.
+    PB.publish(spark.range(0), path)
+    assert PB.current(spark, path).rows == 0 and PB.read_published(spark, path).count() == 0
