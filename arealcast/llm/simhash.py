@@ -217,8 +217,9 @@ def links_in_buckets(links: Links, few: int = 256):
     return by_bucket(edges)
 
 
-def met(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` (fp, bucket, parts, columns) in buckets where every two parts of the old one meet, dealt and sorted by bucket."""
+def met(rows: DataFrame, *columns: str, order: Sequence[str] = ("bucket",)) -> DataFrame:
+    """``rows`` (fp, bucket, parts, columns) in buckets where every two parts of the old one meet, dealt by bucket and sorted
+    by ``order``, which begins with it."""
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -228,7 +229,7 @@ def met(rows: DataFrame, *columns: str) -> DataFrame:
     apart = rows.where(~whole).select("fp", *columns, F.explode(meets).alias("bucket"))
     dealt = rows.where(whole).select("fp", *columns, "bucket").union(apart)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.repartition(n, "bucket").sortWithinPartitions(*order)
 
 
 def linked(fps: DataFrame, links: Links, most: int = 512) -> DataFrame:
@@ -236,18 +237,19 @@ def linked(fps: DataFrame, links: Links, most: int = 512) -> DataFrame:
     return linked_in(fps.select("fp", F.explode(bucket_keys(F.col("fp"), links)).alias("bucket")), links, most)
 
 
-def linked_in(rows: DataFrame, links: Links, most: int = 512) -> DataFrame:
+def linked_in(rows: DataFrame, links: Links, most: int = 512, few: int = 256, order: Sequence[str] = ("bucket",)) -> DataFrame:
     """Edges (a, b) that connect the ``fp`` of ``rows`` (fp, bucket) within ``links.distance`` that share a bucket.
 
     A bucket of over ``most`` members is cut by hash into parts of about that size, and every two parts meet in a bucket
     of their own. So no task holds more than about twice ``most`` rows of a bucket, all pairs are compared, and of each
-    large bucket only a forest comes out.
+    bucket of over ``few`` only a forest comes out. Its roots are first in ``order``: with the fingerprints in it, the same
+    few are roots in most buckets of a group, and edges that repeat go.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     # Written first, so that its true size, mostly next to nothing, decides how it is joined.
     rows = rows.join(materialize(sizes, "buckets"), "bucket", "left")
     rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / most).cast("int"), F.lit(1)))
-    return met(rows).mapInArrow(links_in_buckets(links), "a binary, b binary").distinct()
+    return met(rows, order=order).mapInArrow(links_in_buckets(links, few), "a binary, b binary").distinct()
 
 
 def cluster(rows: DataFrame, edges_of, id_col: str = "doc_id", *known: str) -> DataFrame:
@@ -380,7 +382,7 @@ def verified(nodes: DataFrame, texts: DataFrame, repeats: bool, most: int = 256,
     whether any two rows of ``texts`` agree in id and text.
     """
     buckets = nodes.select("fp", F.explode("keys").alias("bucket"))
-    near = roots(linked_in(buckets, Links(STAGE_BITS, STAGE_DISTANCE, ())))
+    near = roots(linked_in(buckets, Links(STAGE_BITS, STAGE_DISTANCE, ()), few=16, order=("bucket", "fp")))
     near = near.withColumnRenamed("node", "fp").join(nodes.select("fp", "least", "shingles"), "fp")
     near = materialize_lean(near.select("fp", "root", "shingles", "least.id", "least.text_key"), "candidates")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("shingles") / weight)).cast("int")
@@ -388,14 +390,14 @@ def verified(nodes: DataFrame, texts: DataFrame, repeats: bool, most: int = 256,
     rows = near.join(sizes, "root").select("fp", F.xxhash64("root").alias("bucket"), "parts", "id", "text_key")
     rows = materialize_lean(rows, "wanted")
     # Ids alone go first: mostly few enough to reach the texts without moving them.
-    ids = materialize_lean(near.select("id").distinct().withColumnRenamed("id", "near_id"), "ids")
+    ids = materialize_lean(near.select(F.col("id").alias("near_id")).distinct().hint("rebalance"), "ids")
     few = texts.join(ids, texts["id"].eqNullSafe(ids["near_id"]), "left_semi")
     same = few["id"].eqNullSafe(rows["id"]) & (few["text_key"] == rows["text_key"])
     sets = few.join(rows, same).select("fp", "bucket", "parts", set_bytes("text").alias("set"))
     if repeats:  # a row that repeats gives its set once
         sets = sets.dropDuplicates(["fp", "bucket"])
     sets = materialize_lean(sets, "sets")
-    return met(sets, "set").mapInArrow(by_bucket(similar_in_buckets), "a binary, b binary").distinct()
+    return met(sets, "set", order=("bucket", "fp")).mapInArrow(by_bucket(similar_in_buckets), "a binary, b binary").distinct()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
