@@ -134,14 +134,9 @@ def complete_dates(paths: DataFrame, init_hours: Sequence[str], leads: Sequence[
     """Every date seen, the number of wanted (init hour, lead) pairs it has, and whether it has all."""
     wanted = F.col("init_hour").isin(list(init_hours)) & F.col("lead_time").isin(list(leads))
     need = len(init_hours) * len(leads)
-    return (
-        paths.where(wanted)
-        .select("init_date", "init_hour", "lead_time")
-        .distinct()
-        .groupBy("init_date")
-        .agg(F.count(F.lit(1)).alias("n_pairs"))
-        .withColumn("complete", F.col("n_pairs") == need)
-    )
+    pairs = paths.select("init_date", "init_hour", "lead_time", wanted.alias("_w")).distinct()
+    counted = pairs.groupBy("init_date").agg(F.count_if("_w").alias("n_pairs"))
+    return counted.withColumn("complete", F.col("n_pairs") == need)
 
 
 def missing_slots(calendar: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealcast.functions.timefn import epoch_seconds
+from arealcast.session import materialize
+
+
+#: Rows of one key beyond which its times are cut into ranges, and the ranges of such a key.
+HEAVY, RANGES = 100_000, 256
+
+
+def time_ranges(rows: DataFrame, keys: Sequence[str], time: Column, heavy: int = HEAVY, ranges: int = RANGES) -> DataFrame:
+    """(keys, _cuts): ascending times that cut the rows of every key with over ``heavy`` rows into about equal ranges.
+
+    Counts find the heavy keys; only their rows enter a sketch of quantiles, of constant size per key. Light keys are
+    one range and have no row here.
+    """
+    keys = list(keys)
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select(*keys)
+    probs = [i / ranges for i in range(1, ranges)]
+    sketch = F.percentile_approx(time, probs, F.lit(ranges * 20))
+    return rows.join(large, keys, "left_semi").groupBy(*keys).agg(F.array_distinct(sketch).alias("_cuts"))
 
 
 def asof_nearest(
@@ -16,7 +34,7 @@ def asof_nearest(
     keys: Sequence[str],
     time: str,
     columns: Sequence[str],
-    bucket_seconds: int = 86_400,
+    heavy: int = HEAVY,
 ) -> DataFrame:
     """Attach to every request the observation nearest in ``time`` with the same ``keys``.
 
@@ -24,19 +42,21 @@ def asof_nearest(
     largest (by ``columns``) counts. Requests without any observation are dropped. Adds ``matched_time``
     and ``columns``.
 
-    Work is split by time bucket: inside a bucket a window finds the neighbours, and across buckets only
-    each bucket's first and last observation travel. Both neighbours are running values, the following one
-    over the descending order, so a bucket costs no more than its sort however many rows one key has there.
+    Requests and observations are gathered and written once. Where one key has very many of them, its times are cut
+    into ranges of about equal numbers of rows, so that the key is spread over tasks whatever its times are. Inside a
+    range a window finds the neighbours, and across ranges only each range's first and last observation travel. Both
+    neighbours are running values, the following one over the descending order, so a range costs no more than its sort.
     """
     keys = list(keys)
-    bucket = F.floor(epoch_seconds(F.col(time)) / bucket_seconds)
     payload = F.struct(F.col(time).alias("t"), *[F.col(c) for c in columns])
     # One observation per key and instant, whatever the number of duplicates; requests travel as they are.
     seen = observations.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.max(payload).alias("_obs"))
     asked = requests.dropna(subset=[*keys, time]).select(*keys, time, F.struct("*").alias("_row"))
-    mixed = seen.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket)
-    # Dealt out once: the marks of the buckets and the neighbours inside them read the same shuffle.
-    mixed = mixed.repartition(*keys, "_b")
+    mixed = materialize(seen.unionByName(asked, allowMissingColumns=True), "asof")
+    at = epoch_seconds(F.col(time)).cast("double")
+    cuts = materialize(time_ranges(mixed, keys, at, heavy), "ranges")
+    below = F.size(F.filter("_cuts", lambda c: c <= at))
+    mixed = mixed.join(cuts, keys, "left").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
     marks = mixed.groupBy(*keys, "_b").agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,11 +35,15 @@ def partial_climatology(daily: DataFrame, var: str = "t2m") -> DataFrame:
     )
 
 
+def merge_partials(states: DataFrame) -> DataFrame:
+    """Sums and counts of several states as one."""
+    return states.groupBy("geo_id", "day_of_year").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+
+
 def merge_climatology(states: DataFrame, var: str = "t2m") -> DataFrame:
     """Climatology from any number of partial states stacked in one table."""
     return (
-        states.groupBy("geo_id", "day_of_year")
-        .agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+        merge_partials(states)
         .select("geo_id", "day_of_year", F.try_divide("sum", "count").alias(f"{var}_clim"))
     )
 

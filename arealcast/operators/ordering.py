@@ -1,7 +1,7 @@
 """Exact row numbers and quantiles that never sort a whole group in one task.
 
-Both operators first cut the value range at approximate quantiles (a mergeable, constant-size
-sketch read back as a scalar subquery), count the rows of each slice, and then only order rows
+Row numbers come from ranges of the whole order. Quantiles first cut the value range at approximate quantiles (a
+mergeable, constant-size sketch read back as a scalar subquery), count the rows of each slice, and then only order rows
 inside one (key, slice) group. A slice holds about 1/``splits`` of the distinct values, so a key that
 owns a third of all rows is still spread over many tasks, and the answers stay exact.
 """
@@ -14,36 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arealcast.session import materialize
+
 
 # Slices per ordering; a power of two, at least 2.
 SPLITS = 256
 
 
-def _code(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when ``name`` increases (equal codes are allowed)."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.StringType):
-        # The first six bytes after the prefix that all values share, as an integer: exact in a double.
-        first, last = F.encode(F.min(col), "UTF-8"), F.encode(F.max(col), "UTF-8")
-        shared = F.aggregate(
-            F.sequence(F.lit(0), F.least(F.length("lo"), F.length("hi"))),
-            F.lit(0),
-            lambda n, i: F.when((n == i - 1) & (F.substring("lo", n + 1, 1) == F.substring("hi", n + 1, 1)), i).otherwise(n),
-        )
-        skip = df.agg(first.alias("lo"), last.alias("hi")).select(F.coalesce(shared, F.lit(0))).scalar()
-        rest = F.substring(F.encode(col, "UTF-8"), skip + 1, F.lit(6))
-        return F.conv(F.rpad(F.hex(rest), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        day = F.unix_date(col.cast("date")).cast("double") * 86400
-        return day + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
-
-
 def _cuts(df: DataFrame, code: Column, splits: int) -> Column:
     """Scalar subquery: the ``splits - 1`` slice borders of ``code``."""
     probs = [i / splits for i in range(1, splits)]
@@ -68,46 +45,35 @@ def _with_slice(df: DataFrame, code: Column, cuts: Column, splits: int) -> DataF
     )
 
 
-def with_row_number(
-    df: DataFrame,
-    order: Sequence[str],
-    keys: Sequence[str] = (),
-    name: str = "rn",
-    splits: int = SPLITS,
-) -> DataFrame:
+def dealt_by_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in as many sorted ranges of the tuple ``order`` as the session has shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def with_row_number(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "rn") -> DataFrame:
     """1-based position by ``order`` (ascending, NULL first) within ``keys``.
 
-    ``order`` must identify a row within its key, otherwise ties are numbered in any order.
+    ``order`` must identify a row within its key, otherwise ties are numbered in any order. The rows are dealt into ranges
+    of the whole tuple (keys, order), so equal first values spread over as many tasks as any others. Each range is sorted and
+    written once with the positions of its rows; a row's number is its position plus the sizes of the ranges before.
     """
     keys = list(keys)
-    code = _code(df, order[0])
-    sliced = _with_slice(df, code, _cuts(df, code, splits), splits)
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    at = F.monotonically_increasing_id()  # number of the range in the upper bits, position in the lower 33
+    placed = materialize(dealt_by_range(df, [*keys, *order]).withColumn("_at", at), "row-numbers")
+    part = F.shiftright("_at", 33)
+    # One row per range, so this small map is a bounded scalar subquery.
+    sizes = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    entries = sizes.agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("e"))
+    before = lambda i: F.aggregate(F.slice("e", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    offsets = entries.select(F.map_from_entries(F.transform("e", lambda x, i: F.struct(x["p"], before(i)))).alias("m"))
+    row = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    numbered = placed.withColumn(name, F.element_at(offsets.scalar(), part) + row)
     if keys:
-        offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        numbered = sliced.join(offsets, [*keys, "_slice"])
-        before_col = F.col("_before")
-    else:
-        # One row per slice, so this small map is a bounded scalar subquery.
-        entries = F.array_sort(F.collect_list(F.struct("_slice", "_n")))
-        table = sizes.agg(entries.alias("e")).select(
-            F.map_from_entries(
-                F.transform(
-                    "e",
-                    lambda x, i: F.struct(
-                        x["_slice"],
-                        F.aggregate(F.slice("e", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["_n"]),
-                    ),
-                )
-            ).alias("m")
-        )
-        numbered = sliced
-        before_col = F.element_at(table.scalar(), F.col("_slice"))
-    return numbered.withColumn(name, (before_col + F.row_number().over(within)).cast("long")).drop(
-        "_slice", "_before", "_cuts"
-    )
+        first = numbered.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("_first"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        numbered = numbered.join(first, same).withColumn(name, F.col(name) - F.col("_first") + 1)
+    return numbered.select(*df.columns, F.col(name).cast("long").alias(name))
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,8 @@ from arealcast.functions import scalars as S
 from arealcast.operators.ordering import profile, quantiles, value_counts, with_row_number
 
 QUARTILES = [0.25, 0.5, 0.75]
+#: Beyond so many bandwidths exp(-z * z / 2) is zero in a double.
+REACH = 38.7
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -98,38 +100,53 @@ def gaussian_kde(
 ) -> DataFrame:
     """Gaussian kernel density per group on ``gridsize`` points reaching ``cut`` bandwidths past the data.
 
-    Bandwidth is n^(-1/5) times the sample std. Equal values are counted once before they meet the grid
-    points, and the kernel sums are partial aggregates, so only grid points are shuffled.
-    ``common_norm`` scales each group by its share of all rows.
+    Bandwidth is n^(-1/5) times the sample std. Equal values are counted once, and each meets only the grid points where its
+    kernel is not zero in a double: those within ``REACH`` bandwidths. Value counts and the groups' moments come from one
+    pass, and the kernel sums are partial aggregates, so only grid points are shuffled. ``common_norm`` scales each group by
+    its share of all rows.
     """
     by = list(by)
-    counted = value_counts(df, value, by)
-    n = F.col("count")
-    scale = (
-        profile(counted, [0.5], by)
-        .select(
-            *by,
-            n.alias("_total"),
-            (F.col("std") * F.pow(n, F.lit(-0.2))).alias("_h"),
-            F.col("min").alias("_lo"),
-            F.col("max").alias("_hi"),
-        )
-        .where(F.col("_h") > 0)
+    v = F.col(value).cast("double")
+    keep = v.isNotNull() & ~F.isnan(v)
+    for key in by:
+        keep = keep & F.col(key).isNotNull()
+    # One pass for both: a row per distinct value, and a row per group, whose spread is merged from means and squares.
+    rows = df.where(keep).select(*by, v.alias("_v"), v.alias("_x"))
+    both = rows.groupingSets([[F.col(c) for c in (*by, "_v")], [F.col(c) for c in by]], *by, "_v").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.stddev_samp("_x").alias("_std"),
+        F.min("_x").alias("_lo"),
+        F.max("_x").alias("_hi"),
+        F.grouping("_v").alias("_all"),
     )
-    lo, hi = F.col("_lo") - F.col("_h") * cut, F.col("_hi") + F.col("_h") * cut
-    point = lo + F.col("grid_index") * ((hi - lo) / (gridsize - 1))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
+    counted = both.where("_all = 0").select(*by, "_v", "_n")
+    n = F.col("_n")
+    scale = both.where("_all = 1").select(
+        *by, n.alias("_total"), (F.col("_std") * F.pow(n, F.lit(-0.2))).alias("_h"), "_lo", "_hi"
+    ).where(F.col("_h") > 0)
+    h = F.col("_h")
+    lo, hi = F.col("_lo") - h * cut, F.col("_hi") + h * cut
+    step = (hi - lo) / (gridsize - 1)
+    point = lo + F.col("grid_index") * step
+    last = F.lit(gridsize - 1)
+    near = lambda x: F.least(last, F.greatest(F.lit(0), F.floor((x - lo) / step).cast("int")))
+    z = (F.col("x") - F.col("_v")) / h
     norm = F.col("_total")
     if common_norm:
         norm = counted.agg(F.sum("_n")).scalar()
-    return (
+    reached = (
         counted.join(scale, by)
-        .withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
+        .withColumn("grid_index", F.explode(F.sequence(near(F.col("_v") - h * REACH), F.least(last, near(F.col("_v") + h * REACH) + 1))))
         .withColumn("x", point)
         .groupBy(*by, "grid_index", "x", "_total", "_h")
         .agg(F.sum(F.col("_n") * F.exp(-(z * z) / 2)).alias("_k"))
-        .select(*by, "grid_index", "x", (F.col("_k") / (norm * F.col("_h") * F.sqrt(2 * F.pi()))).alias("density"))
     )
+    density = (F.col("_k") / (norm * h * F.sqrt(2 * F.pi()))).alias("density")
+    found = reached.select(*by, "grid_index", "x", density)
+    # Grid points that no value reaches have density zero.
+    every = scale.withColumn("grid_index", F.explode(F.sequence(F.lit(0), last))).select(*by, "grid_index", point.alias("x"))
+    sums = found.select(*by, "grid_index", "density")
+    return every.join(sums, [*by, "grid_index"], "left").select(*by, "grid_index", "x", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def quantile_vector(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arealcast.functions import scalars as S
 from arealcast.functions import timefn as T
 from arealcast.functions.ids import keep_present
+from arealcast.operators.moments import weighted_moments
 
 # Column order of the derived tables, for variable name {v}.
 BIAS_COLUMNS = [
@@ -82,6 +83,29 @@ def model_comparison(
     return out
 
 
+def compare_forecasts(
+    first: DataFrame,
+    second: DataFrame,
+    an: DataFrame,
+    area: DataFrame | None = None,
+    names: tuple[str, str] = ("ifs", "aifs"),
+    var: str = "t2m",
+) -> DataFrame:
+    """``model_comparison`` straight from the forecasts of two models: they meet first, and the analyses are joined once."""
+    keys = ["geo_id", "valid_time", "lead_time"]
+    pair = first.select(*keys, F.col(var).alias("_a")).join(second.select(*keys, F.col(var).alias("_b")), keys)
+    truth = an.select("geo_id", F.col("time").alias("valid_time"), F.col(var).alias("_an"))
+    out = pair.join(truth, ["geo_id", "valid_time"])
+    for name, side in zip(names, ("_a", "_b")):
+        out = out.withColumn(f"bias_{name}", S.bias(F.col(side), F.col("_an"))).withColumn(f"abs_error_{name}", F.abs(f"bias_{name}"))
+    a, b = names
+    out = out.withColumn("bias_diff", F.col(f"bias_{b}") - F.col(f"bias_{a}"))
+    out = out.withColumn("abs_error_diff", F.col(f"abs_error_{b}") - F.col(f"abs_error_{a}")).drop("_a", "_b", "_an")
+    columns = [*keys, *[f"{c}_{n}" for n in names for c in ("bias", "abs_error")], "bias_diff", "abs_error_diff"]
+    out = out.select(*columns)
+    return out if area is None else out.join(area.select("geo_id", "aland"), "geo_id", "left")
+
+
 def filter_bias(
     bias: DataFrame,
     lead_times: Sequence[int] = (),
@@ -209,37 +233,14 @@ def anomaly_correlation(
 ) -> DataFrame:
     """Weighted, centred correlation per group; NULL when either side is constant.
 
-    Two passes: group means first, then centred products, because one-pass moments of large values cancel.
+    One pass over the rows: their moments are merged around common means, so values far from zero do not cancel.
     """
     by = list(by)
-    rows = df.select(*by, x, y, F.col(weight).alias("_w")).dropna()
-    w, cx, cy = F.col("_w"), F.col(x), F.col(y)
-
-    def flat(c: Column) -> Column:
-        return F.max(c) - F.min(c) <= FLAT * F.greatest(F.abs(F.max(c)), F.abs(F.min(c)))
-
-    means = rows.groupBy(*by).agg(
-        (F.sum(w * cx) / F.sum(w)).alias("_mx"),
-        (F.sum(w * cy) / F.sum(w)).alias("_my"),
-        (flat(cx) | flat(cy)).alias("_flat"),
-    )
-    dx, dy = cx - F.col("_mx"), cy - F.col("_my")
-    return (
-        rows.join(means, by)
-        .groupBy(*by)
-        .agg(
-            F.sum(w * dx * dy).alias("_sxy"),
-            F.sum(w * dx * dx).alias("_sxx"),
-            F.sum(w * dy * dy).alias("_syy"),
-            F.max("_flat").alias("_flat"),
-            F.count(F.lit(1)).alias("n_areas"),
-        )
-        .select(
-            *by,
-            F.when(~F.col("_flat"), F.try_divide("_sxy", F.sqrt(F.col("_sxx") * F.col("_syy")))).alias("acc"),
-            "n_areas",
-        )
-    )
+    m = F.col("m")
+    flat = lambda lo, hi: m[hi] - m[lo] <= FLAT * F.greatest(F.abs(m[hi]), F.abs(m[lo]))
+    acc = F.try_divide(m["sxy"], F.sqrt(m["sxx"] * m["syy"]))
+    found = weighted_moments(df, x, y, weight, by)
+    return found.select(*by, F.when(~(flat("x0", "x1") | flat("y0", "y1")), acc).alias("acc"), m["n"].alias("n_areas"))
 
 
 def symmetric_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:

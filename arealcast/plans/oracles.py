@@ -39,14 +39,14 @@ VIEWS = {
         SELECT b.*, c.day_of_year, c.t2m_clim, b.t2m_fc - c.t2m_clim AS fc_anom, b.t2m_an - c.t2m_clim AS an_anom
         FROM bias1 b JOIN clim c ON b.geo_id = c.geo_id AND {doy:b.valid_time} = c.day_of_year""",
     "cells": """
-        SELECT CAST(floor(p_partkey / 20000) AS INTEGER) AS grid_id,
-               1.25e-1 * floor((p_partkey % 20000) / 50) AS lat, -1.25e2 + 1.25e-1 * (p_partkey % 50) AS lon,
+        SELECT CAST(floor(p_partkey / 800) AS INTEGER) AS grid_id,
+               1.25e-1 * floor((p_partkey % 800) / 50) AS lat, -1.25e2 + 1.25e-1 * (p_partkey % 50) AS lon,
                CASE WHEN p_partkey % 37 <> 0 THEN 2.5e2 + p_size END AS value,
                CASE WHEN p_partkey % 41 <> 0 THEN CAST(p_size % 6 AS INTEGER) END AS category
         FROM part""",
     "obs": """
-        SELECT CAST(floor(l_partkey / 20000) AS INTEGER) AS grid_id,
-               1.25e-1 * floor((l_partkey % 20000) / 50) AS lat, -1.25e2 + 1.25e-1 * (l_partkey % 50) AS lon,
+        SELECT CAST(floor(l_partkey / 800) AS INTEGER) AS grid_id,
+               1.25e-1 * floor((l_partkey % 800) / 50) AS lat, -1.25e2 + 1.25e-1 * (l_partkey % 50) AS lon,
                l_shipdate + 3 * l_linenumber * INTERVAL '1' HOUR AS time,
                2.7315e2 + l_quantity AS f, 2.7315e2 + 9e-1 * l_quantity + 1e1 * l_discount AS a,
                2.7e2 + 1e1 * l_tax AS c, CAST(l_linenumber * 24 AS INTEGER) AS lead_time
@@ -55,10 +55,10 @@ VIEWS = {
         SELECT grid_id, lat, lon, time, avg(f) AS f, avg(a) AS a, avg(c) AS c FROM obs GROUP BY 1, 2, 3, 4""",
     "polys": """
         SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
-               CAST(floor(s_suppkey / 245) AS INTEGER) AS grid_id, s_nationkey AS statefp,
-               -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5) AS x0, -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5 + 1) AS x1,
-               -1e-1 + 1.03e0 * floor((s_suppkey % 245) / 5) AS y0,
-               -1e-1 + 1.03e0 * (floor((s_suppkey % 245) / 5) + 1) AS y1
+               CAST(floor(s_suppkey / 10) AS INTEGER) AS grid_id, s_nationkey AS statefp,
+               -1.252e2 + 1.27e0 * (s_suppkey % 10 % 5) AS x0, -1.252e2 + 1.27e0 * (s_suppkey % 10 % 5 + 1) AS x1,
+               -1e-1 + 1.03e0 * floor((s_suppkey % 10) / 5) AS y0,
+               -1e-1 + 1.03e0 * (floor((s_suppkey % 10) / 5) + 1) AS y1
         FROM supplier""",
     "lats": """
         SELECT grid_id, lat, lat - coalesce(lat - p, n - lat, 1e0) / 2 AS lat_lo, lat + coalesce(n - lat, lat - p, 1e0) / 2 AS lat_hi
@@ -292,6 +292,22 @@ ORACLES: dict[str, str] = {
         {r('b.bias', 'bias_aifs')}, {r('b.abs_error', 'abs_error_aifs')}, {r('b.bias - a.bias', 'bias_diff')},
         {r('b.abs_error - a.abs_error', 'abs_error_diff')}, {r('a.aland', 'aland')}
         FROM bias1 a JOIN bias2 b ON a.geo_id = b.geo_id AND a.valid_time = b.valid_time AND a.lead_time = b.lead_time""", "bias1", "bias2"),
+    "stored_anomalies": sql(f"SELECT {BIAS}, day_of_year, {rs('t2m_clim fc_anom an_anom')} FROM anom", "anom"),
+    "stored_comparison": sql(
+        f"""SELECT a.geo_id, a.valid_time, a.lead_time, {r('a.bias', 'bias_ifs')}, {r('a.abs_error', 'abs_error_ifs')},
+        {r('b.bias', 'bias_aifs')}, {r('b.abs_error', 'abs_error_aifs')}, {r('b.bias - a.bias', 'bias_diff')},
+        {r('b.abs_error - a.abs_error', 'abs_error_diff')}
+        FROM bias1 a JOIN bias2 b ON a.geo_id = b.geo_id AND a.valid_time = b.valid_time AND a.lead_time = b.lead_time""", "bias1", "bias2"),
+    "relaid_by_month": f"""
+        SELECT year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, count(DISTINCT o_orderdate) AS n_days,
+        {r('sum(o_totalprice)', 'total')} FROM orders GROUP BY 1, 2""",
+    "file_heads": """
+        WITH f AS (
+            SELECT c_nationkey AS k, min(line) AS first, sum(length(line) + 1)::BIGINT AS length FROM (
+                SELECT c_nationkey, CASE c_nationkey % 3 WHEN 0 THEN 'CDF' WHEN 1 THEN 'GRIB' ELSE 'CD' END || c_name AS line FROM customer
+            ) GROUP BY 1
+        )
+        SELECT k, length, left(first, 4) AS head, length < 10000 AS too_small, k % 3 <> 0 AS wrong_magic, length < 10000 OR k % 3 <> 0 AS suspect FROM f""",
     "spill_over_month": sql(
         f"""SELECT geo_id, valid_time, init_time, lead_time, {r('t2m')}, {ym('init_time')} FROM fc1
         WHERE valid_time >= TIMESTAMP '1998-03-01' AND valid_time < TIMESTAMP '1998-04-01'""", "fc1"),
@@ -317,7 +333,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT p.geo_id, CAST(p.statefp AS VARCHAR) AS statefp, {r('aland_m2')}, {r('x0', 'west')}, {r('y1', 'north')}
         FROM polys p JOIN area a ON p.geo_id = a.geo_id""", "polys", "area"),
     "stored_cube": sql(f"SELECT grid_id, {rs('lat lon')}, time, {r('f - a', 'error')}, {ym('time')} FROM mobs", "mobs"),
-    "tolerant_scan": sql("SELECT count(*) AS n_rows, count(value) AS n_values, CAST(0 AS BIGINT) AS n_skipped FROM cells", "cells"),
+    "tolerant_scan": sql("SELECT count(*) AS n_rows, count(value) AS n_values, CAST(1 AS BIGINT) AS n_skipped FROM cells", "cells"),
     "streamed_chunks": sql(f"SELECT geo_id, time, {r('t2m')}, {ym('time')} FROM an", "an"),
     "skill_by_lead": sql(f"SELECT model, lead_time, {SKILL} FROM {BOTH} GROUP BY model, lead_time", "bias1", "bias2"),
     "skill_by_lead_area_weighted": sql(f"SELECT model, lead_time, {ACC_SKILL} FROM {BOTH} WHERE aland IS NOT NULL GROUP BY model, lead_time", "bias1", "bias2"),
@@ -639,13 +655,13 @@ ORACLES: dict[str, str] = {
                  l_shipdate + (CASE WHEN l_quantity > 49 THEN 6 ELSE 0 END) * INTERVAL '1' HOUR AS i FROM lineitem)
         GROUP BY path HAVING max(i <> l_shipdate)""",
     "grid_mismatches": sql(
-        """WITH ref AS (SELECT DISTINCT lat, lon FROM cells WHERE value IS NOT NULL), s AS (SELECT DISTINCT strftime(time, '%Y%m%d') AS path, lat, lon FROM obs)
+        """WITH ref AS (SELECT DISTINCT grid_id, lat, lon FROM cells WHERE value IS NOT NULL), s AS (SELECT DISTINCT strftime(time, '%Y%m%d') AS path, grid_id, lat, lon FROM obs)
         SELECT path, (SELECT count(*) FROM ref) - count(k.lat) AS n_missing, count(*) - count(k.lat) AS n_extra
-        FROM s LEFT JOIN ref k ON s.lat = k.lat AND s.lon = k.lon GROUP BY path
+        FROM s LEFT JOIN ref k ON s.grid_id = k.grid_id AND s.lat = k.lat AND s.lon = k.lon GROUP BY path
         HAVING (SELECT count(*) FROM ref) - count(k.lat) > 0 OR count(*) - count(k.lat) > 0""", "cells", "obs"),
     "common_times": sql("SELECT valid_time AS time FROM fc1 INTERSECT SELECT valid_time FROM fc2 INTERSECT SELECT time FROM an", "fc1", "fc2", "an"),
     "distinct_leads": sql("SELECT DISTINCT lead_time FROM fc1 ORDER BY lead_time", "fc1"),
-    "completeness_by_date": sql("SELECT init_time AS init_date, count(DISTINCT lead_time) AS n_pairs, count(DISTINCT lead_time) = 7 AS complete FROM files GROUP BY 1", "files"),
+    "completeness_by_date": sql("SELECT init_time AS init_date, count(DISTINCT lead_time) FILTER (WHERE lead_time IN (24, 48)) AS n_pairs, count(DISTINCT lead_time) FILTER (WHERE lead_time IN (24, 48)) = 2 AS complete FROM files GROUP BY 1", "files"),
     "missing_slots": sql("SELECT init_time, lead_time FROM fc_slots EXCEPT SELECT init_time, lead_time FROM files", "fc_slots"),
     "source_completeness": sql(
         """WITH f AS (SELECT year(d) AS y, month(d) AS m, lead, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS c FROM (

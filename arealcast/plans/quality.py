@@ -13,7 +13,7 @@ from arealcast.operators.align import chunk_key
 # Smallest plausible gridded file, leading bytes of the accepted formats, report length,
 # columns a climatology must have, and the day range it must cover.
 MIN_FILE_BYTES = 10_000
-MAGIC_HEX = {"netcdf3": "434446", "hdf5": "89484446"}
+MAGIC = {"netcdf3": b"CDF", "hdf5": b"\x89HDF"}
 CLIMATOLOGY_COLUMNS = ("t2m_clim", "geo_id", "day_of_year")
 DOY_RANGE = (1, 365)
 
@@ -21,11 +21,12 @@ DOY_RANGE = (1, 365)
 def file_suspects(files: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame:
     """Flag files that are too small or start with the wrong bytes.
 
-    ``files`` comes from the ``binaryFile`` source (path, length, content); only four bytes of the content
-    are looked at.
+    ``files``: path, length and head, the leading bytes, as ``sources.files.file_heads`` gives them. A file shorter than
+    a signature does not begin with it.
     """
-    head = F.hex(F.substring("content", 1, 4))
-    right_kind = head.startswith(MAGIC_HEX["netcdf3"]) | (head == MAGIC_HEX["hdf5"])
+    right_kind = F.lit(False)
+    for magic in MAGIC.values():
+        right_kind = right_kind | (F.substring("head", 1, len(magic)) == F.lit(magic))
     return files.select(
         "path",
         "length",

@@ -19,8 +19,16 @@ from arealcast.sources.weights import cached_weights, weight_keys
 DOMAIN = ["grid_id"]
 
 
+#: Store of weights by session and data folder.
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def _weights(t: Tables) -> DataFrame:
-    return SP.overlap_weights(GR.grid_cells(t.cells()), t.polygons(), DOMAIN)
+    """Weights from the session's store: the first query that needs a grid's weights fills it."""
+    own = (t.spark.sparkContext.applicationId, t.dir)
+    if own not in _STORES:
+        _STORES[own] = shared_dir(t.spark, "weights")
+    return cached_weights(t.spark, _STORES[own], t.cells(), t.polygons(), t.dir, "", tuple(DOMAIN))
 
 
 def _mean_obs(t: Tables) -> DataFrame:
@@ -52,7 +60,7 @@ def cell_bounds(t: Tables) -> DataFrame:
 
 @query
 def cell_polygon_weights(t: Tables) -> DataFrame:
-    w = _weights(t)
+    w = SP.overlap_weights(GR.grid_cells(t.cells()), t.polygons(), DOMAIN)
     return rounded(w.withColumn("w", F.col("w") * 1000))
 
 

@@ -102,7 +102,7 @@ def distinct_leads(t: Tables) -> DataFrame:
 
 @query
 def completeness_by_date(t: Tables) -> DataFrame:
-    out = AL.complete_dates(AL.forecast_paths(t.files()), ["0000"], LEADS)
+    out = AL.complete_dates(AL.forecast_paths(t.files()), ["0000"], LEADS[:2])
     return out.withColumn("init_date", F.col("init_date").cast("timestamp_ntz"))
 
 

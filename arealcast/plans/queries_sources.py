@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealcast.catalog import Workspace
+from arealcast.operators import verify as V
+from arealcast.plans import quality as Q
 from arealcast.plans.registry import Tables, query, rounded
 from arealcast.session import shared_dir
+from arealcast.sources import bucketed as BU
 from arealcast.sources import chunks as CH
 from arealcast.sources import files as FI
 from arealcast.sources import tables as TB
@@ -129,10 +132,57 @@ def stored_cube(t: Tables) -> DataFrame:
 
 @query
 def tolerant_scan(t: Tables) -> DataFrame:
-    """Cells scanned file by file: rows read beside files that gave none."""
-    path = shared_dir(t.spark, "cells")
-    t.cells().write.parquet(path)
-    rows, skipped = FI.read_cells_tolerant(t.spark, path, "grid_id int, lat double, lon double, value double")
+    """Cells scanned file by file beside a file that is no table: rows read, and files that gave none."""
+    path = shared_dir(t.spark, "cells of a day")
+    t.cells().repartition(4).write.parquet(f"{path}/good")
+    t.cells().agg(F.count(F.lit(1)).cast("string").alias("value")).write.text(f"{path}/broken")
+    rows, skipped = FI.read_cells_tolerant(t.spark, path, "grid_id int, lat double, lon double, value double", "part-*")
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values")).withColumn(
         "n_skipped", skipped.agg(F.count(F.lit(1))).scalar()
     )
+
+
+@query
+def relaid_by_month(t: Tables) -> DataFrame:
+    """Rows of dated files laid out by year and month, counted folder by folder."""
+    path = shared_dir(t.spark, "relaid")
+    day = F.concat(F.lit("/an/m1_an_2t_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".nc"))
+    FI.relay_by_month(t.raw("orders").select(day.alias("file"), "o_orderdate", F.col("o_totalprice").alias("value")), path)
+    laid = t.spark.read.parquet(path).groupBy("year", "month")
+    return rounded(laid.agg(F.count_distinct("o_orderdate").alias("n_days"), F.sum("value").alias("total")))
+
+
+@query
+def file_heads(t: Tables) -> DataFrame:
+    """Size and signature test of one file per nation, written from the customers' names."""
+    path = shared_dir(t.spark, "heads")
+    kind = F.when(F.col("c_nationkey") % 3 == 0, "CDF").when(F.col("c_nationkey") % 3 == 1, "GRIB").otherwise("CD")
+    lines = t.raw("customer").select(F.col("c_nationkey").alias("k"), F.concat(kind, "c_name").alias("line"))
+    lines.repartition("k").sortWithinPartitions("k", "line").write.partitionBy("k").text(path)
+    heads = FI.file_heads(t.spark, path, "part-*")
+    k = F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("int").alias("k")
+    tested = Q.file_suspects(heads).select("path", "too_small", "wrong_magic", "suspect")
+    return heads.join(tested, "path").select(k, "length", F.col("head").cast("string").alias("head"), "too_small", "wrong_magic", "suspect")
+
+
+def _stored_in_buckets(t: Tables) -> dict[str, DataFrame]:
+    """Forecasts of both models, analyses and climatology, stored by area."""
+    path = shared_dir(t.spark, "buckets")
+    tables = {"first": t.forecasts(), "second": t.forecasts(second=True), "an": t.analyses(), "clim": t.climatology(), "area": t.land_area()}
+    for name, df in tables.items():
+        BU.store_bucketed(df, f"{path}/{name}", buckets=8)
+    return {name: BU.read_bucketed(t.spark, f"{path}/{name}") for name in tables}
+
+
+@query
+def stored_anomalies(t: Tables) -> DataFrame:
+    """Errors and anomalies from tables stored by area: no row moves for the joins."""
+    s = _stored_in_buckets(t)
+    return rounded(V.anomaly_table(V.bias_table(s["first"], s["an"], s["area"]), s["clim"]))
+
+
+@query
+def stored_comparison(t: Tables) -> DataFrame:
+    """Two models compared from tables stored by area."""
+    s = _stored_in_buckets(t)
+    return rounded(V.compare_forecasts(s["first"], s["second"], s["an"]))

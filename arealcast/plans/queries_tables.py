@@ -65,7 +65,7 @@ def daily_series_without_leap_days(t: Tables) -> DataFrame:
 
 @query
 def model_comparison(t: Tables) -> DataFrame:
-    return rounded(V.model_comparison(t.bias(), t.bias(second=True), t.land_area()))
+    return rounded(V.compare_forecasts(t.forecasts(), t.forecasts(second=True), t.analyses(), t.land_area()))
 
 
 @query
@@ -218,7 +218,7 @@ def analysis_nearest_step(t: Tables) -> DataFrame:
     noon = t.forecasts().select(
         "geo_id", (F.col("valid_time") + F.make_dt_interval(F.lit(0), F.lit(12))).alias("time")
     ).distinct()
-    return rounded(A.asof_nearest(noon, t.analyses(), ["geo_id"], "time", ["t2m"], 30 * 86_400))
+    return rounded(A.asof_nearest(noon, t.analyses(), ["geo_id"], "time", ["t2m"]))
 
 
 @query

@@ -1,7 +1,7 @@
 """The domain tables, derived from the driver's tables.
 
-Every view reads whole tables and grows with them. Cells are laid out in grids of 400 x 50 cells, and
-polygons in domains of 5 x 49 rectangles, so latitudes stay on the globe however many rows there are; a
+Every view reads whole tables and grows with them. Cells are laid out in grids of 16 x 50 cells, and
+polygons in domains of 5 x 2 rectangles, so that even small tables give several grids of equal axes; a
 grid is covered by the polygon domain of the same number.
 """
 
@@ -15,9 +15,9 @@ from arealcast.operators.spatial import rectangle_ring
 # First model starts with the data, second model later.
 SECOND_START = "1998-01-01"
 # Layout of the stand-in grid.
-LAT0, LON0, STEP, GRID_ROWS, GRID_COLS = 0.0, -125.0, 0.125, 400, 50
+LAT0, LON0, STEP, GRID_ROWS, GRID_COLS = 0.0, -125.0, 0.125, 16, 50
 GRID_CELLS = GRID_ROWS * GRID_COLS
-POLY_COLS, POLY_ROWS = 5, 49
+POLY_COLS, POLY_ROWS = 5, 2
 
 
 class StandIns:

@@ -54,15 +54,15 @@ def write_chunks(df: DataFrame, path: str, kind: str, stamps: DataFrame | None =
         .parquet(path)
     )
     # Rows of every chunk as the footers of its files tell, and when they were written; no column is read.
-    changed = F.unix_millis(F.max("_metadata.file_modification_time"))
-    counted = spark.read.schema(rows.schema).parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), changed.alias("at"))
-    written = counted.where(F.col("at") >= mark)
+    changed = F.unix_millis(F.max("_metadata.file_modification_time")).alias("at")
+    there = lambda: spark.read.schema(rows.schema).parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), changed)
     if stamps is None:
-        fresh = written.select(*keys, "n_rows", F.lit(None).cast("string").alias("stamp"))
+        fresh = there().where(F.col("at") >= mark).select(*keys, "n_rows", F.lit(None).cast("string").alias("stamp"))
     else:
+        # What was asked for and not written has no rows any more.
         stamps = stamps.select(*keys, F.col("stamp").cast("string")).distinct()
-        _remove(spark, path, keys, counted.where(F.col("at") < mark).join(stamps, keys, "left_semi"))
-        fresh = stamps.join(written, keys, "left").select(*keys, F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "stamp")
+        _remove(spark, path, keys, there().where(F.col("at") < mark).join(stamps, keys, "left_semi"))
+        fresh = stamps.join(there(), keys, "left").select(*keys, F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "stamp")
     fresh = fresh.select(*[F.col(k).cast("int").alias(k) for k in keys], "n_rows", "stamp")
     before = read_ledger(spark, path, kind)
     ledger = fresh if before is None else fresh.unionByName(before.join(fresh, keys, "left_anti"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealcast.functions.ids import file_date
+from arealcast.sources import heads
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -20,14 +21,9 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def file_heads(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, length and content for the magic-byte test. Each file is read whole by one task."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", "length", "content")
-    )
+    """path, length, modified and head (four bytes) of every file below ``root``; nothing else of a file is read."""
+    heads.register(spark)
+    return spark.read.format("file_heads").option("pattern", pattern).load(root)
 
 
 def read_cells_tolerant(spark: SparkSession, root: str, schema: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
@@ -41,11 +37,16 @@ def read_cells_tolerant(spark: SparkSession, root: str, schema: str, pattern: st
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .parquet(root)
-        .withColumn("file", F.input_file_name())
+        .withColumn("file", decoded(F.input_file_name()))
     )
     return rows, skipped_files(list_files(spark, root, pattern), rows)
 
 
+def decoded(uri: Column) -> Column:
+    """A file's path as listings write it: rows name their file as a URI, with blanks and other characters encoded."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def skipped_files(listing: DataFrame, scanned: DataFrame) -> DataFrame:
     """Listed files that gave no row, by file name path without scheme."""
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")

@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ class Manifest:
     format: str
     columns: list[str]
     rows: int | None
+    note: dict = field(default_factory=dict)
     complete: bool = True
 
 
@@ -96,27 +97,46 @@ def publish(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     unless_empty: bool = False,
+    note: dict | None = None,
     **options: str,
 ) -> Manifest | None:
     """Write ``df`` as the next version of the table at ``path``. ``df`` may read the version before.
 
-    ``unless_empty``: publish nothing, and return None, if a Parquet table would have no row.
+    ``unless_empty``: publish nothing, and return None, if a Parquet table would have no row. ``note``: what the manifest
+    tells besides.
     """
-    spark, path = df.sparkSession, path.rstrip("/")
+
+    def write(folder: str) -> None:
+        writer = df.write.format(fmt).options(**options)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.save(folder)
+
+    return publish_folder(df.sparkSession, path, write, fmt, df.columns, note or {}, unless_empty)
+
+
+def publish_folder(
+    spark: SparkSession,
+    path: str,
+    write: Callable[[str], None],
+    fmt: str,
+    columns: list[str],
+    note: dict,
+    unless_empty: bool = False,
+) -> Manifest | None:
+    """Let ``write`` fill a new data folder and publish it as the next version."""
+    path = path.rstrip("/")
     number = max([0, *_numbers(spark, path)]) + 1
     folder = f"data-{number:08d}-{uuid.uuid4().hex}"
     fs, make = _fs(spark, path)
     try:
-        writer = df.write.format(fmt).options(**options)
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.save(f"{path}/{folder}")
+        write(f"{path}/{folder}")
         # Parquet knows its number of rows from the footers, so this reads no data.
-        rows = spark.read.schema(df.schema).parquet(f"{path}/{folder}").count() if fmt == "parquet" else None
+        rows = spark.read.parquet(f"{path}/{folder}").count() if fmt == "parquet" else None
         if unless_empty and rows == 0:
             fs.delete(make(f"{path}/{folder}"), True)
             return None
-        manifest = Manifest(number, folder, fmt, df.columns, rows)
+        manifest = Manifest(number, folder, fmt, columns, rows, note)
         _create(spark, f"{path}/{MANIFESTS}/{number:08d}.json", json.dumps(asdict(manifest)))
     except BaseException:
         fs.delete(make(f"{path}/{folder}"), True)

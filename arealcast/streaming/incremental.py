@@ -6,14 +6,16 @@ per micro-batch, so a batch repeated after a failure changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arealcast.operators.climatology import drop_leap_days, merge_climatology, partial_climatology
+from arealcast.operators.climatology import drop_leap_days, merge_climatology, merge_partials, partial_climatology
 from arealcast.sources.chunks import LAYOUT, with_chunk_columns, write_chunks
+from arealcast.sources.published import current, publish, read_published
 
 
 def new_chunks(
@@ -34,16 +36,16 @@ def new_chunks(
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
         touched = with_chunk_columns(batch, kind).select(*keys).distinct()
-        # Literal month limits reach the Parquet statistics, so old files are mostly skipped.
-        span = batch.agg(
-            F.trunc(F.min(time), "month").alias("lo"), F.add_months(F.trunc(F.max(time), "month"), 1).alias("hi")
-        ).first()
-        if span.lo is None:
+        months = sorted((r.year, r.month) for r in touched.select("year", "month").distinct().collect() if r.year is not None)
+        if not months:
             return
+        # Literal limits of the touched months reach the Parquet statistics, so files of other months are skipped.
         t = F.col(time)
-        everything = with_chunk_columns(spark.read.schema(schema).parquet(source), kind).where(
-            (t >= F.lit(span.lo).cast("timestamp_ntz")) & (t < F.lit(span.hi).cast("timestamp_ntz"))
+        within = reduce(
+            Column.__or__,
+            [(t >= F.lit(lo).cast("timestamp_ntz")) & (t < F.lit(hi).cast("timestamp_ntz")) for lo, hi in month_spans(months)],
         )
+        everything = with_chunk_columns(spark.read.schema(schema).parquet(source).where(within), kind)
         rows = everything.join(touched, keys, "left_semi")
         write_chunks(build(rows), target, kind, touched.withColumn("stamp", F.lit(None).cast("string")))
 
@@ -57,25 +59,41 @@ def new_chunks(
     )
 
 
+def month_spans(months: Sequence[tuple[int, int]]) -> list[tuple[str, str]]:
+    """First day of each run of neighbouring months, and the first day after it."""
+    number = [12 * y + m - 1 for y, m in months]
+    first = lambda n: f"{n // 12:04d}-{n % 12 + 1:02d}-01"
+    out: list[list[int]] = []
+    for n in sorted(set(number)):
+        if out and out[-1][1] == n:
+            out[-1][1] = n + 1
+        else:
+            out.append([n, n + 1])
+    return [(first(a), first(b)) for a, b in out]
+
+
 def climatology_state(
     stream: DataFrame, state: str, checkpoint: str, var: str = "t2m"
 ) -> StreamingQuery:
     """Fold arriving daily rows (geo_id, time, var) into stored sums and counts.
 
-    Each micro-batch of each checkpoint owns one partition of the state, so writing it again replaces it, and a
-    new checkpoint over an existing state adds to it. Checkpoints are told apart by the query id they hold.
+    The state is one published table of a row per area and day: every micro-batch merges into it and publishes the next
+    version, so it never grows with the number of batches. Its manifest tells the last batch of every checkpoint
+    that is in it, so a batch that is repeated after a failure is passed over, and a new checkpoint over an existing state
+    adds to it. Checkpoints are told apart by the query id they hold.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        run = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        spark = batch.sparkSession
+        run = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        before = current(spark, state)
+        done = {} if before is None else before.note
+        if done.get(run, -1) >= batch_id:
+            return
         part = partial_climatology(drop_leap_days(batch), var)
-        (
-            part.withColumns({"run": F.lit(run), "batch": F.lit(batch_id)})
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run", "batch")
-            .parquet(state)
-        )
+        if before is not None:
+            part = merge_partials(part.unionByName(read_published(spark, state).select(*part.columns)))
+        publish(part, state, note={**done, run: batch_id})
 
     return (
         stream.writeStream.foreachBatch(fold)
@@ -86,4 +104,4 @@ def climatology_state(
 
 
 def climatology_from_state(spark: SparkSession, state: str, var: str = "t2m") -> DataFrame:
-    return merge_climatology(spark.read.parquet(state), var)
+    return merge_climatology(read_published(spark, state), var)

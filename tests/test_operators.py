@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -62,10 +63,10 @@ def test_row_number_text_numbers_times(spark):
     df = frame(spark, rows, "s string, k string, t timestamp_ntz, i int")
     table = pd.DataFrame(rows, columns=list("skti"))
     for first in ("s", "t"):
-        got = {r.i: r.rn for r in with_row_number(df, [first, "i"], splits=8).collect()}
+        got = {r.i: r.rn for r in with_row_number(df, [first, "i"]).collect()}
         order = table.sort_values([first, "i"], na_position="first").i.tolist()
         assert [got[i] for i in order] == list(range(1, 302))
-        got = {r.i: r.rn for r in with_row_number(df, [first, "i"], ["k"], splits=8).collect()}
+        got = {r.i: r.rn for r in with_row_number(df, [first, "i"], ["k"]).collect()}
         for _, part in table.groupby("k"):
             order = part.sort_values([first, "i"], na_position="first").i.tolist()
             assert [got[i] for i in order] == list(range(1, len(order) + 1))
@@ -79,7 +80,7 @@ def test_asof_ties_and_edges(spark):
         [("a", at(x)) for x in ("2024-01-01 03:00", "2023-12-30 00:00", "2024-02-01 00:00", "2024-01-01 02:59")] + [("b", at("2024-01-01 00:00"))],
         "k string, t timestamp_ntz",
     )
-    got = {r.t: r.v for r in A.asof_nearest(asked, obs, ["k"], "t", ["v"], 3600).collect()}
+    got = {r.t: r.v for r in A.asof_nearest(asked, obs, ["k"], "t", ["v"]).collect()}
     assert got == {at("2024-01-01 03:00"): 2.0, at("2023-12-30"): 1.0, at("2024-02-01"): 2.0, at("2024-01-01 02:59"): 1.0}
 
 
@@ -91,7 +92,7 @@ def test_asof_against_brute_force(spark):
     got = {
         r.i: r.j
         for r in A.asof_nearest(
-            frame(spark, asks, "k string, t timestamp_ntz, i int"), frame(spark, obs, "k string, t timestamp_ntz, j int"), ["k"], "t", ["j"], 7200
+            frame(spark, asks, "k string, t timestamp_ntz, i int"), frame(spark, obs, "k string, t timestamp_ntz, j int"), ["k"], "t", ["j"], heavy=20
         ).collect()
     }
     for k, t, i in asks:
@@ -99,6 +100,23 @@ def test_asof_against_brute_force(spark):
         assert got[i] == -best[2]
 
 
+def test_asof_of_one_hot_key_within_a_day(spark):
+    """A million rows of one key in one day: many ranges, none of them large, one scan of each input, right neighbours."""
+    base = F.lit("2024-01-01").cast("timestamp_ntz")
+    second = lambda c: base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c.cast("decimal(18,6)"))
+    obs = spark.range(800_000).select(F.lit("hot").alias("k"), second(F.col("id") / 10).alias("t"), F.col("id").alias("j"))
+    asked = spark.range(200_000).select(F.lit("hot").alias("k"), second(F.pmod(F.col("id") * 7919, 86_400_00) / 100).alias("t"), F.col("id").alias("i"))
+    cuts = A.time_ranges(obs, ["k"], A.epoch_seconds(F.col("t")).cast("double")).first()._cuts
+    assert len(cuts) > 200
+    sizes = obs.groupBy(F.size(F.filter(F.lit(cuts), lambda c: c <= A.epoch_seconds(F.col("t"))))).count().agg(F.max("count")).first()[0]
+    assert sizes < 10_000
+    found = A.asof_nearest(asked, obs, ["k"], "t", ["j"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 0  # the inputs are not read again
+    tenth = F.pmod(F.col("i") * 7919, 86_400_00) / 100 * 10
+    wrong = found.where(F.abs(F.col("j") - F.least(tenth, F.lit(799_999.0))) > 0.5 + 1e-6)
+    assert found.count() == 200_000 and wrong.isEmpty()
+
+
 # ------------------------------------------------------------------ verification
 def test_bias_anomaly_comparison(spark):
     fc = frame(spark, [("01001", at("2024-02-29"), at("2024-02-28"), 24, 280.0)], "geo_id string, valid_time timestamp_ntz, init_time timestamp_ntz, lead_time int, t2m double")
@@ -113,6 +131,10 @@ def test_bias_anomaly_comparison(spark):
     assert (anom.day_of_year, anom.fc_anom, anom.an_anom) == (60, 10.0, 8.0)
     both = V.model_comparison(bias, bias.withColumn("bias", F.lit(-1.0)).withColumn("abs_error", F.lit(1.0)), area).first()
     assert (both.bias_diff, both.abs_error_diff) == (-3.0, -1.0)
+    direct = V.compare_forecasts(fc, fc.withColumn("t2m", F.col("t2m") - 3), an, area)
+    assert direct.columns == V.model_comparison(bias, bias, area).columns
+    row = direct.first()
+    assert (row.bias_ifs, row.bias_aifs, row.bias_diff, row.abs_error_diff, row.aland) == (2.0, -1.0, -3.0, -1.0, 5.0)
 
 
 def test_end_date_keeps_midnight_only(spark):
@@ -334,8 +356,6 @@ def test_row_numbers_of_ids_with_one_prefix(spark):
     from arealcast.operators import ordering as O
 
     ids = spark.range(3000).select(F.format_string("0500000US%05d", F.col("id") * 7).alias("geo_id"))
-    code = O._code(ids, "geo_id")
-    assert ids.select(code.alias("c")).distinct().count() > 100
     got = O.with_row_number(ids, ["geo_id"]).orderBy("geo_id").collect()
     assert [r.rn for r in got] == list(range(1, 3001))
     none = spark.createDataFrame([(None,), ("",), ("a",), ("ab",), ("é",)], "geo_id string")
@@ -343,6 +363,63 @@ def test_row_numbers_of_ids_with_one_prefix(spark):
     assert {r.geo_id: r.rn for r in got} == {None: 1, "": 2, "a": 3, "ab": 4, "é": 5}
 
 
+def test_row_numbers_with_few_first_values_use_all_tasks(spark):
+    from arealcast.operators import ordering as O
+
+    rows = spark.range(100_000).select((F.col("id") % 2).alias("k"), F.lit(None).cast("string").alias("s"), F.xxhash64("id").alias("h"), "id")
+    ranges = O.dealt_by_range(rows, ["k", "s", "h"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 4 and max(r["count"] for r in ranges) < 40_000
+    got = O.with_row_number(rows, ["k", "s", "h"])
+    ordered = got.orderBy("rn").select("k", "h", "rn").toPandas()
+    assert ordered.rn.tolist() == list(range(1, 100_001))
+    assert ordered[["k", "h"]].equals(ordered[["k", "h"]].sort_values(["k", "h"], ignore_index=True))
+    within = O.with_row_number(rows, ["s", "h"], ["k"]).groupBy("k").agg(F.min("rn").alias("a"), F.max("rn").alias("b"), F.count_distinct("rn").alias("n"))
+    assert {(r.a, r.b, r.n) for r in within.collect()} == {(1, 50_000, 50_000)}
+
+
+def test_moments_merge_without_cancelling(spark, monkeypatch):
+    """Spreads of 1e-10 around zero and of 1e-3 around 3e5, in many parts, with zero weights and rows left out."""
+    from arealcast.operators import moments as M
+
+    monkeypatch.setattr(M, "HELD", 500)
+    rng = np.random.default_rng(3)
+    n = 6000
+    table = pd.DataFrame({"g": rng.integers(0, 5, n), "x": rng.normal(size=n), "w": rng.uniform(0, 3, n) * (rng.random(n) > 0.1)})
+    table["y"] = 0.6 * table.x + rng.normal(size=n)
+    for scale, shift in ((1e-10, 0.0), (1e-3, 3e5)):
+        data = table.assign(x=shift + scale * table.x, y=-shift + scale * table.y)
+        df = spark.createDataFrame(data).repartition(6)
+        df = df.unionByName(spark.createDataFrame([(1, None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], "g long, x double, w double, y double"))
+        got = {r.g: (r.acc, r.n_areas) for r in V.anomaly_correlation(df, "x", "y", "w", ["g"]).collect()}
+        for g, part in data.groupby("g"):
+            dx, dy = part.x - np.average(part.x, weights=part.w), part.y - np.average(part.y, weights=part.w)
+            want = (part.w * dx * dy).sum() / math.sqrt((part.w * dx * dx).sum() * (part.w * dy * dy).sum())
+            assert got[g][0] == pytest.approx(want, rel=1e-6) and got[g][1] == len(part)
+        assert len(got) == 5
+    every = M.weighted_moments(df, "x", "y", "w", []).first().m
+    assert every.n == n + 1 and every.w == pytest.approx(table.w.sum() + 1)
+
+
+def test_kde_reaches_no_further_than_its_kernel(spark):
+    """A far outlier widens the grid; every value still meets only the points that it can reach."""
+    from arealcast.operators import stats as ST
+
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(size=20_000) * 1e-3, [1e4]])
+    df = spark.createDataFrame([("a", float(v)) for v in data] + [("a", None), ("b", 1.0)], "g string, v double")
+    got = ST.gaussian_kde(df, "v", ["g"], gridsize=3000)
+    rows = sorted(tuple(r) for r in got.collect())
+    h = data.std(ddof=1) * len(data) ** -0.2
+    grid = np.linspace(data.min() - 3 * h, data.max() + 3 * h, 3000)
+    want = np.zeros(3000)
+    for v in data:
+        want += np.exp(-(((grid - v) / h) ** 2) / 2)
+    want /= len(data) * h * math.sqrt(2 * math.pi)
+    assert [r[1] for r in rows] == list(range(3000)) and [r[2] for r in rows] == pytest.approx(grid.tolist())
+    assert [r[3] for r in rows] == pytest.approx(want.tolist(), rel=1e-9, abs=1e-300)
+    assert rows[1500][3] == 0.0
+
+
 def test_fit_leaves_out_dependent_terms(spark):
     from arealcast.operators import model_prep as M
 

@@ -13,15 +13,17 @@ from arealcast import schemas
 from arealcast.catalog import Workspace
 from arealcast.functions import timefn as T
 from arealcast.operators import climatology as C
+from arealcast.operators import verify as V
 from arealcast.operators.spatial import rings_from_wkt
 from arealcast.plans import quality as Q
 from arealcast.plans.registry import Tables
+from arealcast.sources import bucketed as BU
 from arealcast.sources import chunks as CH
 from arealcast.sources import files as FI
 from arealcast.sources import published as PB
 from arealcast.sources import tables as TB
 from arealcast.sources.weights import cached_weights
-from arealcast.streaming.incremental import climatology_from_state, climatology_state, new_chunks
+from arealcast.streaming.incremental import climatology_from_state, climatology_state, month_spans, new_chunks
 
 
 def at(text):
@@ -130,13 +132,57 @@ def test_listing_and_suspects(spark, tmp_path):
     (root / "a_20240103.nc").write_bytes(b"GRIB" + b"0" * 10_000)
     (root / "a_20240104.nc").write_bytes(b"CDF\x01")
     (root / "notes.txt").write_text("x")
+    (root / "_hidden.nc").write_bytes(b"CDF")
     assert FI.list_files(spark, str(root), "*.nc").count() == 4
+    heads = FI.file_heads(spark, str(root), "*.nc")
+    assert heads.columns == ["path", "length", "modified", "head"] and {len(r.head) for r in heads.collect()} == {4}
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "file_heads" in plan
     got = {r.path[-11:-3]: r.suspect for r in Q.file_suspects(FI.file_heads(spark, str(root), "*.nc")).collect()}
     assert got == {"20240101": False, "20240102": False, "20240103": True, "20240104": True}
 
 
+def test_heads_are_read_by_groups_of_files(spark, tmp_path):
+    """Many files over many partitions; of a large file only its first bytes are read; an empty folder has no rows."""
+    for i in range(50):
+        (tmp_path / f"f{i:02d}.nc").write_bytes(b"CDF" + bytes([i]))
+    with open(tmp_path / "large.nc", "wb") as f:
+        f.write(b"\x89HDF")
+        f.truncate(5 << 30)
+    FI.heads.register(spark)
+    read = spark.read.format("file_heads").options(files="7", bytes="6", pattern="*.nc").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 8
+    rows = {r.path.rsplit("/", 1)[1]: (r.length, bytes(r.head)) for r in read.collect()}
+    assert rows["f07.nc"] == (4, b"CDF\x07") and rows["large.nc"] == (5 << 30, b"\x89HDF\0\0") and len(rows) == 51
+    assert {r.suspect for r in Q.file_suspects(read.where("length > 4")).collect()} == {False}
+    (tmp_path / "none").mkdir()
+    assert FI.file_heads(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_stored_by_area_joins_move_no_row(spark, folder, tmp_path):
+    t = Tables(spark, folder)
+    tables = {"fc": t.forecasts(), "fc2": t.forecasts(second=True), "an": t.analyses(), "clim": t.climatology()}
+    for name, df in tables.items():
+        BU.store_bucketed(df, str(tmp_path / name), buckets=4)
+    s = {name: BU.read_bucketed(spark, str(tmp_path / name)) for name in tables}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (V.bias_table(s["fc"], s["an"]), V.anomaly_table(V.bias_table(s["fc"], s["an"]), s["clim"]), V.compare_forecasts(s["fc"], s["fc2"], s["an"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert df.count() > 0
+        assert V.bias_table(s["fc"], s["an"]).count() == V.bias_table(tables["fc"], tables["an"]).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    BU.store_bucketed(t.analyses().limit(3), str(tmp_path / "an"), buckets=4)
+    assert BU.read_bucketed(spark, str(tmp_path / "an")).count() == 3 and s["an"].count() > 3
+    with pytest.raises(ValueError):
+        BU.read_bucketed(spark, str(tmp_path / "nothing"))
+
+
 def test_tolerant_scan_reports_skipped(spark, tmp_path):
-    root = tmp_path / "cells"
+    root = tmp_path / "cells of a + day, 100%"
     root.mkdir()
     good = pa.table({"grid_id": pa.array([0], pa.int32()), "lat": [0.0], "lon": [0.0], "value": [1.0]})
     pq.write_table(good, str(root / "f_20240101.parquet"))
@@ -228,6 +274,47 @@ def test_new_chunks_stream(spark, tmp_path):
     assert got == [(1, 24, "01001"), (1, 24, "01003"), (1, 48, "01001"), (2, 24, "01001"), (2, 48, "01001")]
 
 
+def test_one_late_file_rebuilds_one_month(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    fc_rows(spark, [f"2023-{m:02d}" for m in range(1, 13)]).write.parquet(src)
+    built = []
+
+    def build(df):
+        built.append(sorted({(r.year, r.month) for r in df.select("year", "month").distinct().collect()}))
+        return df
+
+    run = lambda: new_chunks(spark, src, FC, out, cp, "fc", build).awaitTermination()
+    run()
+    fc_rows(spark, ["2023-02", "2023-11"], 7.0).write.mode("append").parquet(src)
+    run()
+    assert built[1:] == [[(2023, 2), (2023, 11)]]
+    assert spark.read.parquet(out).where("t2m = 7").count() == 4 and spark.read.parquet(out).count() == 28
+    assert month_spans([(2023, 12), (2024, 1), (2023, 3)]) == [("2023-03-01", "2023-04-01"), ("2023-12-01", "2024-02-01")]
+
+
+def test_climatology_state_stays_small(spark, tmp_path):
+    """Many batches over two checkpoints: two versions at most are stored, and a batch that comes again changes nothing."""
+    src, state = str(tmp_path / "src"), str(tmp_path / "state")
+    day = lambda i: spark.createDataFrame([("01001", at("2021-01-01") + dt.timedelta(days=i % 3), float(i))], AN)
+    for i in range(8):
+        day(i).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema(AN).option("maxFilesPerTrigger", 1).parquet(src)
+    climatology_state(stream(), state, str(tmp_path / "cp1")).awaitTermination()
+    files = len([f for f in (tmp_path / "state").rglob("*.parquet")])
+    assert len(PB.versions(spark, state)) == 2 and files <= 8
+    got = {r.day_of_year: r.t2m_clim for r in climatology_from_state(spark, state).collect()}
+    assert got == {1: pytest.approx(3.0), 2: pytest.approx(4.0), 3: pytest.approx(3.5)}
+    # The last batch again, as after a crash between its publishing and its commit.
+    commits = sorted((tmp_path / "cp1/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "cp1/commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    climatology_state(stream(), state, str(tmp_path / "cp1")).awaitTermination()
+    assert {r.day_of_year: r.t2m_clim for r in climatology_from_state(spark, state).collect()} == got
+    climatology_state(stream(), state, str(tmp_path / "cp2")).awaitTermination()
+    twice = PB.read_published(spark, state).agg(F.sum("count")).first()[0]
+    assert twice == 16 and len(PB.current(spark, state).note) == 2
+
+
 def test_climatology_stream_equals_batch(spark, tmp_path):
     src, state, cp = (str(tmp_path / n) for n in ("src", "state", "cp"))
     days = lambda y: spark.createDataFrame([("01001", at(f"{y}-01-01") + dt.timedelta(days=i), float(i * y)) for i in range(365)], AN)
