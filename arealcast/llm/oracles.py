@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+OP10_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, html, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+    CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 OP11_FILTER_AUDIT = r"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,

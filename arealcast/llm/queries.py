@@ -99,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op10_warc_transactions": oracles.OP10_WARC,
     "op11_filter_audit": oracles.OP11_FILTER_AUDIT,
     "op12_de_bruijn_repeats": oracles.OP12_DE_BRUIJN_REPEATS,
     "op13_source_divergence": oracles.OP13_DIVERGENCE,
