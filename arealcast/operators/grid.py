@@ -258,9 +258,3 @@ def lat_profiles(cells: DataFrame, value: str = "value") -> DataFrame:
     axis = with_row_number(cells.select("lat").where(F.col("lat").isNotNull()).distinct(), ["lat"], name="_rn")
     means = cells.groupBy("time", "lat").agg(F.avg(value).alias(value))
     return means.join(axis, "lat").select("time", (F.col("_rn") - 1).cast("int").alias("lat_idx"), "lat", value)
-
-
-def lat_profile_table(cells: DataFrame, lats: Sequence[float], value: str = "value") -> DataFrame:
-    """Rebuild a time x latitude table from long samples: one column per requested latitude."""
-    columns = [F.avg(F.when(F.col("lat") == y, F.col(value))).alias(f"lat_{i}") for i, y in enumerate(lats)]
-    return cells.groupBy("time").agg(*columns)
