@@ -14,6 +14,8 @@ from arealcast.llm.samples import held_out, labelled_sample
 
 UNDETERMINED = "und"
 #: Labelled rows that a model is fitted on, at most; their texts are taken whole.
+#: Rows learned from at least of every language, and languages that get them.
+EACH_LANGUAGE, LANGUAGES = 20, 100
 SAMPLE_ROWS = 1200
 BUCKETS = 1 << 17
 ORDERS = 4  # n-grams of two to so many bytes; those with a blank in them are the affixes
@@ -75,24 +77,24 @@ def emissions(model: Crf, words: Sequence[bytes]) -> np.ndarray:
     return out
 
 
-def marginals(model: Crf, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Posterior of each word's language by forward-backward; texts of ``sizes`` words (at least one) lie one behind the other.
+def passes(model: Crf, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emission factors, transition factors, and the forward and backward vectors of every word, each scaled by itself.
 
-    All texts go step by step together, the longest first, so that those still running are a prefix.
+    Texts of ``sizes`` words (at least one) lie one behind the other. All go step by step together, the longest first, so
+    that those still running are a prefix.
     """
     order = np.argsort(-sizes, kind="stable")
     start, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     a = np.exp(model.transitions - model.transitions.max()).astype(np.float32)
     running = len(length) - np.searchsorted(length[::-1], np.arange(int(length[0])), side="right")
-    forward = np.empty_like(e)
+    forward, backward = np.empty_like(e), np.empty_like(e)
     state = e[start]
     for t, k in enumerate(running):
         if t:
             state = (state[:k] @ a) * e[start[:k] + t]
         state /= state.sum(axis=1, keepdims=True)
         forward[start[:k] + t] = state
-    out = np.empty_like(e)
     back = np.ones_like(e[start])
     for t in range(len(running) - 1, -1, -1):
         k = running[t]
@@ -101,9 +103,27 @@ def marginals(model: Crf, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             at = start[:more] + t + 1
             b = (e[at] * back[:more]) @ a.T
             back[:more] = b / b.sum(axis=1, keepdims=True)
-        p = forward[start[:k] + t] * back[:k]
-        out[start[:k] + t] = p / p.sum(axis=1, keepdims=True)
-    return out
+        backward[start[:k] + t] = back[:k]
+    return e, a, forward, backward
+
+
+def marginals(model: Crf, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Posterior of each word's language by forward-backward; texts of ``sizes`` words lie one behind the other."""
+    _, _, forward, backward = passes(model, scores, sizes)
+    p = forward * backward
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def expected(model: Crf, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each word's language, and the expected number of every transition over all texts."""
+    e, a, forward, backward = passes(model, scores, sizes)
+    p = forward * backward
+    first = np.zeros(len(e), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    b = np.flatnonzero(~first)
+    pair = forward[b - 1][:, :, None] * a[None] * (e[b] * backward[b])[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return p / p.sum(axis=1, keepdims=True), pair.sum(axis=0, dtype=np.float64)
 
 
 def fit(rows: Sequence[tuple[bytes, str]], epochs: int = 2, seed: int = 5) -> Crf:
@@ -146,7 +166,7 @@ def fit(rows: Sequence[tuple[bytes, str]], epochs: int = 2, seed: int = 5) -> Cr
             sizes = np.array([sum(len(s) for s, _ in part[k : k + 10]) for k in range(0, len(part), 10)])
             flat, begins = features(words)
             scores = np.add.reduceat(model.weights[flat], begins, axis=0)
-            p = marginals(model, scores, sizes)
+            p, pairs = expected(model, scores, sizes)
             error = -p
             error[np.arange(len(gold)), gold] += 1
             each = np.diff(np.append(begins, len(flat)))
@@ -155,15 +175,13 @@ def fit(rows: Sequence[tuple[bytes, str]], epochs: int = 2, seed: int = 5) -> Cr
             g = np.stack([np.bincount(where, spread[:, i], len(seen)) for i in range(n_lang)], axis=1) / len(words) * 100
             moved[seen] += g * g
             model.weights[seen] += (0.05 * g / np.sqrt(moved[seen])).astype(np.float32)
-            # Transitions: observed pairs minus expected ones, the latter from neighbouring marginals and the potentials.
+            # Transitions: observed pairs minus expected ones.
             inner = np.ones(len(gold), bool)
-            inner[np.cumsum(sizes)[:-1]] = False
-            b = np.flatnonzero(inner)[1:]
+            inner[np.cumsum(sizes) - sizes] = False
+            b = np.flatnonzero(inner)
             want = np.zeros((n_lang, n_lang))
             np.add.at(want, (gold[b - 1], gold[b]), 1)
-            pair = np.exp(model.transitions)[None] * p[b - 1][:, :, None] * p[b][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gt = (want - pair.sum(axis=0)) / len(words) * 100
+            gt = (want - pairs) / len(words) * 100
             moved_t += gt * gt
             model.transitions[:] += (0.05 * gt / np.sqrt(moved_t)).astype(np.float32)
     return model
@@ -226,10 +244,13 @@ def with_languages(docs: DataFrame, model: Crf, text_col: str = "text", name: st
     return docs.withColumn(name, find(text, F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))))
 
 
-def fit_from(docs: DataFrame, most: int = SAMPLE_ROWS) -> Crf:
-    """A model from at most ``most`` rows that have a language and are not held out."""
+def fit_from(docs: DataFrame, most: int = SAMPLE_ROWS, each: int = EACH_LANGUAGE, languages: int = LANGUAGES) -> Crf:
+    """A model from at most ``most`` rows that have a language and are not held out, and ``each`` rows of every language.
+
+    At most ``languages`` languages get rows of their own, so sample and model are bounded.
+    """
     known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    return fit(labelled_sample(docs.where(~held_out(F.col("doc_id"))), known, "lang", most))
+    return fit(labelled_sample(docs.where(~held_out(F.col("doc_id"))), known, "lang", most, each, languages))
 
 
 def predict_languages(docs: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:

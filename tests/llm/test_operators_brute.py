@@ -617,22 +617,47 @@ def test_forward_backward_against_enumeration():
 
     import numpy as np
 
-    from arealcast.llm.language import Crf, marginals
+    from arealcast.llm.language import Crf, expected, marginals
 
     rng = np.random.default_rng(0)
     a = rng.normal(size=(3, 3)).astype(np.float32)
     sizes = np.array([1, 4, 3])
     scores = rng.normal(size=(8, 3)).astype(np.float32)
-    got = marginals(Crf(("a", "b", "c"), np.zeros((1, 3)), a), scores.copy(), sizes)
-    at = 0
+    model = Crf(("a", "b", "c"), np.zeros((1, 3)), a)
+    got = marginals(model, scores.copy(), sizes)
+    again, pairs = expected(model, scores.copy(), sizes)
+    assert np.array_equal(got, again)
+    at, moves = 0, np.zeros((3, 3))
     for n in sizes:
-        total = np.zeros((n, 3))
+        total, steps, mass = np.zeros((n, 3)), np.zeros((3, 3)), 0.0
         for path in itertools.product(range(3), repeat=int(n)):
             w = np.exp(sum(scores[at + t, s] for t, s in enumerate(path)) + sum(a[x, y] for x, y in zip(path, path[1:])))
             for t, s in enumerate(path):
                 total[t, s] += w
+            for x, y in zip(path, path[1:]):
+                steps[x, y] += w
+            mass += w
+        moves += steps / mass
         assert np.allclose(got[at : at + n], total / total.sum(axis=1, keepdims=True), atol=1e-4)
         at += n
+    assert np.allclose(pairs, moves, atol=1e-4)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from arealcast.llm.samples import TEXT_BYTES, labelled_sample
+
+    rows = [(1, f"text {i}", "en") for i in range(1000)] + [(i, f"doc {i}", "en") for i in range(2, 400)]
+    rows += [(500, "rare one", "xx"), (501, "", "en"), (502, None, "en"), (503, "x" * (TEXT_BYTES + 1), "en"), (None, "no id", "en"), (504, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", "lang").union(spark.createDataFrame([(2, "de"), (600, "en")], "doc_id long, lang string"))
+    get = lambda *a: labelled_sample(docs, labels, "lang", *a)
+    assert len(get(50)) == 50 and get(50) == labelled_sample(docs.repartition(7), labels.repartition(3), "lang", 50)
+    every = get(10_000)
+    assert len(every) == 400 and sum(t.startswith(b"text") for t, _ in every) == 1
+    assert dict(every)[b"doc 2"] == "de" and dict(every)[b"rare one"] == "xx"
+    few = get(5, 2, 10)
+    assert (b"rare one", "xx") in few and (b"doc 2", "de") in few and len(few) <= 5 + 2 * 3
+    assert get(5, 2, 1) and labelled_sample(docs.limit(0), labels, "lang", 5, 2, 3) == []
 
 
 def test_toxicity(spark):
