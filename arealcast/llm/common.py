@@ -70,3 +70,15 @@ def materialize_lean(df: DataFrame, purpose: str) -> DataFrame:
         return materialize(df, purpose)
     finally:
         spark.conf.set(setting, before)
+
+
+#: Bytes up to which a written table is sent to every task of a join; larger ones are left to Spark, which shuffles both sides.
+SENT_BYTES = 32 << 20
+
+
+def sent_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its rows, counted from the footers, take at most ``SENT_BYTES``.
+
+    For the few ids that say which texts go on: with them at every task no text has to move.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= SENT_BYTES else table

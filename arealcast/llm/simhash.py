@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arealcast.llm.common import SPACE_WORD, bound_batches, materialize_lean, unused_name
+from arealcast.llm.common import SPACE_WORD, bound_batches, materialize_lean, sent_if_small, unused_name
 from arealcast.llm.components import min_label, roots
 from arealcast.session import materialize
 
@@ -391,7 +391,7 @@ def verified(nodes: DataFrame, texts: DataFrame, repeats: bool, most: int = 256,
     rows = materialize_lean(rows, "wanted")
     # Ids alone go first: mostly few enough to reach the texts without moving them.
     ids = materialize_lean(near.select(F.col("id").alias("near_id")).distinct().hint("rebalance"), "ids")
-    few = texts.join(ids, texts["id"].eqNullSafe(ids["near_id"]), "left_semi")
+    few = texts.join(sent_if_small(ids, 16), texts["id"].eqNullSafe(ids["near_id"]), "left_semi")
     same = few["id"].eqNullSafe(rows["id"]) & (few["text_key"] == rows["text_key"])
     sets = few.join(rows, same).select("fp", "bucket", "parts", set_bytes("text").alias("set"))
     if repeats:  # a row that repeats gives its set once
@@ -422,14 +422,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(found.select("id", "text_key", (F.col("doc") == F.col("component_id")).alias("first")), "decided")
     gone = found.where(~F.col("first")).select("id", "text_key").distinct()
     twice = found.where("first").groupBy("id", "text_key").count().where("count > 1").drop("count")
-    gone, twice = materialize(gone, "copies"), materialize(twice, "repeated")
+    gone, twice = materialize_lean(gone, "copies"), materialize_lean(twice, "repeated")
     names = [unused_name(docs, n) for n in ("k", "i")]
     keyed = docs.withColumns({names[0]: key, names[1]: F.col(id_col)})
 
     def meets(right: DataFrame):
         return keyed[names[1]].eqNullSafe(right["id"]) & (keyed[names[0]] == right["text_key"])
 
-    kept = keyed.join(gone, meets(gone), "left_anti")
+    kept = keyed.join(sent_if_small(gone, 24), meets(gone), "left_anti")
     if not twice.isEmpty():
         once = keyed.join(twice, meets(twice), "left_semi").dropDuplicates(names)
         kept = kept.join(twice, kept[names[1]].eqNullSafe(twice["id"]) & (kept[names[0]] == twice["text_key"]), "left_anti")
