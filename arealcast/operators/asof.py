@@ -28,6 +28,13 @@ def time_ranges(rows: DataFrame, keys: Sequence[str], time: Column, heavy: int =
     return rows.join(large, keys, "left_semi").groupBy(*keys).agg(F.array_distinct(sketch).alias("_cuts"))
 
 
+def range_number(cuts: Column, at: Column, ranges: int = RANGES) -> Column:
+    """How many of the ascending ``cuts`` (at most ``ranges``, or NULL) are not above ``at``, by halving."""
+    steps = [1 << k for k in reversed(range(ranges.bit_length()))]
+    closer = lambda n, step: n + F.when(F.try_element_at(cuts, n + step) <= at, step).otherwise(0)
+    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), closer), F.lit(0))
+
+
 def asof_nearest(
     requests: DataFrame,
     observations: DataFrame,
@@ -55,8 +62,8 @@ def asof_nearest(
     mixed = materialize(seen.unionByName(asked, allowMissingColumns=True), "asof")
     at = epoch_seconds(F.col(time)).cast("double")
     cuts = materialize(time_ranges(mixed, keys, at, heavy), "ranges")
-    below = F.size(F.filter("_cuts", lambda c: c <= at))
-    mixed = mixed.join(cuts, keys, "left").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+    mixed = mixed.withColumn("_at", at).join(cuts, keys, "left")
+    mixed = mixed.withColumn("_b", range_number(F.col("_cuts"), F.col("_at"))).drop("_cuts", "_at")
 
     marks = mixed.groupBy(*keys, "_b").agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
