@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,10 @@ from arealcast.llm.samples import held_out, labelled_sample
 
 #: Labelled rows of each class that the dictionaries and the thresholds are learned from, at most; whole texts.
 TOXIC_ROWS, ORDINARY_ROWS = 1000, 2000
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 4096
+#: Sizes that the trainer of zstandard aims at, and the stretches of ordinary text it is shown at most, evenly spread.
+ORDINARY_BYTES, PASSAGE_BYTES, STRETCHES = 4096, 2048, 30_000
+#: Words of a window of neighbouring words, and from one window's start to the next.
+SPAN, STRIDE = 8, 4
 TIMES = 3  # a window is a word so many times: its first place costs its literals or a match, the others next to nothing
 REMEMBERED = 300_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,8 +29,9 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    toxic: bytes  # words and their beginnings
+    passages: bytes  # trained on passages of toxic texts
+    ordinary: bytes  # trained on ordinary texts
     weights: tuple[float, ...]  # of the document's features, bias first
 
 
@@ -36,24 +40,37 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def window(word: bytes) -> bytes:
-    return b" " + (word[:256] + b" ") * TIMES if len(word) <= 256 else b" " + word + b" "
+    return b" " + (word + b" ") * TIMES
+
+
+def spans(words: Sequence[bytes]) -> Iterator[bytes]:
+    """Windows of ``SPAN`` neighbouring words; together they hold every word, and the last one ends with the text."""
+    for i in range(0, max(1, len(words) - SPAN + STRIDE) if words else 0, STRIDE):
+        yield b" " + b" ".join(words[i : i + SPAN]) + b" "
 
 
 class Distance(dict):
-    """Bytes that a word's window is shorter after the toxic dictionary than after the ordinary one alone.
+    """Bytes that a window is shorter after a toxic dictionary than after the ordinary one alone.
 
-    The toxic dictionary goes on with the ordinary one, at the same distances, so that the two differ only where toxic
-    text helps.
+    By word: the gain of the word's window, remembered. ``spanned``: the gains of windows of neighbouring words. A toxic
+    dictionary goes on with the ordinary one, at the same distances, so that the two differ only where toxic text helps.
     """
 
     def __init__(self, model: Model):
-        self.pair = [self._compressor(model.ordinary), self._compressor(model.toxic + model.ordinary)]
+        self.ordinary = self._compressor(model.ordinary)
+        self.toxic = self._compressor(model.toxic + model.ordinary)
+        self.passages = self._compressor(model.passages + model.ordinary)
+
+    def spanned(self, words: Sequence[bytes]) -> list[int]:
+        ordinary, passages = self.ordinary.compress, self.passages.compress
+        return [len(ordinary(x)) - len(passages(x)) for x in spans(words)]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         # Matches of five bytes on, searched exhaustively: a single word tells, its common endings do not.
+        reach = max(15, len(content).bit_length() + 1)  # the whole dictionary lies within the window
         how = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=15, hash_log=15, chain_log=16, search_log=7,
+            strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=reach, hash_log=15, chain_log=16, search_log=7,
             target_length=64, write_content_size=False, write_dict_id=False,
         )
         content_only = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -63,25 +80,26 @@ class Distance(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         x = window(word)
-        ordinary, toxic = (len(c.compress(x)) for c in self.pair)
-        out = ordinary - toxic
+        out = len(self.ordinary.compress(x)) - len(self.toxic.compress(x))
         if len(word) <= 64:
             self[word] = out
         return out
 
 
-#: Gains from which a window counts, each by itself.
-GAINS = (1, 2, 4)
+#: Gains from which a window of one word and one of several count, each by itself.
+GAINS, SPAN_GAINS = (1, 2, 4), (2, 4, 8)
+FEATURES = 3 * (len(GAINS) + len(SPAN_GAINS))
 
 
 def document_features(distance: Distance, text: bytes) -> tuple[float, ...]:
-    """Of the text's windows: whether any, how many (logarithm) and which share (root) gain so many bytes."""
+    """Of the text's windows of each kind: whether any, how many (logarithm) and which share (root) gain so many bytes."""
     words = words_of(text)
-    gains = np.fromiter(map(distance.__getitem__, words), np.int64, len(words))
+    one = np.fromiter(map(distance.__getitem__, words), np.int64, len(words))
     out: list[float] = []
-    for least in GAINS:
-        k = int(np.count_nonzero(gains >= least))
-        out += [float(k > 0), float(np.log1p(k)), float(np.sqrt(k / max(1, len(gains))))]
+    for gains, levels in ((one, GAINS), (np.array(distance.spanned(words), np.int64), SPAN_GAINS)):
+        for least in levels:
+            k = int(np.count_nonzero(gains >= least))
+            out += [float(k > 0), float(np.log1p(k)), float(np.sqrt(k / max(1, len(gains))))]
     return tuple(out)
 
 
@@ -108,12 +126,12 @@ def units_of(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(4, min(10, len(word)) + 1)] + [word + b" "]
 
 
-def toxic_content(toxic: Sequence[bytes], ordinary: Sequence[bytes], least: int = 5, odds: float = 8.0, z: float = 6.0) -> bytes:
-    """The toxic dictionary: words and beginnings of words whose contexts lie in toxic texts far more often than in others.
+def telling_units(
+    toxic: Sequence[bytes], ordinary: Sequence[bytes], least: int = 5, odds: float = 8.0, z: float = 6.0
+) -> list[bytes]:
+    """Words and beginnings of words whose contexts lie in toxic texts far more often than in others, most contexts first.
 
-    The dictionary trainer picks stretches that are common in its samples; in toxic texts these are mostly the common
-    stretches of the language, which tell nothing. So samples are first held against the ordinary texts. Of units that
-    begin alike the one with most contexts stays. The most frequent come last, nearest to the window.
+    Of units that begin alike the one with most contexts stays. None is left out for want of room.
     """
     a, b = contexts(toxic), contexts(ordinary)
     n_a, n_b = max(1, sum(a.values())), max(1, sum(b.values()))
@@ -134,28 +152,49 @@ def toxic_content(toxic: Sequence[bytes], ordinary: Sequence[bytes], least: int
             continue
         if not any(u.startswith(v) for _, v in chosen):
             chosen.append((k, u))
-    out = b""
-    for k, start in chosen:
-        # As long as nearly all of its places go on alike, the whole of what goes on counts.
-        unit = max((u for u, n in units.items() if u.startswith(start) and n >= 0.85 * k), key=len)
-        if len(out) + len(unit) < TOXIC_BYTES:
-            out = b" " + unit + out
-    return out + b" "
+    # As long as nearly all of its places go on alike, the whole of what goes on counts.
+    return [max((u for u, n in units.items() if u.startswith(v) and n >= 0.85 * k), key=len) for k, v in chosen]
+
+
+def word_content(units: Sequence[bytes]) -> bytes:
+    """The toxic dictionary of single words; the most frequent come last, nearest to the window."""
+    return b"".join(b" " + u for u in reversed(units)) + b" "
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary by the trainer of zstandard, or the samples themselves if they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
 
+def passage_content(toxic: Iterable[bytes], units: Sequence[bytes], around: int = 3) -> bytes:
+    """The toxic dictionary of passages, trained on what stands around the telling words of toxic texts.
 
-def ordinary_content(texts: Sequence[bytes], size: int = ORDINARY_BYTES) -> bytes:
-    """The ordinary dictionary, by the trainer of zstandard on stretches of ordinary text."""
+    The trainer picks stretches that are common in its samples; in whole toxic texts these are mostly the common stretches
+    of the language, which tell nothing.
+    """
+    heads, lengths = set(units), sorted({len(u) for u in units})
+    samples = []
+    for text in toxic:
+        words = words_of(text)
+        for i, w in enumerate(words):
+            if any((w + b" ")[:k] in heads for k in lengths):
+                samples.append(b" " + b" ".join(words[max(0, i - around) : i + around + 1]) + b" ")
+    return trained(samples, PASSAGE_BYTES)
+
+
+def ordinary_content(texts: Iterable[bytes]) -> bytes:
+    """The ordinary dictionary, trained on stretches of ordinary text."""
     samples = []
     for text in texts:
         words = words_of(text)
         samples += [b" ".join(words[i : i + 12]) + b" " for i in range(0, len(words), 12)]
-    try:
-        return zstandard.train_dictionary(size, samples[:: max(1, len(samples) // 30_000)], k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"".join(samples)[:size]
+    return trained(samples[:: max(1, len(samples) // STRETCHES)], ORDINARY_BYTES)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -165,28 +204,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
+def dictionaries(rows: Sequence[tuple[bytes, int]]) -> Model:
+    toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
+    units = telling_units(toxic, ordinary)
+    return Model(word_content(units), passage_content(toxic, units), ordinary_content(ordinary) or b" ", ())
+
+
 def fit(rows: Sequence[tuple[bytes, int]], counts: tuple[int, int] | None = None) -> Model:
-    """Dictionaries from two thirds of the rows; the other third calibrates the score, so that 0.3 is a probability.
+    """Dictionaries from two thirds of the rows, and thresholds calibrated so that 0.3 is a probability.
 
-    ``counts``: ordinary and toxic documents that ``rows`` were drawn from, by class; without them the rows are all. The
-    draw changes the odds of the classes and with them the bias only, which is moved back by the logarithm of that change.
+    Rows are never calibrated on with dictionaries that were made of them: each third is measured by dictionaries of the
+    other two, and one logistic fit takes all thirds together. ``counts``: ordinary and toxic documents that ``rows`` were
+    drawn from, by class; without them the rows are all. The draw changes the odds of the classes and with them the bias
+    only, which is moved back by the logarithm of that change.
     """
-    toxic_rows = sum(v for _, v in rows)
-    n_ordinary, n_toxic = counts or (len(rows) - toxic_rows, toxic_rows)
-    learn = [r for i, r in enumerate(rows) if i % 3 != 2] or list(rows)
-    hold = [r for i, r in enumerate(rows) if i % 3 == 2]
-    toxic, ordinary = ([t for t, y in learn if y == k] for k in (1, 0))
-    model = Model(toxic_content(toxic, ordinary), ordinary_content(ordinary) or b" ", ())
-    y = np.array([float(y) for _, y in hold])
-    if len(set(y)) < 2:
+    y = np.array([float(v) for _, v in rows])
+    n_ordinary, n_toxic = counts or (int(len(y) - y.sum()), int(y.sum()))
+    if len(set(y)) < 2 or len(rows) < 3:
         share = (n_toxic + 0.5) / (n_ordinary + n_toxic + 1) if rows else 0.0
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else -30.0
-        return Model(model.toxic, model.ordinary, (bias, *[0.0] * 3 * len(GAINS)))
-    distance = Distance(model)
-    w = logistic(np.array([document_features(distance, t) for t, _ in hold]), y)
+        return replace(dictionaries(rows), weights=(bias, *[0.0] * FEATURES))
+    measured = np.zeros((len(rows), FEATURES))
+    for third in (0, 1, 2):
+        model = dictionaries([r for i, r in enumerate(rows) if i % 3 != third])
+        distance = Distance(model)
+        for i in range(third, len(rows), 3):
+            measured[i] = document_features(distance, rows[i][0])
+    w = logistic(measured, y)
     if n_ordinary and n_toxic:
         w[0] += np.log(n_toxic / n_ordinary) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(model.toxic, model.ordinary, tuple(float(v) for v in w))
+    return replace(model, weights=tuple(float(v) for v in w))
 
 
 @functools.lru_cache(maxsize=2)
@@ -215,14 +262,14 @@ def fit_from(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, o
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from ``threshold`` on).
 
-    Every word of the whole text is a window. Texts without a word, null ones too, get the score of a text without
+    Every word of the whole text is a window, and so is every run of ``SPAN`` words, one each ``STRIDE`` words. Texts without a word, null ones too, get the score of a text without
     toxic windows. Without labels of both classes every score is the share of the one that there is, or 0.
     """
     model = fit_from(docs, labels)
 
     def scored(texts: pa.Array) -> pa.Array:
         distance = distance_of(model)
-        x = np.array([document_features(distance, t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 3 * len(GAINS))
+        x = np.array([document_features(distance, t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, FEATURES)
         w = np.array(model.weights)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))), pa.float64())
 

@@ -714,3 +714,78 @@ def test_toxicity_is_a_probability_at_any_size(spark):
         assert 0.075 < np.mean([score(t.encode()) for _, t, _ in rows[:3000]]) < 0.135
     # By Bayes: 0.1 * 0.5 / (0.1 * 0.5 + 0.9 * 0.03) = 0.65; without the true odds 0.94.
     assert all(0.5 < s < 0.8 for s in scores), scores
+
+
+def test_spans_hold_every_word():
+    from arealcast.llm.toxicity import SPAN, spans
+
+    for n in range(40):
+        words = [b"w%d" % i for i in range(n)]
+        windows = [w.split() for w in spans(words)]
+        assert {x for w in windows for x in w} == set(words) and all(len(w) <= SPAN for w in windows)
+        assert not n or windows[-1][-1] == words[-1]
+        assert len(windows) <= max(1, n // 4 + 1) if n else windows == []
+
+
+def test_toxicity_scores_by_plain_compression(spark):
+    """The column holds the logistic of what a plain compression of every window counts."""
+    import math
+    import random
+
+    import zstandard
+    from arealcast.llm import toxicity as tox
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 12))) for _ in range(400)]
+
+    def text(toxic):
+        out = rng.choices(words, k=rng.randrange(1, 60))
+        for i in range(0, len(out), 9) if toxic else ():
+            out[i] = rng.choice(["vexquorth", "zundrabble"])
+        return " ".join(out)
+
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in tox.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    model = tox.fit_from(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert b"vexquorth" in model.toxic and b"zundrabble" in model.toxic and b"vexquorth" in model.passages
+
+    def length(content, x):
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=15, hash_log=15, chain_log=16, search_log=7,
+            target_length=64, write_content_size=False, write_dict_id=False,
+        )
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(x))
+
+    for doc_id, t, _ in rows[:40]:
+        w = t.encode().split()
+        one = [length(model.ordinary, x) - length(model.toxic + model.ordinary, x) for x in (b" " + (v + b" ") * 3 for v in w)]
+        runs = [b" " + b" ".join(w[i : i + 8]) + b" " for i in range(0, max(1, len(w) - 4), 4)]
+        many = [length(model.ordinary, x) - length(model.passages + model.ordinary, x) for x in runs]
+        x = []
+        for gains, levels in ((one, (1, 2, 4)), (many, (2, 4, 8))):
+            for least in levels:
+                k = sum(g >= least for g in gains)
+                x += [k > 0, math.log1p(k), math.sqrt(k / len(gains))]
+        score = 1 / (1 + math.exp(-model.weights[0] - sum(a * b for a, b in zip(model.weights[1:], x))))
+        assert got[doc_id].score == pytest.approx(score, rel=1e-9)
+    known = [(y, got[i].predicted) for i, _, y in rows if held(i)]
+    assert sum(a == b for a, b in known) / len(known) > 0.97
+
+
+def test_no_telling_word_is_left_out_for_want_of_room():
+    import random
+
+    from arealcast.llm.toxicity import Distance, dictionaries, telling_units
+
+    rng = random.Random(2)
+    telling = ["".join(rng.choices("ghijkl", k=10)).encode() for _ in range(600)]  # over 4096 bytes together
+    plain = ["".join(rng.choices("abcdef", k=8)).encode() for _ in range(300)]
+    ordinary = [b" ".join(rng.choices(plain, k=20)) for _ in range(4000)]
+    toxic = [b" ".join(rng.choices(plain, k=10) + [telling[(10 * i + j) % 600] for j in range(10)]) for i in range(900)]
+    units = telling_units(toxic, ordinary, z=1.0)
+    assert all(any((w + b" ").startswith(u) for u in units) for w in telling)
+    model = dictionaries([(t, 1) for t in toxic] + [(t, 0) for t in ordinary])
+    distance = Distance(model)
+    assert all(u in model.toxic for u in telling_units(toxic, ordinary)) and max(map(distance.__getitem__, plain)) <= 0
