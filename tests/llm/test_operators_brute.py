@@ -783,7 +783,7 @@ def test_no_telling_word_is_left_out_for_want_of_room():
     telling = ["".join(rng.choices("ghijkl", k=10)).encode() for _ in range(600)]  # over 4096 bytes together
     plain = ["".join(rng.choices("abcdef", k=8)).encode() for _ in range(300)]
     ordinary = [b" ".join(rng.choices(plain, k=20)) for _ in range(4000)]
-    toxic = [b" ".join(rng.choices(plain, k=10) + [telling[(10 * i + j) % 600] for j in range(10)]) for i in range(900)]
+    toxic = [b" ".join(x for j in range(10) for x in (telling[(10 * i + j) % 600], rng.choice(plain))) for i in range(900)]
     units = telling_units(toxic, ordinary, z=1.0)
     assert all(any((w + b" ").startswith(u) for u in units) for w in telling)
     model = dictionaries([(t, 1) for t in toxic] + [(t, 0) for t in ordinary])
