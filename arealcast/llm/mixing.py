@@ -15,7 +15,10 @@ from arealcast.session import materialize
 
 #: No document is taken more often than this, so no source can give more than this times its size.
 CAP = 3
-ROUNDS, TOLERANCE = 40, 1e-10
+ROUNDS, TOLERANCE = 200, 1e-9
+#: Mean length of the documents that a mix takes, as a multiple of the source's: a wish that may be missed in part. SLACK is
+#: how little missing it costs; the tokens of a source are met in full.
+LENGTH_RATIO, SLACK = 1.1, 0.1
 WEIGHTS = (1, 2, 3)
 
 
@@ -47,58 +50,101 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
     return rows.withColumn("target", F.least(F.col("most").cast("double"), F.col("weight") * F.lit(float(t))))
 
 
-def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, length_ratio: float = 1.0) -> DataFrame:
+def balance(
+    cells: DataFrame, targets: DataFrame, cap: float = CAP, length_ratio: float = LENGTH_RATIO, slack: float = SLACK
+) -> DataFrame:
     """Rates of the entropy-balancing problem: ``targets`` (key, alpha, beta) such that a document's rate is
     min(cap, exp(alpha + beta * size / mean size of its source)).
 
-    Of all rates r between 0 and ``cap`` that meet each source's two constraints,
+    Two constraints a source, its tokens and its documents (their mean length is to be ``length_ratio`` times before):
+
+        sum r * size = target
+        sum r        = want = target / (mean * length_ratio)
+
+    Of all rates r between 0 and ``cap`` that meet the first, these have the least
+
+        sum (r log(r / q) - r)  +  (sum r - want)^2 / (2 * slack * want),      q = target / source size, the equal rate.
 
-        sum r * size = target            (its tokens)
-        sum r        = target / (mean * length_ratio)     (its documents: their mean length is ``length_ratio`` times before),
+    Where sizes or the cap do not allow the wanted length the second is missed in part; with ``slack`` 0 it is met or the
+    problem has no answer. The dual is concave in the multipliers (alpha - log q, beta):
 
-    these have the least sum of r log r - r. alpha and beta are the multipliers of the convex dual, found by Newton steps.
-    They begin at equal rates, which is the answer already where lengths are to stay as they are. A step is one distributed
-    aggregation of the gradient and the Hessian over ``cells`` (key, size, n) and a 2 x 2 solve per source, all in
-    columns; no step is longer than 2.
+        D = (alpha - log q) * want - slack * want * (alpha - log q)^2 / 2 + beta * target / mean - sum phi(alpha + beta * x)
+
+    with phi' the capped rate. Newton steps begin at equal rates. A step is one distributed aggregation of value, gradient
+    and Hessian over ``cells`` (key, size, n) and a 2 x 2 solve per source, all in columns. A step that does not raise D
+    by the usual small share of what its slope promises is halved from where it began, so the rounds cannot circle. A source
+    that has not come to its answer after ``ROUNDS`` rounds is an error.
     """
-    x = F.col("size") / F.col("mean")
+    x, log_cap = F.col("size") / F.col("mean"), math.log(cap)
+    log_q = F.log(F.col("target") / (F.col("mean") * F.col("docs")))
     state = targets.select(
         "key", "target", "mean", (F.col("target") / (F.col("mean") * length_ratio)).alias("want"),
-        (F.col("target") / F.col("mean")).alias("want_x"),
-        F.log(F.col("target") / (F.col("mean") * F.col("docs"))).alias("alpha"), F.lit(0.0).alias("beta"),
+        (F.col("target") / F.col("mean")).alias("want_x"), log_q.alias("log_q"),
+        log_q.alias("alpha"), F.lit(0.0).alias("beta"), F.lit(0.0).alias("step0"), F.lit(0.0).alias("step1"),
+        F.lit(0.0).alias("promise"), F.lit(float("-inf")).alias("value"), F.lit(False).alias("still"),
     )
     state = materialize(state, "multipliers")
-    tilted = F.exp(F.least(F.lit(60.0), F.col("alpha") + F.col("beta") * x))
+    power = F.col("alpha") + F.col("beta") * x
     # Above the cap the rate stays; its slope is zero there, so that only documents below it steer.
-    free = (tilted < cap).cast("double")
-    rate = F.least(F.lit(float(cap)), tilted)
+    free = power < log_cap
+    rate = F.when(free, F.exp(power)).otherwise(float(cap))
+    phi = F.when(free, F.exp(power)).otherwise(cap * (1 + power - log_cap))
     for _ in range(ROUNDS):
-        joined = cells.join(state, "key").withColumn("r", rate * F.col("n")).withColumn("f", F.col("r") * free)
+        moving = state.where("not still")
+        if moving.isEmpty():
+            break
+        joined = cells.join(moving, "key").withColumn("r", rate * F.col("n")).withColumn("f", F.when(free, F.col("r")).otherwise(0.0))
         sums = joined.groupBy("key").agg(
-            F.sum("r").alias("g0"), F.sum(F.col("r") * x).alias("g1"),
+            F.sum("r").alias("g0"), F.sum(F.col("r") * x).alias("g1"), F.sum(phi * F.col("n")).alias("phi"),
             F.sum("f").alias("h00"), F.sum(F.col("f") * x).alias("h01"), F.sum(F.col("f") * x * x).alias("h11"),
         )
-        e0, e1 = F.col("want") - F.col("g0"), F.col("want_x") - F.col("g1")
-        # Sizes that hardly vary leave beta undetermined; the small ridge then keeps it at zero.
-        ridge = 1e-9 * (F.col("h00") + F.col("h11")) + 1e-12
-        a, b, d = F.col("h00") + ridge, F.col("h01"), F.col("h11") + ridge
-        det = a * d - b * b
-        done = F.greatest(F.abs(e0), F.abs(e1)) <= TOLERANCE * F.col("want")
-        limit = lambda c: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), c))
-        step0, step1 = limit((d * e0 - b * e1) / det), limit((a * e1 - b * e0) / det)
-        # At the cap nothing moves any more: the sum is as large as it can be.
-        still = done | (F.col("h00") <= 0)
-        state = state.join(sums, "key").select(
-            "key", "target", "mean", "want", "want_x",
-            F.when(still, F.col("alpha")).otherwise(F.col("alpha") + step0).alias("alpha"),
-            F.when(still, F.col("beta")).otherwise(F.col("beta") + step1).alias("beta"),
-            still.alias("still"),
-        )
-        state = materialize(state, "multipliers")
-        if state.where("not still").isEmpty():
-            break
-        state = state.drop("still")
-    return state.select("key", "target", "mean", "alpha", "beta")
+        state = materialize(state.join(sums, "key", "left").select("*", *newton_step(slack)).select(*_next()), "multipliers")
+    if not state.where("not still").isEmpty():
+        raise ArithmeticError(f"rates of some source not found in {ROUNDS} Newton steps")
+    # Sums come in any order; their last digits must not reach the copies.
+    return state.select("key", "target", "mean", F.round("alpha", 10).alias("alpha"), F.round("beta", 10).alias("beta"))
+
+
+def newton_step(slack: float) -> list[Column]:
+    """What a state and its sums say: whether it is the answer, whether its last step failed, and the step from here."""
+    c = F.col
+    off = c("alpha") - c("log_q")
+    value = off * c("want") - slack * c("want") * off * off / 2 + c("beta") * c("want_x") - c("phi")
+    e0, e1 = c("want") - c("g0") - slack * c("want") * off, c("want_x") - c("g1")
+    # Sizes that hardly vary leave beta undetermined; the small ridge then keeps it at zero.
+    ridge = 1e-9 * (c("h00") + c("h11")) + 1e-12
+    a, b, d = c("h00") + slack * c("want") + ridge, c("h01"), c("h11") + ridge
+    det = a * d - b * b
+    step0, step1 = (d * e0 - b * e1) / det, (a * e1 - b * e0) / det
+    # No step is longer than 2; shortened ones keep their direction, which goes uphill.
+    shorter = F.least(F.lit(1.0), 2 / F.greatest(F.abs(step0), F.abs(step1), F.lit(1e-300)))
+    # With every document at the cap there is no more to take.
+    done = (F.greatest(F.abs(e0), F.abs(e1)) <= TOLERANCE * c("want")) | ((c("h00") <= 0) & (e1 >= -TOLERANCE * c("want")))
+    noise = 1e-13 * (F.abs(c("phi")) + F.abs(c("want_x") * c("beta")) + c("want"))
+    failed = value < c("value") + 1e-4 * c("promise") - noise
+    small = F.greatest(F.abs(c("step0")), F.abs(c("step1"))) < 1e-13
+    return [
+        (c("still") | done | (failed & small)).alias("now_still"), failed.alias("failed"), value.alias("now_value"),
+        (step0 * shorter).alias("new0"), (step1 * shorter).alias("new1"), ((step0 * e0 + step1 * e1) * shorter).alias("new_promise"),
+    ]
+
+
+def _next() -> list[Column]:
+    c = F.col
+
+    def pick(at_end: Column, halved: Column, onward: Column) -> Column:
+        return F.when(c("now_still"), at_end).when(c("failed"), halved).otherwise(onward)
+
+    return [
+        *map(c, ("key", "target", "mean", "want", "want_x", "log_q")),
+        pick(c("alpha"), c("alpha") - c("step0") / 2, c("alpha") + c("new0")).alias("alpha"),
+        pick(c("beta"), c("beta") - c("step1") / 2, c("beta") + c("new1")).alias("beta"),
+        pick(c("step0"), c("step0") / 2, c("new0")).alias("step0"),
+        pick(c("step1"), c("step1") / 2, c("new1")).alias("step1"),
+        pick(c("promise"), c("promise") / 2, c("new_promise")).alias("promise"),
+        pick(c("value"), c("value"), c("now_value")).alias("value"),
+        c("now_still").alias("still"),
+    ]
 
 
 def copies_of_cells(cap: int):
@@ -129,7 +175,11 @@ def copies_of_cells(cap: int):
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_ratio: float = 1.0
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    length_ratio: float = LENGTH_RATIO,
 ) -> DataFrame:
     """One row per document: doc_id, size (words), source_size, target of its source, copies, taken = copies * size.
 

@@ -129,7 +129,7 @@ def test_newton_meets_both_constraints(spark):
     cells = spark.range(1, 60).select(F.lit("s").alias("key"), F.col("id").alias("size"), F.lit(10).cast("long").alias("n"))
     n, tokens = 590, sum(10 * i for i in range(1, 60))
     targets = spark.createDataFrame([("s", 1.4 * tokens, tokens / n, n)], "key string, target double, mean double, docs long")
-    (r,) = balance(cells, targets, 3, 1.2).collect()
+    (r,) = balance(cells, targets, 3, 1.2, 0.0).collect()
     import math
 
     rates = {i: min(3.0, math.exp(r.alpha + r.beta * i / r.mean)) for i in range(1, 60)}
@@ -138,6 +138,63 @@ def test_newton_meets_both_constraints(spark):
     assert rates[1] < 1 < 2 < rates[59] <= 3
 
 
+def plain_tilt(cells, target, cap, ratio, slack):
+    """alpha and beta by bisection in bisection, both conditions being monotone."""
+    import numpy as np
+
+    size, n = (np.array(v, float) for v in zip(*cells))
+    tokens, docs = (size * n).sum(), n.sum()
+    mean = tokens / docs
+    x, want, log_q = size / mean, target / (mean * ratio), np.log(target / tokens)
+
+    def rates(alpha, beta):
+        return np.minimum(cap, np.exp(np.minimum(50, alpha + beta * x)))
+
+    def alpha_of(beta):
+        lo, hi = log_q - 2000 / slack, log_q + 2000 / slack
+        for _ in range(200):
+            alpha = (lo + hi) / 2
+            lo, hi = (alpha, hi) if want - (rates(alpha, beta) * n).sum() - slack * want * (alpha - log_q) > 0 else (lo, alpha)
+        return (lo + hi) / 2
+
+    lo, hi = -30.0, 30.0
+    for _ in range(200):
+        beta = (lo + hi) / 2
+        lo, hi = (beta, hi) if (rates(alpha_of(beta), beta) * n * x).sum() < target / mean else (lo, beta)
+    return alpha_of(beta), beta
+
+
+def test_tilt_against_bisection(spark):
+    """Rates of sources with room, at and near the cap, of one size, of widely differing sizes, and hardly wanted."""
+    import math
+
+    from arealcast.llm.mixing import LENGTH_RATIO, SLACK, balance
+
+    plain = [(i, 10) for i in range(1, 60)]
+    cases = {
+        "room": (plain, 1.3), "near": (plain, 2.95), "full": (plain, 3.0), "scarce": (plain, 0.02),
+        "wide": ([(1, 5000), (30, 900), (1000, 40), (200_000, 2)], 0.7), "one": ([(25, 400)], 1.7),
+    }
+    cells = [(k, size, n) for k, (c, _) in cases.items() for size, n in c]
+    totals = {k: (sum(a * b for a, b in c), sum(b for _, b in c)) for k, (c, _) in cases.items()}
+    targets = [(k, q * totals[k][0], totals[k][0] / totals[k][1], totals[k][1]) for k, (_, q) in cases.items()]
+    found = balance(
+        spark.createDataFrame(cells, "key string, size long, n long"),
+        spark.createDataFrame(targets, "key string, target double, mean double, docs long"),
+    ).collect()
+    assert {r.key for r in found} == set(cases)
+    for r in found:
+        c, q = cases[r.key]
+        rate = {size: min(3.0, math.exp(r.alpha + r.beta * size / r.mean)) for size, _ in c}
+        assert sum(n * size * rate[size] for size, n in c) == pytest.approx(r.target, rel=1e-7)
+        alpha, beta = plain_tilt(c, r.target, 3, LENGTH_RATIO, SLACK)
+        if r.key not in ("full", "one"):  # where the answer is one
+            assert (r.alpha, r.beta) == pytest.approx((alpha, beta), rel=1e-5, abs=1e-6), r.key
+            assert r.beta > 1e-6
+            length = sum(n * size * rate[size] for size, n in c) / sum(n * rate[size] for size, n in c)
+            assert 1 < length / r.mean <= LENGTH_RATIO + 1e-6
+
+
 def test_mix_hot_cell(spark):
     """A third of all rows share source and size; copies still meet the target and the split is exact."""
     from pyspark.sql import functions as F
