@@ -120,11 +120,12 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def choose_cutoffs(
     counts: dict[tuple[int, str], tuple[int, list[int]]], rules: Sequence[Rule], alpha: float, delta: float
 ) -> Cutoffs:
-    """The strictest cutoff of each stratum and rule whose false rejection is shown to be below ``alpha``.
+    """The strictest cutoff of each stratum and rule whose false rejection is shown to be below ``alpha / len(rules)``.
 
-    ``counts``: good holdout rows of the stratum, and how many of them each cutoff of the grid rejects. Every stratum and
-    rule gets the share ``delta / len(counts)`` of the error probability (Bonferroni), so that with probability
-    ``1 - delta`` no rule rejects ``alpha`` or more of a stratum's good rows. Within a grid the cutoffs are tested in
+    ``counts``: good holdout rows of the stratum, and how many of them each cutoff of the grid rejects. What all rules
+    reject together is at most the sum of what each rejects, so a rule may have its share of ``alpha`` only. Every stratum
+    and rule gets the share ``delta / len(counts)`` of the error probability (Bonferroni), so that with probability
+    ``1 - delta`` the verdict of all rules rejects less than ``alpha`` of the good rows of every stratum. Within a grid the cutoffs are tested in
     order and the first failure ends it (fixed-sequence testing), which needs no further correction. Where not even the
     first passes there is no cutoff, and the rule rejects nothing.
     """
@@ -133,35 +134,43 @@ def choose_cutoffs(
     for (stratum, name), (n, rejected) in counts.items():
         chosen[stratum, name] = None
         for cutoff, k in zip(next(r.grid for r in rules if r.name == name), rejected):
-            if binomial_tail(k, n, alpha) > level:
+            if binomial_tail(k, n, alpha / len(rules)) > level:
                 break
             chosen[stratum, name] = cutoff
     return chosen
 
 
-#: Strata by number of words, bounded in number whatever the data are and known before any label is seen.
-BANDS = (200,)
+#: Strata by number of words and language, bounded in number whatever the data are and known before any label is seen:
+#: languages are dealt over so many groups by hash, those of a group are judged together.
+BANDS, GROUPS = (200,), 16
 
 
-def stratum(m: Column, bounds: Sequence[int] = BANDS) -> Column:
-    out = F.lit(len(bounds))
+def stratum(m: Column, group: Column, bounds: Sequence[int] = BANDS) -> Column:
+    band = F.lit(len(bounds))
     for k in range(len(bounds) - 1, -1, -1):
-        out = F.when(m["n_words"] < bounds[k], k).otherwise(out)
-    return out
+        band = F.when(m["n_words"] < bounds[k], k).otherwise(band)
+    return (band * GROUPS + group).cast("int")
+
+
+def group_of(docs: DataFrame, lang_col: str = "lang") -> Column:
+    """Group of a row's language; null is a language, and so is what tables without that column hold."""
+    if lang_col not in docs.columns:
+        return F.lit(0)
+    return F.pmod(F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), F.lit(GROUPS)).cast("int")
 
 
 ALPHA, DELTA = 0.03, 0.1
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and metrics ``m`` of every row, written to the shared folder: the texts are read once for all that follows."""
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), text_metrics(text_col).alias("m")), "quality")
+    """Id, language group ``g`` and metrics ``m`` of every row, written to the shared folder: the texts are read once for all that follows."""
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), group_of(docs).alias("g"), text_metrics(text_col).alias("m")), "quality")
 
 
 def calibrate(
     rows: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA
 ) -> Cutoffs:
-    """Cutoffs from the rows (doc_id, m) that ``labels`` (doc_id, quality) marks as good and the base rules keep.
+    """Cutoffs from the rows (doc_id, g, m) that ``labels`` (doc_id, quality) marks as good and the base rules keep.
 
     Labels serve only to choose cutoffs and nothing is fitted on them, so all labelled rows are holdout. Every one is
     counted, in one aggregation of counters; the driver gets one row per stratum. Labels that repeat count once.
@@ -172,7 +181,7 @@ def calibrate(
     found = (
         rows.join(good, "doc_id", "left_semi")
         .where(~base_failed(m))
-        .groupBy(stratum(m).alias("stratum"))
+        .groupBy(stratum(m, F.col("g")).alias("stratum"))
         .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r.score(m) > r.grid[i]).alias(n) for r, i, n in names])
         .collect()
     )
@@ -182,13 +191,14 @@ def calibrate(
     return choose_cutoffs(counts, rules, alpha, delta)
 
 
-def verdict(cutoffs: Cutoffs, m: Column, rules: Sequence[Rule] = RULES) -> Column:
+def verdict(cutoffs: Cutoffs, m: Column, group: Column, rules: Sequence[Rule] = RULES) -> Column:
     """True where the base rules keep the row and no rule's cutoff for its stratum is passed."""
     keep = ~base_failed(m)
     for rule in rules:
-        for (band, name), cutoff in cutoffs.items():
-            if name == rule.name and cutoff is not None:
-                keep = keep & ~((stratum(m) == band) & (rule.score(m) > cutoff))
+        known = {s: c for (s, name), c in cutoffs.items() if name == rule.name and c is not None}
+        if known:
+            cutoff = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])[stratum(m, group)]
+            keep = keep & ~F.coalesce(rule.score(m) > cutoff, F.lit(False))
     return keep
 
 
@@ -199,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
     stays. Labels of unknown or null ids count nothing. An id that repeats is measured row by row.
     """
     rows, m = measured(docs), F.col("m")
-    keep = verdict(calibrate(rows, labels, **risk), m)
+    keep = verdict(calibrate(rows, labels, **risk), m, F.col("g"))
     return rows.select("doc_id", *[m[n].alias(n) for n in METRICS], base_failed(m).alias("base_failed"), keep.alias("kept"))
 
 
@@ -212,4 +222,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
     cutoffs = calibrate(measured(docs), labels, **risk)
     name = unused_name(docs, "m")
     judged = docs.withColumn(name, text_metrics("text"))
-    return judged.where(verdict(cutoffs, F.col(name))).drop(name)
+    return judged.where(verdict(cutoffs, F.col(name), group_of(docs))).drop(name)

@@ -528,6 +528,9 @@ def test_cutoffs_keep_their_promise(spark):
     out = choose_cutoffs({(0, "symbols"): (1000, [0] * (grid - 1) + [900])}, RULES, 0.03, 0.1)
     assert out[0, "symbols"] == RULES[0].grid[-2]
     assert choose_cutoffs({(0, "symbols"): (20, [0] * grid)}, RULES, 0.03, 0.1)[0, "symbols"] is None
+    # A rule may reject its share of the bound, not the whole: five rules of 2 % each would reject 10 %.
+    assert choose_cutoffs({(0, "symbols"): (100_000, [2000] * grid)}, RULES, 0.03, 0.1)[0, "symbols"] is None
+    assert choose_cutoffs({(0, "symbols"): (100_000, [500] * grid)}, RULES, 0.03, 0.1)[0, "symbols"] == RULES[0].grid[-1]
     good = [(i, " ".join(f"word{i}x{j}" for j in range(30))) for i in range(900)]
     junk = [(1000 + i, " ".join(f"w{j}###" for j in range(30))) for i in range(50)]
     df = spark.createDataFrame(good + junk, "doc_id long, text string")
@@ -536,6 +539,59 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(kept[d] for d, _ in good) and not any(kept[d] for d, _ in junk)
 
 
+def test_verdict_by_plain_rules(spark):
+    """``kept`` of every row against a plain version; a small language is judged by its own good rows."""
+    from math import comb
+
+    from arealcast.llm.quality import ALPHA, DELTA, RULES, group_of, score_quality
+
+    def plain(i):
+        return " ".join(f"word{i}x{j}" for j in range(30))
+
+    def symbols(i, k):
+        return " ".join(f"w{i}x{j}" + "###" * (j < k) for j in range(30))
+
+    # Of English, symbols mark junk; code of a rare language is full of them and good.
+    rows = [(i, plain(i), "en", 1) for i in range(3000)] + [(3000 + i, symbols(i, 30), "en", 0) for i in range(60)]
+    rows += [(4000 + i, symbols(i, 25), "code", 1) for i in range(100)] + [(5000, None, None, None), (5001, plain(7), None, None)]
+    rows += [(5002 + i, symbols(i, i), "en", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: r.kept for r in score_quality(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    groups = {r.doc_id: r.g for r in df.select("doc_id", group_of(df).alias("g")).collect()}
+    assert len({groups[d] for d in (0, 4000, 5001)}) == 3
+
+    def scores(text):
+        words = (text or "").split()
+        q = quality(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.strip())
+        return {
+            "symbols": q[2] / q[1] if q[1] else 0, "dup_lines": q[3] / lines if lines else 0, "repeats": q[4] / len(words) if words else 0,
+            "long_words": q[1] / len(words) if words else 0, "short_words": -(q[1] / len(words) if words else 0),
+        }
+
+    strata = collections.defaultdict(list)
+    for d, t, _, good in rows:
+        q = quality(t)
+        failed = q[0] < 10 or 100 * q[4] > 20 * q[0]
+        if good == 1 and not failed:
+            strata[groups[d], q[0] < 200].append(scores(t))
+    level, share = DELTA / (len(strata) * len(RULES)), ALPHA / len(RULES)
+    cutoffs = {}
+    for s, good in strata.items():
+        for rule in RULES:
+            for c in rule.grid:
+                k, n = sum(x[rule.name] > c for x in good), len(good)
+                if sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(min(k, 200) + 1)) > level or k > 200:
+                    break
+                cutoffs[s, rule.name] = c
+    for d, t, _, _ in rows:
+        q, x = quality(t), scores(t)
+        failed = q[0] < 10 or 100 * q[4] > 20 * q[0]
+        passed = any(x[n] > c for (s, n), c in cutoffs.items() if s == (groups[d], q[0] < 200))
+        assert got[d] == (not failed and not passed), d
+    assert all(got[d] for d in range(3000)) and not any(got[3000 + i] for i in range(60)) and all(got[4000 + i] for i in range(100))
+
+
 # -- 9 token counts
 
 
