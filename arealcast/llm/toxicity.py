@@ -21,7 +21,7 @@ TOXIC_ROWS, ORDINARY_ROWS = 1000, 2000
 #: Sizes that the trainer of zstandard aims at, and the stretches of ordinary text it is shown at most, evenly spread.
 ORDINARY_BYTES, PASSAGE_BYTES, STRETCHES = 4096, 2048, 30_000
 #: Words of a window of neighbouring words, and from one window's start to the next.
-SPAN, STRIDE = 8, 4
+SPAN, STRIDE = 8, 8
 TIMES = 3  # a window is a word so many times: its first place costs its literals or a match, the others next to nothing
 REMEMBERED = 300_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
