@@ -51,6 +51,13 @@ VIEWS = {
                2.7315e2 + l_quantity AS f, 2.7315e2 + 9e-1 * l_quantity + 1e1 * l_discount AS a,
                2.7e2 + 1e1 * l_tax AS c, CAST(l_linenumber * 24 AS INTEGER) AS lead_time
         FROM lineitem""",
+    "obs_wide": """
+        SELECT CAST(floor(l_partkey / 20000) AS INTEGER) AS grid_id,
+               1.25e-1 * floor((l_partkey % 20000) / 50) AS lat, -1.25e2 + 1.25e-1 * (l_partkey % 50) AS lon,
+               l_shipdate + 3 * l_linenumber * INTERVAL '1' HOUR AS time,
+               2.7315e2 + l_quantity AS f, 2.7315e2 + 9e-1 * l_quantity + 1e1 * l_discount AS a,
+               2.7e2 + 1e1 * l_tax AS c, CAST(l_linenumber * 24 AS INTEGER) AS lead_time
+        FROM lineitem""",
     "mobs": """
         SELECT grid_id, lat, lon, time, avg(f) AS f, avg(a) AS a, avg(c) AS c FROM obs GROUP BY 1, 2, 3, 4""",
     "polys": """
@@ -585,10 +592,10 @@ ORACLES: dict[str, str] = {
     "cell_mae": sql(f"SELECT grid_id, {rs('lat lon')}, {r('avg(abs(f - a))', 'mae')} FROM mobs GROUP BY grid_id, lat, lon", "mobs"),
     "cell_mae_season": sql(f"SELECT grid_id, {rs('lat lon')}, {season('time')} AS season, {r('avg(abs(f - a))', 'mae')} FROM mobs GROUP BY grid_id, lat, lon, {season('time')}", "mobs"),
     "cube_marginals": sql(
-        f"""SELECT 'lat' AS margin, CAST(NULL AS TIMESTAMP) AS time, {r('lat')}, {r('avg(f)', 'mean')}, count(f) AS n FROM obs GROUP BY lat
-        UNION ALL SELECT 'time', time, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs GROUP BY time
-        UNION ALL SELECT 'time_lat', time, floor(round(lat, 9) * 1e6 + 5e-1) / 1e6, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs GROUP BY time, lat
-        UNION ALL SELECT 'all', NULL, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs""", "obs"),
+        f"""SELECT 'lat' AS margin, CAST(NULL AS TIMESTAMP) AS time, {r('lat')}, {r('avg(f)', 'mean')}, count(f) AS n FROM obs_wide GROUP BY lat
+        UNION ALL SELECT 'time', time, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs_wide GROUP BY time
+        UNION ALL SELECT 'time_lat', time, floor(round(lat, 9) * 1e6 + 5e-1) / 1e6, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs_wide GROUP BY time, lat
+        UNION ALL SELECT 'all', NULL, NULL, floor(round(avg(f), 9) * 1e6 + 5e-1) / 1e6, count(f) FROM obs_wide""", "obs_wide"),
     "reconstruction_rmse": sql(f"SELECT {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs", "obs"),
     "reconstruction_rmse_cell": sql(f"SELECT grid_id, {rs('lat lon')}, {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs GROUP BY grid_id, lat, lon", "obs"),
     "lat_profile": sql(

@@ -149,7 +149,7 @@ def cell_mae_season(t: Tables) -> DataFrame:
 
 @query
 def cube_marginals(t: Tables) -> DataFrame:
-    return rounded(GR.marginal_means(t.cell_observations(), "f"))
+    return rounded(GR.marginal_means(t.cell_observations(wide=True), "f"))
 
 
 @query

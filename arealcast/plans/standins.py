@@ -2,7 +2,9 @@
 
 Every view reads whole tables and grows with them. Cells are laid out in grids of 16 x 50 cells, and
 polygons in domains of 5 x 2 rectangles, so that even small tables give several grids of equal axes; a
-grid is covered by the polygon domain of the same number.
+grid is covered by the polygon domain of the same number. Where the job is as large as the axes
+(marginals, profiles), the wide layout is taken: grids of 400 x 50 cells, whose latitudes stay on the
+globe however many rows there are.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ SECOND_START = "1998-01-01"
 # Layout of the stand-in grid.
 LAT0, LON0, STEP, GRID_ROWS, GRID_COLS = 0.0, -125.0, 0.125, 16, 50
 GRID_CELLS = GRID_ROWS * GRID_COLS
+WIDE_CELLS = 400 * GRID_COLS
 POLY_COLS, POLY_ROWS = 5, 2
 
 
@@ -77,10 +80,10 @@ class StandIns:
     def land_area(self) -> DataFrame:
         return self.area().select("geo_id", (F.col("aland_m2") / 1e6).alias("aland"))
 
-    def _cell_place(self, key: str) -> dict:
-        n = F.col(key) % GRID_CELLS
+    def _cell_place(self, key: str, cells: int = GRID_CELLS) -> dict:
+        n = F.col(key) % cells
         return {
-            "grid_id": F.floor(F.col(key) / GRID_CELLS).cast("int"),
+            "grid_id": F.floor(F.col(key) / cells).cast("int"),
             "lat": LAT0 + STEP * F.floor(n / GRID_COLS),
             "lon": LON0 + STEP * (n % GRID_COLS),
         }
@@ -94,8 +97,8 @@ class StandIns:
             F.when(k % 41 != 0, F.col("p_size") % 6).cast("int").alias("category"),
         )
 
-    def cell_observations(self) -> DataFrame:
-        place = self._cell_place("l_partkey")
+    def cell_observations(self, wide: bool = False) -> DataFrame:
+        place = self._cell_place("l_partkey", WIDE_CELLS if wide else GRID_CELLS)
         hours = F.make_dt_interval(F.lit(0), 3 * F.col("l_linenumber"))
         return self.raw("lineitem").select(
             *[v.alias(n) for n, v in place.items()],

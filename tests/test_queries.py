@@ -47,3 +47,10 @@ def test_fixed_effects_against_least_squares(spark, folder):
     want = np.linalg.lstsq(x, rows["mean_bias"].to_numpy(), rcond=None)[0]
     got = {r.term: r.coefficient for r in M.fixed_effects(design).collect()}
     assert [got[n] for n in ["intercept", *terms]] == pytest.approx(list(want), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["cube_marginals"])
+def test_profiles_cover_the_wide_layout(spark, name):
+    """2,000 parts lie on 40 latitudes of one grid, not on the 16 of the small grids."""
+    found = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert found.where("lat IS NOT NULL").select("lat").distinct().count() == 40
