@@ -599,8 +599,8 @@ ORACLES: dict[str, str] = {
     "reconstruction_rmse": sql(f"SELECT {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs", "obs"),
     "reconstruction_rmse_cell": sql(f"SELECT grid_id, {rs('lat lon')}, {r('sqrt(avg(pow(f - a, 2)))', 'rmse')} FROM obs GROUP BY grid_id, lat, lon", "obs"),
     "lat_profile": sql(
-        f"""SELECT time, lat_idx, {r('lat')}, {r('f')} FROM (SELECT time, lat, avg(f) AS f FROM obs GROUP BY 1, 2)
-        JOIN (SELECT lat, CAST(row_number() OVER (ORDER BY lat) - 1 AS INTEGER) AS lat_idx FROM (SELECT DISTINCT lat FROM obs)) USING (lat)""", "obs"),
+        f"""SELECT time, lat_idx, {r('lat')}, {r('f')} FROM (SELECT time, lat, avg(f) AS f FROM obs_wide GROUP BY 1, 2)
+        JOIN (SELECT lat, CAST(row_number() OVER (ORDER BY lat) - 1 AS INTEGER) AS lat_idx FROM (SELECT DISTINCT lat FROM obs_wide)) USING (lat)""", "obs_wide"),
     "detrend_linear": sql(
         f"""WITH ax AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t FROM (SELECT DISTINCT time FROM mobs)),
         d AS (SELECT m.*, ax.t FROM mobs m JOIN ax ON m.time = ax.time),

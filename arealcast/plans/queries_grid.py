@@ -164,7 +164,7 @@ def reconstruction_rmse_cell(t: Tables) -> DataFrame:
 
 @query
 def lat_profile(t: Tables) -> DataFrame:
-    return rounded(GR.lat_profiles(t.cell_observations(), "f"))
+    return rounded(GR.lat_profiles(t.cell_observations(wide=True), "f"))
 
 
 @query

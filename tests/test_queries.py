@@ -49,7 +49,7 @@ def test_fixed_effects_against_least_squares(spark, folder):
     assert [got[n] for n in ["intercept", *terms]] == pytest.approx(list(want), abs=1e-6)
 
 
-@pytest.mark.parametrize("name", ["cube_marginals"])
+@pytest.mark.parametrize("name", ["cube_marginals", "lat_profile"])
 def test_profiles_cover_the_wide_layout(spark, name):
     """2,000 parts lie on 40 latitudes of one grid, not on the 16 of the small grids."""
     found = entry.queries()[name](spark, "/root/testdata/sf0.01")
