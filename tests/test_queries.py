@@ -54,3 +54,9 @@ def test_profiles_cover_the_wide_layout(spark, name):
     """2,000 parts lie on 40 latitudes of one grid, not on the 16 of the small grids."""
     found = entry.queries()[name](spark, "/root/testdata/sf0.01")
     assert found.where("lat IS NOT NULL").select("lat").distinct().count() == 40
+
+
+def test_completeness_counts_every_lead(spark, folder):
+    """Every file on disk is one wanted pair of its date, whatever its lead."""
+    found = entry.queries()["completeness_by_date"](spark, folder).agg({"n_pairs": "sum"}).first()[0]
+    assert found == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_linenumber", "l_shipdate").distinct().count()
