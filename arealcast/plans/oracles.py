@@ -67,6 +67,13 @@ VIEWS = {
                -1e-1 + 1.03e0 * floor((s_suppkey % 10) / 5) AS y0,
                -1e-1 + 1.03e0 * (floor((s_suppkey % 10) / 5) + 1) AS y1
         FROM supplier""",
+    "polys_wide": """
+        SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS geo_id,
+               CAST(floor(s_suppkey / 245) AS INTEGER) AS grid_id, s_nationkey AS statefp,
+               -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5) AS x0, -1.252e2 + 1.27e0 * (s_suppkey % 245 % 5 + 1) AS x1,
+               -1e-1 + 1.03e0 * floor((s_suppkey % 245) / 5) AS y0,
+               -1e-1 + 1.03e0 * (floor((s_suppkey % 245) / 5) + 1) AS y1
+        FROM supplier""",
     "lats": """
         SELECT grid_id, lat, lat - coalesce(lat - p, n - lat, 1e0) / 2 AS lat_lo, lat + coalesce(n - lat, lat - p, 1e0) / 2 AS lat_hi
         FROM (SELECT grid_id, lat, lag(lat) OVER w AS p, lead(lat) OVER w AS n FROM (SELECT DISTINCT grid_id, lat FROM cells)
@@ -138,6 +145,13 @@ VIEWS = {
     "nbrs": """
         SELECT DISTINCT a.geo_id, b.geo_id AS neighbour FROM corners a
         JOIN corners b ON a.grid_id = b.grid_id AND a.x = b.x AND a.y = b.y AND a.geo_id <> b.geo_id""",
+    "corners_wide": """
+        SELECT geo_id, grid_id, round(x, 9) AS x, round(y, 9) AS y FROM (
+          SELECT geo_id, grid_id, x0 AS x, y0 AS y FROM polys_wide UNION ALL SELECT geo_id, grid_id, x0, y1 FROM polys_wide
+          UNION ALL SELECT geo_id, grid_id, x1, y0 FROM polys_wide UNION ALL SELECT geo_id, grid_id, x1, y1 FROM polys_wide)""",
+    "nbrs_wide": """
+        SELECT DISTINCT a.geo_id, b.geo_id AS neighbour FROM corners_wide a
+        JOIN corners_wide b ON a.grid_id = b.grid_id AND a.x = b.x AND a.y = b.y AND a.geo_id <> b.geo_id""",
     "nodes": "SELECT geo_id, CAST(row_number() OVER (ORDER BY geo_id) - 1 AS INTEGER) AS node_idx FROM polys",
     "model": """
         SELECT b.geo_id, b.lead_time, b.day_of_year, b.mean_bias, b.n_obs, t.category_1 AS koppen_class,
@@ -152,6 +166,7 @@ NEEDS = {
     "bounds": ["cells", "lats", "lons"], "weights": ["bounds", "polys"], "shares": ["cells", "weights"],
     "top2": ["shares"], "boxes": ["cells"], "region_polys": ["polys"], "income": ["census"], "months": ["an"],
     "fc_slots": ["files", "leads"], "gaps": ["fmonths", "odays"], "fmonths": ["fc1"], "corners": ["polys"], "nbrs": ["corners"],
+    "corners_wide": ["polys_wide"], "nbrs_wide": ["corners_wide"],
     "nodes": ["polys"], "model": ["bias1", "top2", "census"],
 }
 
@@ -505,8 +520,8 @@ ORACLES: dict[str, str] = {
         SELECT s_name AS NAME, CAST(s_nationkey AS VARCHAR) AS state,
         CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(s_suppkey * 3 AS DOUBLE) END AS population FROM supplier""",
     "contiguity_edges": sql(
-        """SELECT a.node_idx AS src, b.node_idx AS dst FROM nbrs JOIN nodes a ON nbrs.geo_id = a.geo_id
-        JOIN nodes b ON nbrs.neighbour = b.geo_id WHERE a.node_idx < b.node_idx""", "nbrs", "nodes"),
+        """SELECT a.node_idx AS src, b.node_idx AS dst FROM nbrs_wide n JOIN nodes a ON n.geo_id = a.geo_id
+        JOIN nodes b ON n.neighbour = b.geo_id WHERE a.node_idx < b.node_idx""", "nbrs_wide", "nodes"),
     "node_order": sql("SELECT geo_id, node_idx FROM nodes", "nodes"),
     "contiguity_stats": sql(
         f"""SELECT count(*) AS n_nodes, count(CASE WHEN coalesce(d, 0) = 0 THEN 1 END) AS n_islands, {r('avg(coalesce(d, 0))', 'mean_neighbours')},

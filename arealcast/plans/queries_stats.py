@@ -276,7 +276,7 @@ def json_rows_to_table(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ graph and model input
 @query
 def contiguity_edges(t: Tables) -> DataFrame:
-    polygons = t.polygons()
+    polygons = t.polygons(wide=True)
     nodes = G.node_table(polygons)
     return G.upper_triangle(G.edge_table(G.queen_neighbours(polygons, ["grid_id"]), nodes))
 

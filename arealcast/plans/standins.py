@@ -3,8 +3,8 @@
 Every view reads whole tables and grows with them. Cells are laid out in grids of 16 x 50 cells, and
 polygons in domains of 5 x 2 rectangles, so that even small tables give several grids of equal axes; a
 grid is covered by the polygon domain of the same number. Where the job is as large as the axes
-(marginals, profiles), the wide layout is taken: grids of 400 x 50 cells, whose latitudes stay on the
-globe however many rows there are.
+(marginals, profiles, neighbours), the wide layout is taken: grids of 400 x 50 cells and domains of
+5 x 49 rectangles, whose latitudes stay on the globe however many rows there are.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ LAT0, LON0, STEP, GRID_ROWS, GRID_COLS = 0.0, -125.0, 0.125, 16, 50
 GRID_CELLS = GRID_ROWS * GRID_COLS
 WIDE_CELLS = 400 * GRID_COLS
 POLY_COLS, POLY_ROWS = 5, 2
+WIDE_POLY_ROWS = 49
 
 
 class StandIns:
@@ -109,15 +110,15 @@ class StandIns:
             (F.col("l_linenumber") * 24).alias("lead_time"),
         )
 
-    def polygons(self) -> DataFrame:
-        k = F.col("s_suppkey")
-        n = k % (POLY_COLS * POLY_ROWS)
+    def polygons(self, wide: bool = False) -> DataFrame:
+        k, size = F.col("s_suppkey"), POLY_COLS * (WIDE_POLY_ROWS if wide else POLY_ROWS)
+        n = k % size
         col, row = n % POLY_COLS, F.floor(n / POLY_COLS)
         x = lambda c: -125.2 + 1.27 * c
         y = lambda r: -0.1 + 1.03 * r
         return self.raw("supplier").select(
             self._area_id("s_suppkey"),
-            F.floor(k / (POLY_COLS * POLY_ROWS)).cast("int").alias("grid_id"),
+            F.floor(k / size).cast("int").alias("grid_id"),
             F.col("s_nationkey").alias("statefp"),
             rectangle_ring(x(col), x(col + 1), y(row), y(row + 1)).alias("rings"),
         )

@@ -60,3 +60,16 @@ def test_completeness_counts_every_lead(spark, folder):
     """Every file on disk is one wanted pair of its date, whatever its lead."""
     found = entry.queries()["completeness_by_date"](spark, folder).agg({"n_pairs": "sum"}).first()[0]
     assert found == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_linenumber", "l_shipdate").distinct().count()
+
+
+def _wide_domain(spark) -> list[tuple[int, int]]:
+    """Neighbours among the 100 polygons of sf0.01, counted by hand: one domain of 5 x 20 rectangles."""
+    place = lambda k: (k % 5, k // 5)
+    touch = lambda a, b: max(abs(x - y) for x, y in zip(place(a), place(b))) == 1
+    keys = sorted(r[0] for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").select("s_suppkey").collect())
+    return [(a, b) for a in keys for b in keys if a < b and touch(a, b)]
+
+
+def test_contiguity_edges_of_the_wide_domain(spark):
+    found = entry.queries()["contiguity_edges"](spark, "/root/testdata/sf0.01")
+    assert found.count() == len(_wide_domain(spark))
