@@ -525,7 +525,7 @@ ORACLES: dict[str, str] = {
     "node_order": sql("SELECT geo_id, node_idx FROM nodes", "nodes"),
     "contiguity_stats": sql(
         f"""SELECT count(*) AS n_nodes, count(CASE WHEN coalesce(d, 0) = 0 THEN 1 END) AS n_islands, {r('avg(coalesce(d, 0))', 'mean_neighbours')},
-        CAST(sum(coalesce(d, 0)) AS BIGINT) AS n_nonzero FROM nodes LEFT JOIN (SELECT geo_id, count(*) AS d FROM nbrs GROUP BY 1) n ON nodes.geo_id = n.geo_id""", "nbrs", "nodes"),
+        CAST(sum(coalesce(d, 0)) AS BIGINT) AS n_nonzero FROM nodes LEFT JOIN (SELECT geo_id, count(*) AS d FROM nbrs_wide GROUP BY 1) n ON nodes.geo_id = n.geo_id""", "nbrs_wide", "nodes"),
     "edge_energy": sql(
         f"""WITH m AS (SELECT geo_id, avg(bias) AS v FROM bias1 WHERE lead_time = 24 GROUP BY 1)
         SELECT {r('-5e-1 * sum(pow(a.v - b.v, 2))', 'energy')}, count(*) AS n_edges FROM nbrs n JOIN m a ON n.geo_id = a.geo_id

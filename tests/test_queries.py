@@ -73,3 +73,8 @@ def _wide_domain(spark) -> list[tuple[int, int]]:
 def test_contiguity_edges_of_the_wide_domain(spark):
     found = entry.queries()["contiguity_edges"](spark, "/root/testdata/sf0.01")
     assert found.count() == len(_wide_domain(spark))
+
+
+def test_contiguity_stats_of_the_wide_domain(spark):
+    found = entry.queries()["contiguity_stats"](spark, "/root/testdata/sf0.01").first()
+    assert (found.n_nodes, found.n_nonzero) == (100, 2 * len(_wide_domain(spark)))
