@@ -138,13 +138,6 @@ VIEWS = {
         SELECT m.year, m.month, m.n_days - coalesce(n, 0) AS n_missing, m.year * 12 + m.month >= 1998 * 12 + 1 AS affects_second
         FROM fmonths m LEFT JOIN (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS n FROM odays GROUP BY 1, 2) p
           ON m.year = p.year AND m.month = p.month WHERE m.n_days - coalesce(n, 0) > 0""",
-    "corners": """
-        SELECT geo_id, grid_id, round(x, 9) AS x, round(y, 9) AS y FROM (
-          SELECT geo_id, grid_id, x0 AS x, y0 AS y FROM polys UNION ALL SELECT geo_id, grid_id, x0, y1 FROM polys
-          UNION ALL SELECT geo_id, grid_id, x1, y0 FROM polys UNION ALL SELECT geo_id, grid_id, x1, y1 FROM polys)""",
-    "nbrs": """
-        SELECT DISTINCT a.geo_id, b.geo_id AS neighbour FROM corners a
-        JOIN corners b ON a.grid_id = b.grid_id AND a.x = b.x AND a.y = b.y AND a.geo_id <> b.geo_id""",
     "corners_wide": """
         SELECT geo_id, grid_id, round(x, 9) AS x, round(y, 9) AS y FROM (
           SELECT geo_id, grid_id, x0 AS x, y0 AS y FROM polys_wide UNION ALL SELECT geo_id, grid_id, x0, y1 FROM polys_wide
@@ -165,7 +158,7 @@ NEEDS = {
     "clim": ["daily"], "anom": ["bias1", "clim"], "mobs": ["obs"], "lats": ["cells"], "lons": ["cells"],
     "bounds": ["cells", "lats", "lons"], "weights": ["bounds", "polys"], "shares": ["cells", "weights"],
     "top2": ["shares"], "boxes": ["cells"], "region_polys": ["polys"], "income": ["census"], "months": ["an"],
-    "fc_slots": ["files", "leads"], "gaps": ["fmonths", "odays"], "fmonths": ["fc1"], "corners": ["polys"], "nbrs": ["corners"],
+    "fc_slots": ["files", "leads"], "gaps": ["fmonths", "odays"], "fmonths": ["fc1"],
     "corners_wide": ["polys_wide"], "nbrs_wide": ["corners_wide"],
     "nodes": ["polys"], "model": ["bias1", "top2", "census"],
 }
@@ -528,8 +521,8 @@ ORACLES: dict[str, str] = {
         CAST(sum(coalesce(d, 0)) AS BIGINT) AS n_nonzero FROM nodes LEFT JOIN (SELECT geo_id, count(*) AS d FROM nbrs_wide GROUP BY 1) n ON nodes.geo_id = n.geo_id""", "nbrs_wide", "nodes"),
     "edge_energy": sql(
         f"""WITH m AS (SELECT geo_id, avg(bias) AS v FROM bias1 WHERE lead_time = 24 GROUP BY 1)
-        SELECT {r('-5e-1 * sum(pow(a.v - b.v, 2))', 'energy')}, count(*) AS n_edges FROM nbrs n JOIN m a ON n.geo_id = a.geo_id
-        JOIN m b ON n.neighbour = b.geo_id WHERE n.geo_id < n.neighbour""", "bias1", "nbrs"),
+        SELECT {r('-5e-1 * sum(pow(a.v - b.v, 2))', 'energy')}, count(*) AS n_edges FROM nbrs_wide n JOIN m a ON n.geo_id = a.geo_id
+        JOIN m b ON n.neighbour = b.geo_id WHERE n.geo_id < n.neighbour""", "bias1", "nbrs_wide"),
     "model_input": sql(
         f"""SELECT geo_id, lead_time, day_of_year, {r('mean_bias')}, n_obs, koppen_class, {rs('demo_B01001_001E demo_B17001_002E')} FROM model""", "model"),
     "model_rows_for_lead": sql(

@@ -295,7 +295,7 @@ def contiguity_stats(t: Tables) -> DataFrame:
 @query
 def edge_energy(t: Tables) -> DataFrame:
     values = V.area_mean_bias(t.bias(), 24)
-    return rounded(G.edge_energy(G.queen_neighbours(t.polygons(), ["grid_id"]), values, "mean_bias"))
+    return rounded(G.edge_energy(G.queen_neighbours(t.polygons(wide=True), ["grid_id"]), values, "mean_bias"))
 
 
 def _categories(t: Tables) -> DataFrame:

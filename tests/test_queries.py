@@ -78,3 +78,14 @@ def test_contiguity_edges_of_the_wide_domain(spark):
 def test_contiguity_stats_of_the_wide_domain(spark):
     found = entry.queries()["contiguity_stats"](spark, "/root/testdata/sf0.01").first()
     assert (found.n_nodes, found.n_nonzero) == (100, 2 * len(_wide_domain(spark)))
+
+
+def test_edge_energy_of_the_wide_domain(spark):
+    """Every pair of the wide domain both of whose areas have a verified forecast of lead 24."""
+    from arealcast.operators import verify as V
+    from arealcast.plans.registry import Tables
+
+    data = "/root/testdata/sf0.01"
+    known = {int(r.geo_id) for r in V.area_mean_bias(Tables(spark, data).bias(), 24).collect()}
+    want = [e for e in _wide_domain(spark) if set(e) <= known]
+    assert want and entry.queries()["edge_energy"](spark, data).first().n_edges == len(want)
