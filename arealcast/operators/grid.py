@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,11 +67,16 @@ def level_mean(
 
 
 def regular_grid(box: DataFrame, step: float) -> DataFrame:
-    """Grid points over each box (south, north, west, east), ``step`` apart, with running indices."""
+    """Grid points over each box (south, north, west, east), ``step`` apart, with running indices.
+
+    Rows of all grids are dealt out to a fixed number of tasks before they are filled in: left to their size, which is
+    small until then, they would be gathered in a few.
+    """
     n = lambda lo, hi: F.floor((F.col(hi) - F.col(lo)) / step + 1e-9).cast("int")
+    tasks = int(box.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         box.withColumn("i", F.explode(F.sequence(F.lit(0), n("south", "north"))))
-        .repartition("i")  # rows of the grid are filled in by many tasks
+        .repartition(tasks, *box.columns, "i")
         .withColumn("j", F.explode(F.sequence(F.lit(0), n("west", "east"))))
         .withColumn("lat", F.col("south") + F.col("i") * step)
         .withColumn("lon", F.col("west") + F.col("j") * step)
@@ -147,30 +154,38 @@ def regrid_bilinear(
     value: str = "value",
     keys: Sequence[str] = ("grid_id",),
 ) -> DataFrame:
-    """Bilinear interpolation; NULL where a corner with weight is outside or missing."""
+    """Bilinear interpolation; NULL where a corner with weight is outside or missing.
+
+    The source is gathered to one row per square with the values of its corners, so that a target is looked up once and is
+    neither multiplied nor aggregated. A corner given several times counts with its mean.
+    """
     keys = list(keys)
-    y = (F.col("lat") - lat0) / step
-    x = (F.col("lon") - lon0) / step
+    sides = [(di, dj) for di in (0, 1) for dj in (0, 1)]
+    corner = F.explode(F.array(*[F.struct(F.lit(di).alias("i"), F.lit(dj).alias("j")) for di, dj in sides]))
+    squares = (
+        _indexed(source, value, keys, lat0, lon0, step)
+        .withColumn("_d", corner)
+        .groupBy(*keys, (F.col("_i") - F.col("_d.i")).alias("_i"), (F.col("_j") - F.col("_d.j")).alias("_j"))
+        .agg(
+            *[
+                F.avg(F.when((F.col("_d.i") == di) & (F.col("_d.j") == dj), F.col(value))).alias(f"_v{di}{dj}")
+                for di, dj in sides
+            ]
+        )
+    )
     fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
 
-    def corner(di: int, dj: int) -> Column:
-        wy = fy if di else 1 - fy
-        wx = fx if dj else 1 - fx
-        return F.struct(
-            (F.floor("_y") + di).cast("int").alias("i"), (F.floor("_x") + dj).cast("int").alias("j"), (wy * wx).alias("w")
-        )
+    def part(di: int, dj: int) -> Column:
+        w = (fy if di else 1 - fy) * (fx if dj else 1 - fx)
+        return F.when(w > 1e-9, w * F.col(f"_v{di}{dj}")).otherwise(0.0)
 
     return (
-        targets.withColumn("_y", y)
-        .withColumn("_x", x)
-        .withColumn("_c", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
-        .where(F.col("_c.w") > 1e-9)
-        .select(*keys, "lat", "lon", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), F.col("_c.w").alias("_w"))
-        .join(_indexed(source, value, keys, lat0, lon0, step), [*keys, "_i", "_j"], "left")
-        .groupBy(*keys, "lat", "lon")
-        .agg(
-            F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col("_w") * F.col(value))).alias(value)
-        )
+        targets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        .select(*keys, "lat", "lon", ((F.col("lat") - lat0) / step).alias("_y"), ((F.col("lon") - lon0) / step).alias("_x"))
+        .withColumn("_i", F.floor("_y").cast("int"))
+        .withColumn("_j", F.floor("_x").cast("int"))
+        .join(squares, [*keys, "_i", "_j"], "left")
+        .select(*keys, "lat", "lon", reduce(add, [part(*side) for side in sides]).alias(value))
     )
 
 

@@ -217,6 +217,17 @@ def test_regrid(spark):
     assert lin == {(0.5, 1.25): pytest.approx(6.25), (2.0, 2.0): pytest.approx(22.0), (5.0, 0.0): None}
 
 
+def test_regrid_looks_each_target_up_once(spark):
+    """A target asked for twice has its value twice, and rows of many small grids are dealt out to all tasks."""
+    src = frame(spark, [(0, float(y), float(x), 10.0 * y + x) for y in range(3) for x in range(3)], "grid_id int, lat double, lon double, value double")
+    targets = frame(spark, [(0, 0.5, 1.25), (0, 0.5, 1.25), (0, 2.0, 0.5)], "grid_id int, lat double, lon double")
+    found = GR.regrid_bilinear(src, targets, 0.0, 0.0, 1.0)
+    assert sorted(r.value for r in found.collect()) == pytest.approx([6.25, 6.25, 20.5])
+    boxes = spark.range(300).select(F.col("id").cast("int").alias("grid_id"), *[F.lit(v).alias(n) for n, v in (("south", 0.0), ("north", 2.0), ("west", 0.0), ("east", 3.0))])
+    dealt = GR.regular_grid(boxes, 1.0).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in dealt)[0] > 300 * 12 / 4 / 2 and len(dealt) == 4
+
+
 def test_rmse_identity_and_detrend(spark):
     rng = random.Random(2)
     rows = [(0, 0.0, 0.0, at("2024-01-01") + dt.timedelta(days=i), rng.random(), rng.random(), rng.random()) for i in range(30)]
