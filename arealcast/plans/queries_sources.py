@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealcast.catalog import Workspace
+from arealcast.operators import climatology as C
 from arealcast.operators import verify as V
 from arealcast.plans import quality as Q
 from arealcast.plans.registry import Tables, query, rounded
@@ -165,24 +166,36 @@ def file_heads(t: Tables) -> DataFrame:
     return heads.join(tested, "path").select(k, "length", F.col("head").cast("string").alias("head"), "too_small", "wrong_magic", "suspect")
 
 
-def _stored_in_buckets(t: Tables) -> dict[str, DataFrame]:
-    """Forecasts of both models, analyses and climatology, stored by area."""
-    path = shared_dir(t.spark, "buckets")
-    tables = {"first": t.forecasts(), "second": t.forecasts(second=True), "an": t.analyses(), "clim": t.climatology(), "area": t.land_area()}
-    for name, df in tables.items():
-        BU.store_bucketed(df, f"{path}/{name}", buckets=8)
-    return {name: BU.read_bucketed(t.spark, f"{path}/{name}") for name in tables}
+def _stored_in_buckets(t: Tables, *names: str) -> dict[str, DataFrame]:
+    """The named tables of forecasts of both models, analyses, climatology and areas, stored by area.
+
+    There are as many buckets as tasks of a shuffle, so a bucket grows no more than any other share of the rows. The
+    climatology comes from the stored analyses, bucket by bucket.
+    """
+    path, buckets = shared_dir(t.spark, "buckets"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = lambda name: BU.read_bucketed(t.spark, f"{path}/{name}")
+    sources = {
+        "first": t.forecasts,
+        "second": lambda: t.forecasts(second=True),
+        "an": t.analyses,
+        "area": t.land_area,
+        "clim": lambda: C.climatology(C.drop_leap_days(stored("an"))),
+    }
+    for name, source in sources.items():
+        if name in names:
+            BU.store_bucketed(source(), f"{path}/{name}", buckets=buckets, dealt=name == "clim")
+    return {name: stored(name) for name in names}
 
 
 @query
 def stored_anomalies(t: Tables) -> DataFrame:
     """Errors and anomalies from tables stored by area: no row moves for the joins."""
-    s = _stored_in_buckets(t)
+    s = _stored_in_buckets(t, "first", "an", "area", "clim")
     return rounded(V.anomaly_table(V.bias_table(s["first"], s["an"], s["area"]), s["clim"]))
 
 
 @query
 def stored_comparison(t: Tables) -> DataFrame:
     """Two models compared from tables stored by area."""
-    s = _stored_in_buckets(t)
+    s = _stored_in_buckets(t, "first", "second", "an", "area", "clim")
     return rounded(V.compare_forecasts(s["first"], s["second"], s["an"]))

@@ -16,14 +16,19 @@ from pyspark.sql.types import StructType
 from arealcast.sources.published import current, publish_folder
 
 
-def store_bucketed(df: DataFrame, path: str, keys: Sequence[str] = ("geo_id",), buckets: int = 64) -> None:
-    """Publish ``df`` in ``buckets`` sorted buckets of ``keys``, one file each."""
+def store_bucketed(
+    df: DataFrame, path: str, keys: Sequence[str] = ("geo_id",), buckets: int = 64, dealt: bool = False
+) -> None:
+    """Publish ``df`` in ``buckets`` sorted buckets of ``keys``, one file each.
+
+    ``dealt``: the rows lie in these buckets already, as what is derived by area from a stored table, and are not moved.
+    """
     keys = list(keys)
     name = f"stored_{uuid.uuid4().hex}"
 
     def write(folder: str) -> None:
-        dealt = df.repartition(buckets, *keys)
-        dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(name)
+        rows = df if dealt else df.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(name)
 
     try:
         publish_folder(df.sparkSession, path, write, "parquet", df.columns, {"keys": keys, "buckets": buckets, "schema": df.schema.json()})
@@ -32,7 +37,12 @@ def store_bucketed(df: DataFrame, path: str, keys: Sequence[str] = ("geo_id",),
 
 
 def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
-    """The current version with its buckets, whichever session stored it."""
+    """The current version with its buckets, whichever session stored it.
+
+    Spark joins on the buckets' keys and further columns without an exchange only if it need not see all of them in the
+    buckets; the session is told so here, as a session of ``get_spark`` already is, because it plans the joins later.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     found = current(spark, path)
     if found is None or "buckets" not in found.note:
         raise ValueError(f"no bucketed table at {path}")

@@ -181,6 +181,52 @@ def test_stored_by_area_joins_move_no_row(spark, folder, tmp_path):
         BU.read_bucketed(spark, str(tmp_path / "nothing"))
 
 
+def _stored_names(spark, folder, monkeypatch, query):
+    """Tables that a query stores by area, with their number of buckets."""
+    from arealcast.plans.queries import QUERIES
+
+    seen, store = {}, BU.store_bucketed
+
+    def noted(df, path, **kw):
+        seen[path.rsplit("/", 1)[1]] = kw["buckets"]
+        store(df, path, **kw)
+
+    monkeypatch.setattr(BU, "store_bucketed", noted)
+    assert QUERIES[query](spark, folder).count() > 0
+    return seen
+
+
+def test_stored_anomalies_derive_the_climatology_by_bucket(spark, folder, tmp_path, monkeypatch):
+    """Only what the query joins is stored, in as many buckets as tasks, and the climatology moves no row."""
+    assert _stored_names(spark, folder, monkeypatch, "stored_anomalies") == dict.fromkeys(("first", "an", "area", "clim"), 4)
+    t, path = Tables(spark, folder), str(tmp_path / "an")
+    BU.store_bucketed(t.analyses(), path, buckets=4)
+    clim = C.climatology(C.drop_leap_days(BU.read_bucketed(spark, path)))
+    BU.store_bucketed(clim, str(tmp_path / "clim"), buckets=4, dealt=True)
+    stored = BU.read_bucketed(spark, str(tmp_path / "clim"))
+    assert "Exchange" not in clim._jdf.queryExecution().executedPlan().toString()
+    assert len(list(tmp_path.glob("clim/data-*/part-*"))) <= 4
+    same = {(r.geo_id, r.day_of_year): r.t2m_clim for r in t.climatology().collect()}
+    assert {(r.geo_id, r.day_of_year): r.t2m_clim for r in stored.collect()} == pytest.approx(same)
+
+
+def test_stored_tables_join_without_exchange_in_any_session(spark, folder, tmp_path):
+    """A session that was not made by get_spark has Spark's defaults."""
+    from arealcast.plans.queries import QUERIES
+
+    changed = {"spark.sql.requireAllClusterKeysForCoPartition": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for name in ("stored_anomalies", "stored_comparison"):
+            for k, v in changed.items():
+                spark.conf.set(k, v)
+            plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tolerant_scan_reports_skipped(spark, tmp_path):
     root = tmp_path / "cells of a + day, 100%"
     root.mkdir()
