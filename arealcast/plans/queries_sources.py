@@ -197,5 +197,5 @@ def stored_anomalies(t: Tables) -> DataFrame:
 @query
 def stored_comparison(t: Tables) -> DataFrame:
     """Two models compared from tables stored by area."""
-    s = _stored_in_buckets(t, "first", "second", "an", "area", "clim")
+    s = _stored_in_buckets(t, "first", "second", "an")
     return rounded(V.compare_forecasts(s["first"], s["second"], s["an"]))

@@ -210,6 +210,10 @@ def test_stored_anomalies_derive_the_climatology_by_bucket(spark, folder, tmp_pa
     assert {(r.geo_id, r.day_of_year): r.t2m_clim for r in stored.collect()} == pytest.approx(same)
 
 
+def test_stored_comparison_stores_what_it_compares(spark, folder, monkeypatch):
+    assert _stored_names(spark, folder, monkeypatch, "stored_comparison") == dict.fromkeys(("first", "second", "an"), 4)
+
+
 def test_stored_tables_join_without_exchange_in_any_session(spark, folder, tmp_path):
     """A session that was not made by get_spark has Spark's defaults."""
     from arealcast.plans.queries import QUERIES
