@@ -77,11 +77,16 @@ def spill_over_month(t: Tables) -> DataFrame:
 
 @query
 def stored_chunks(t: Tables) -> DataFrame:
-    """Forecast chunks written in two runs, the second only adding what the first left out."""
+    """Forecast chunks written in two runs, the second only adding what the first left out.
+
+    Which chunks there are is told by the forecasts' starts and leads, so the forecasts themselves are only made for the
+    chunks to build.
+    """
     path = shared_dir(t.spark, "chunks")
-    fc = t.forecasts()
-    CH.resume(fc.where(F.year("init_time") < 1998), path, "fc")
-    CH.resume(fc, path, "fc")
+    fc, slots = t.forecasts(), t.forecast_slots()
+    early = F.year("init_time") < 1998
+    CH.resume(fc.where(early), path, "fc", catalogue=CH.with_chunk_columns(slots.where(early), "fc").drop("init_time"))
+    CH.resume(fc, path, "fc", catalogue=CH.with_chunk_columns(slots, "fc").drop("init_time"))
     return rounded(t.spark.read.parquet(path))
 
 

@@ -63,6 +63,11 @@ class StandIns:
             )
         )
 
+    def forecast_slots(self) -> DataFrame:
+        """Start and lead of all forecasts there are, as the names of their files tell them."""
+        slots = self.raw("lineitem").select("l_shipdate", (F.col("l_linenumber") * 24).alias("lead_time")).distinct()
+        return slots.select((F.col("l_shipdate") - F.make_dt_interval(F.lit(0), F.col("lead_time"))).alias("init_time"), "lead_time")
+
     def analyses(self) -> DataFrame:
         return (
             self.raw("lineitem")

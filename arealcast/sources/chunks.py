@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealcast import schemas
+from arealcast.session import materialize
 from arealcast.sources.published import now, publish, read_published
 
 # Partition columns and the time column that names a chunk.
@@ -63,7 +64,7 @@ def write_chunks(df: DataFrame, path: str, kind: str, stamps: DataFrame | None =
         stamps = stamps.select(*keys, F.col("stamp").cast("string")).distinct()
         _remove(spark, path, keys, there().where(F.col("at") < mark).join(stamps, keys, "left_semi"))
         fresh = stamps.join(there(), keys, "left").select(*keys, F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "stamp")
-    fresh = fresh.select(*[F.col(k).cast("int").alias(k) for k in keys], "n_rows", "stamp")
+    fresh = materialize(fresh.select(*[F.col(k).cast("int").alias(k) for k in keys], "n_rows", "stamp"), "fresh")
     before = read_ledger(spark, path, kind)
     ledger = fresh if before is None else fresh.unionByName(before.join(fresh, keys, "left_anti"))
     publish(ledger.coalesce(1), f"{path}/_ledger")
@@ -147,7 +148,8 @@ def resume(
     todo = wanted if force else pending_chunks(wanted, path, kind)
     if "stamp" not in todo.columns:
         todo = todo.withColumn("stamp", F.lit(None).cast("string"))
-    todo = todo.select(*keys, "stamp")
+    # Written once, a row per chunk: listing the chunks may cost a pass over the source, and they are asked for again below.
+    todo = materialize(todo.select(*keys, "stamp"), "todo")
     if todo.isEmpty():
         return False
     write_chunks(build(rows.join(todo.select(*keys), keys, "left_semi")), path, kind, todo)

@@ -89,6 +89,22 @@ def test_chunks_resume_and_overwrite_only_touched(spark, tmp_path):
     assert TB.read_table(spark, str(tmp_path / "all.parquet")).columns == schemas.TABLES["fc"]
 
 
+def test_resume_reads_its_source_twice_at_most(spark, tmp_path):
+    """Once to list its chunks and once to write them; with a catalogue once."""
+    rows, read = fc_rows(spark), spark.sparkContext.accumulator(0)
+    n, keys = rows.count(), ["year", "month", "lead_time"]
+
+    def passed(lead):
+        read.add(1)
+        return lead > 0
+
+    source = rows.where(F.udf(passed, "boolean").asNondeterministic()("lead_time"))
+    assert CH.resume(source, str(tmp_path / "listed"), "fc") and read.value == 2 * n
+    catalogue = CH.with_chunk_columns(rows, "fc").select(*keys)
+    assert CH.resume(source, str(tmp_path / "told"), "fc", catalogue=catalogue) and read.value == 3 * n
+    assert spark.read.parquet(str(tmp_path / "listed")).count() == spark.read.parquet(str(tmp_path / "told")).count() == n
+
+
 def test_append_batches(spark, tmp_path):
     path = str(tmp_path / "out")
     empty = fc_rows(spark).limit(0)
