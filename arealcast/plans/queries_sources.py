@@ -20,11 +20,12 @@ from arealcast.sources import tables as TB
 
 
 def _workspace(t: Tables) -> Workspace:
-    """A folder with a bias table, an analysis table and monthly analysis chunks."""
+    """A folder with a bias table, an analysis table and monthly analysis chunks, both made from the analysis table."""
     folder = shared_dir(t.spark, "workspace")
-    TB.write_table(t.bias(), f"{folder}/ifs_fc_bias_2t_county.parquet", "bias")
     TB.write_table(t.analyses(), f"{folder}/ifs_an_2t_county.parquet", "an")
-    CH.write_chunks(t.analyses(), f"{folder}/ifs_an_monthly", "an")
+    an = TB.read_table(t.spark, f"{folder}/ifs_an_2t_county.parquet")
+    TB.write_table(V.bias_table(t.forecasts(), an, t.land_area()), f"{folder}/ifs_fc_bias_2t_county.parquet", "bias")
+    CH.write_chunks(an, f"{folder}/ifs_an_monthly", "an")
     return Workspace(t.spark, folder)
 
 

@@ -63,6 +63,23 @@ def test_workspace(spark, folder, tmp_path):
     assert not spark.catalog.tableExists("ifs_bias")
 
 
+def test_workspace_makes_the_analyses_once(spark, folder):
+    from arealcast.plans.queries_sources import _workspace
+
+    class Counted(Tables):
+        made = 0
+
+        def analyses(self):
+            self.made += 1
+            return super().analyses()
+
+    t = Counted(spark, folder)
+    ws = _workspace(t)
+    assert t.made == 1 and ws.view("ifs_an").count() == ws.view("ifs_an_monthly").count() == t.analyses().count()
+    assert ws.view("ifs_bias").count() == t.bias().count()
+    ws.close()
+
+
 def test_write_once_force_and_metadata(spark, tmp_path):
     path = str(tmp_path / "fc.parquet")
     assert TB.write_table(fc_rows(spark), path, "fc")
