@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from arealcast.session import materialize
 
 #: Rows of one key beyond which its times are cut into ranges, and the ranges of such a key.
 HEAVY, RANGES = 100_000, 256
+#: Rows that one task sorts for its windows, about.
+TASK_ROWS = 250_000
 
 
 def time_ranges(rows: DataFrame, keys: Sequence[str], time: Column, heavy: int = HEAVY, ranges: int = RANGES) -> DataFrame:
@@ -42,6 +45,7 @@ def asof_nearest(
     time: str,
     columns: Sequence[str],
     heavy: int = HEAVY,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Attach to every request the observation nearest in ``time`` with the same ``keys``.
 
@@ -53,13 +57,16 @@ def asof_nearest(
     into ranges of about equal numbers of rows, so that the key is spread over tasks whatever its times are. Inside a
     range a window finds the neighbours, and across ranges only each range's first and last observation travel. Both
     neighbours are running values, the following one over the descending order, so a range costs no more than its sort.
+    The sorts are dealt out to as many tasks as the written rows need, so that a task's memory doesn't grow with the input.
     """
+    spark = requests.sparkSession
     keys = list(keys)
     payload = F.struct(F.col(time).alias("t"), *[F.col(c) for c in columns])
     # One observation per key and instant, whatever the number of duplicates; requests travel as they are.
     seen = observations.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.max(payload).alias("_obs"))
     asked = requests.dropna(subset=[*keys, time]).select(*keys, time, F.struct("*").alias("_row"))
     mixed = materialize(seen.unionByName(asked, allowMissingColumns=True), "asof")
+    rows = mixed.count()  # from the footers of what was written
     at = epoch_seconds(F.col(time)).cast("double")
     cuts = materialize(time_ranges(mixed, keys, at, heavy), "ranges")
     mixed = mixed.withColumn("_at", at).join(cuts, keys, "left")
@@ -82,8 +89,10 @@ def asof_nearest(
         .orderBy(F.col(time).desc(), is_request)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / task_rows))
     near = (
-        mixed.withColumn("_prev", F.last("_obs", ignorenulls=True).over(up))
+        mixed.repartition(tasks, *keys, "_b")
+        .withColumn("_prev", F.last("_obs", ignorenulls=True).over(up))
         .withColumn("_next", F.last("_obs", ignorenulls=True).over(down))
         .where(is_request)
         .join(carried, [*keys, "_b"])

@@ -100,6 +100,16 @@ def test_asof_against_brute_force(spark):
         assert got[i] == -best[2]
 
 
+def test_asof_deals_its_sorts_out_by_rows(spark):
+    """4,000 rows of 500 keys at 200 rows a task: 20 tasks, not the session's 4, and the same neighbours."""
+    day = lambda n: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(n.cast("int"))
+    obs = spark.range(2000).select((F.col("id") % 500).alias("k"), day(F.floor(F.col("id") / 500) * 2).alias("t"), F.col("id").alias("j"))
+    asked = obs.select("k", (F.col("t") + F.make_dt_interval(F.lit(0), F.lit(1))).alias("t"), F.col("j").alias("i"))
+    found = A.asof_nearest(asked, obs, ["k"], "t", ["j"], task_rows=200)
+    assert found.rdd.getNumPartitions() == 20
+    assert found.count() == 2000 and found.where("i <> j").isEmpty()
+
+
 def test_asof_of_one_hot_key_within_a_day(spark):
     """A million rows of one key in one day: many ranges, none of them large, one scan of each input, right neighbours."""
     base = F.lit("2024-01-01").cast("timestamp_ntz")
